@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of ``df``; where it knows none, 64 MB a partition."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if 0 < size < 1 << 55 else df.rdd.getNumPartitions() << 26
 
 

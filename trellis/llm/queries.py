@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trellis.llm import exact_dedup, packing
+from trellis.llm import exact_dedup, packing, substring_index
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
+    "op4_substring_dedup": substring_index.op4_substring_dedup,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
