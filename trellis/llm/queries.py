@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trellis.llm import exact_dedup, packing, substring_index
+from trellis.llm import exact_dedup, packing, substring_index, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op4_substring_dedup": substring_index.op4_substring_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
