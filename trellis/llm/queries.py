@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trellis.llm import exact_dedup, packing, simhash_bk, substring_index, suffix_dedup
+from trellis.llm import exact_dedup, packing, scaled_sketch, simhash_bk, substring_index, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op4_substring_dedup": substring_index.op4_substring_dedup,
     "op5_simhash_bk_tree": simhash_bk.op5_simhash_bk_tree,
+    "op10_scaled_fingerprints": scaled_sketch.op10_scaled_fingerprints,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
