@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from trellis.llm import textnp as T
 from trellis.session import materialize
 
 NULL_ID = -(1 << 63)
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,19 +52,35 @@ def tags_of(texts: list[bytes]) -> np.ndarray:
 
 
 def large_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = FLUSH_BYTES) -> Iterator[pa.Table]:
-    """Join small batches until their text reaches ``limit`` bytes: larger units pre-aggregate better."""
+    """Tables of about ``limit`` bytes of text: large enough to pre-aggregate, small enough for a worker's memory."""
     held, size = [], 0
-    for b in batches:
-        if b.num_rows:
+    for whole in batches:
+        for b in _slices(whole, whole.schema.get_field_index(text), limit):
             held.append(b)
             size += b.column(b.schema.get_field_index(text)).nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _slices(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose text is at most ``limit`` bytes, or a single row."""
+    if not batch.num_rows:
+        return
+    if batch.column(text).nbytes <= limit:
+        yield batch
+        return
+    size = np.cumsum(pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, side="right"))
+        hi = max(hi, lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def dump(*parts) -> bytes:
     return pickle.dumps(parts, protocol=5)
 

@@ -35,7 +35,7 @@ from trellis.session import materialize
 
 MIN_WORDS = 20
 GRAM = 4
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 6 << 20
 BATCHES = 4
 MAX_RUNS = 3
 _U = np.uint64

@@ -36,8 +36,8 @@ from trellis.session import materialize
 
 WIDTH = 200
 GRAM = 64
-UNIT_BYTES = 16 << 20
-BLOCK_BYTES = 2 << 20
+UNIT_BYTES = 6 << 20
+BLOCK_BYTES = 1 << 20
 SHARD = 1 << 20
 _U = np.uint64
 _ROW = "b long, kind int, blob binary"
