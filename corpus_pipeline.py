@@ -1,8 +1,60 @@
-"""Corpus pipeline (in progress)."""
+"""The corpus pipeline: toxicity, exact, near and substring deduplication, then packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the
+last return the columns of ``documents``.  Between stages the rows are written to the shared checkpoint
+folder as Parquet and read again, so a lost executor costs no more than the stage it worked on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trellis.llm import common, exact_dedup, packing, simhash_bk, substring_index, toxicity
+from trellis.session import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel classifier rejects go; the labels are those of the tables."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean_documents(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents alike in 0.8 of their five-word shingles one stays."""
+    return simhash_bk.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words and more that an earlier document has go; a text without any stays as it is."""
+    cut = substring_index.remove_repeats(docs)
+    touched = F.col("_n_removed") > 0
+    text = F.when(touched, F.col("_kept_text")).otherwise(F.col("text"))
+    return cut.select(*[text.alias("text") if c == "text" else F.when(touched, F.length("_kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
+
+#: Classifier, similarity search, suffix removal and tokenizer are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

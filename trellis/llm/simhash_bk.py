@@ -15,6 +15,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -184,6 +186,162 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS) -> Data
     return C.lookup_skewed(each, named, "fp", "copies").select("doc_id", "fp", "component_id", "component_size")
 
 
+# ---- near duplicates by shingle similarity ------------------------------------------------------
+#
+# A similarity of 0.8 over five-word shingles leaves single fingerprints of such shingles ten bits
+# apart, far beyond what slices can index.  So candidates come from SEEDS fingerprints over the distinct
+# words, any of which within the radius suffices, and are verified on sketches of the shingles.
+
+SEEDS = 4
+SKETCH = 64
+SIMILARITY = 0.8
+_PAD = np.uint32(0xFFFFFFFF)
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def word_fingerprints(text: bytes) -> list[int]:
+    """SEEDS fingerprints of the set of words, signs and case aside."""
+    words = sorted(set(_WORD.findall(text.lower())))
+    if not words:
+        return [0] * SEEDS
+    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    out = []
+    for k in range(SEEDS):
+        h = T.mix(base + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else base
+        count = np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+        out.append(int(np.packbits(count * 2 > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingle_sketches(texts: list[bytes], shingle: int) -> np.ndarray:
+    """Of each text the SKETCH smallest hashes of its shingles, sorted and padded."""
+    out = np.full((len(texts), SKETCH), _PAD)
+    for lo, hi in T.blocks(texts):
+        block = T.Block([t.lower() for t in texts[lo:hi]])
+        start, end, first = block.words()
+        roll = T.Rolling(T.Rolling(T.byte_values(4)[block.data])(start, end))
+        grams, whole, n = roll.fixed(shingle) >> np.uint64(32), roll(first[:-1], first[1:]) >> np.uint64(32), np.diff(first)
+        for k in range(hi - lo):
+            h = grams[first[k] : first[k] + n[k] - shingle + 1] if n[k] >= shingle else whole[k : k + 1]
+            h = np.unique(np.minimum(h, np.uint64(0xFFFFFFFE)))[:SKETCH]
+            out[lo + k, : len(h)] = h
+    return out
+
+
+def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of a sketch with each of many (exact where both are complete)."""
+    m = np.sort(np.concatenate((np.broadcast_to(one, many.shape), many), axis=1), axis=1)
+    twice = np.zeros(m.shape, bool)
+    twice[:, 1:] = (m[:, 1:] == m[:, :-1]) & (m[:, 1:] != _PAD)
+    rank = np.cumsum(~twice & (m != _PAD), axis=1)
+    return (twice & (rank <= SKETCH)).sum(axis=1) / np.maximum(np.minimum(rank[:, -1], SKETCH), 1)
+
+
+class Shards:
+    """Rows of one bucket as shards of distinct fingerprints, each with its documents."""
+
+    def __init__(self, k: np.ndarray, fp: np.ndarray, radius: int):
+        order = np.lexsort((fp, k))
+        self.order, k, fp = order, k[order], fp[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])) if len(k) else np.zeros(0, bool)
+        self.node = np.cumsum(new) - 1
+        self.begin = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.begin, len(k)))
+        self.forest = BKForest(fp[new].view(np.uint64), k[new])
+        self.radius = radius
+
+    def hits(self):
+        n = len(self.begin)
+        for lo in range(0, n, 1 << 13):
+            yield from self.forest.neighbours(np.arange(lo, min(n, lo + (1 << 13))), self.radius)
+
+
+def candidates(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows (b, k, fp, uid) whose shard holds another document within the radius."""
+
+    def work(key, t):
+        s = Shards(t["k"].to_numpy(), t["fp"].to_numpy(), radius)
+        live = s.size > 1
+        for a, b in s.hits():
+            live[a] = live[b] = True
+        return t.take(pa.array(s.order[live[s.node]]))
+
+    return rows.groupBy("b").applyInArrow(work, rows.schema)
+
+
+def verified_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """(u, v): for each shard, stars over its documents connected by verified similarity.
+
+    A search goes breadth first: a document is compared with the candidates that no set holds yet, so a
+    group of copies costs one comparison each.
+    """
+
+    def work(key, t):
+        uid = t["uid"].to_numpy()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
+        s = Shards(t["k"].to_numpy(), t["fp"].to_numpy(), radius)
+        uid, sketch = uid[s.order], sketch[s.order]
+        near = [np.arange(len(s.begin))] * 2
+        found = [*s.hits()]
+        a, b = (np.concatenate([near[0], *(x[i] for x in found), *(x[1 - i] for x in found)]) for i in (0, 1))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        first = np.searchsorted(a, np.arange(len(s.begin) + 1))
+        free = np.ones(len(uid), bool)
+        u, v = [], []
+        for root in range(len(uid)):
+            if not free[root]:
+                continue
+            free[root] = False
+            queue = [root]
+            while queue:
+                i = queue.pop()
+                nodes = b[first[s.node[i]] : first[s.node[i] + 1]]
+                others = T.spread(s.begin[nodes], s.size[nodes])
+                others = others[free[others]]
+                for lo in range(0, len(others), 1 << 14):
+                    part = others[lo : lo + (1 << 14)]
+                    same = part[similarity(sketch[i], sketch[part]) >= least]
+                    free[same] = False
+                    queue += same.tolist()
+                    u.append(uid[same])
+                    v.append(np.full(len(same), uid[root]))
+        return pa.table({"u": pa.array(np.concatenate(u) if u else [], pa.int64()), "v": pa.array(np.concatenate(v) if v else [], pa.int64())})
+
+    return rows.groupBy("b").applyInArrow(work, "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs without near duplicates: of each connected group the smallest doc_id stays.
+
+    Rows equal in doc_id and text count as one document, so exact duplicates should go first.
+    """
+
+    def work(batches):
+        for t in C.large_batches(batches, limit=4 << 20):
+            texts = T.raw_texts(t["text"])
+            fps = [word_fingerprints(x) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [t["doc_id"].combine_chunks().cast(pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([x.tobytes() for x in shingle_sketches(texts, shingle)], pa.binary())],
+                names=["doc_id", "tag", "fps", "sketch"],
+            )
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = materialize(plain.mapInArrow(work, "doc_id long, tag long, fps array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "near-documents")
+    n = C.bucket_count(docs, 2 << 20)
+    masks = [m - (1 << 64) if m >> 63 else m for m in slice_masks(radius + 1, radius)]
+    keys = F.array(*[F.struct(F.lit(f"{k}:{i}").alias("t"), F.col("fps")[k].alias("fp"), F.col("fps")[k].bitwiseAND(F.lit(m).cast("long")).alias("k")) for k in range(SEEDS) for i, m in enumerate(masks)])
+    rows = each.select("uid", F.explode(keys).alias("e")).select("uid", "e.fp", F.xxhash64("e.t", "e.k").alias("k")).withColumn("b", F.expr(f"pmod(k, {n})"))
+    live = materialize(candidates(rows, radius), "near-candidates")
+    linked = verified_links(live.join(each.select("uid", "sketch"), "uid"), radius, least)
+    found = C.components(linked)
+    member = each.select("uid", "doc_id", "tag").join(found.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    member = materialize(member, "near-members")
+    stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = member.join(stays, "root").where("uid <> first.uid").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    return docs.join(gone, F.expr("doc_id <=> _id") & (F.crc32(F.coalesce("text", F.lit(""))) == F.col("_tag")), "left_anti")
+
+
 def op5_simhash_bk_tree(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(C.documents(spark, sf_dir), shingle=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
