@@ -165,7 +165,7 @@ def links(distinct: DataFrame, radius: int, n_values: int) -> DataFrame:
         label = np.arange(len(fp))
         if len(fp):
             forest = BKForest(fp.view(np.uint64), shard)
-            for lo in range(0, len(fp), 1 << 14):
+            for lo in range(0, len(fp), 1 << 12):
                 for a, b in forest.neighbours(np.arange(lo, min(len(fp), lo + (1 << 14))), radius):
                     unite(label, a, b)
         moved = np.flatnonzero(label != np.arange(len(fp)))
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS) -> Data
 # words, any of which within the radius suffices, and are verified on sketches of the shingles.
 
 SEEDS = 4
-SKETCH = 64
+SKETCH = 256
 SIMILARITY = 0.8
 _PAD = np.uint32(0xFFFFFFFF)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -299,8 +299,8 @@ def verified_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
                 nodes = b[first[s.node[i]] : first[s.node[i] + 1]]
                 others = T.spread(s.begin[nodes], s.size[nodes])
                 others = others[free[others]]
-                for lo in range(0, len(others), 1 << 14):
-                    part = others[lo : lo + (1 << 14)]
+                for lo in range(0, len(others), 1 << 12):
+                    part = others[lo : lo + (1 << 12)]
                     same = part[similarity(sketch[i], sketch[part]) >= least]
                     free[same] = False
                     queue += same.tolist()
