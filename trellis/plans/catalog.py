@@ -1,13 +1,840 @@
-"""Registry of the graph and matrix queries: name -> query, and name -> SQL for the same rows."""
+"""Registry of the graph and matrix queries: name -> query, and name -> SQL for the same rows.
 
-from __future__ import annotations
+Every query runs over its whole tables.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from trellis.operators import blockmodel, canon, dnn, evaluation, generate, kronecker, linalg, triangles, truss
+from trellis.plans import derive as D
+from trellis.session import checkpoint_dir, materialize
+from trellis.sources import binary, matrix_market, text
+from trellis.streaming import staged
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(name: str, digits: int = 6):
+    return (F.round(F.col(name).cast("double"), digits) + F.lit(0.0)).alias(name)  # no negative zero
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/trellis-files/{name}-{uuid.uuid4().hex}"
+
+
+# ---- sources and canonical forms ----------------------------------------------------------------
+
+_E = f"WITH e AS ({D.CO_PURCHASE})"
+_V = f"WITH m AS ({D.VISITS})"
+
+
+@query(f"WITH e AS ({D.TRADE}) SELECT max(greatest(src, dst)) AS nodes, count(*) AS edges FROM e")
+def edge_load_stats(spark, sf):
+    return text.edge_stats(D.trade(spark, sf))
+
+
+@query(f"WITH e AS ({D.TRADE}) SELECT src, dst, weight FROM e")
+def tsv_roundtrip(spark, sf):
+    path = _folder(spark, "tsv")
+    text.write_edges(D.trade(spark, sf), path)
+    return text.read_edges(spark, path)
+
+
+@query(f"{_V} SELECT i, j, v FROM m")
+def triples_roundtrip(spark, sf):
+    path = _folder(spark, "triples")
+    text.write_triples(D.visits(spark, sf), path)
+    return text.read_triples(spark, path)
+
+
+@query(f"{_V} SELECT i, j, v FROM m")
+def matrix_market_roundtrip(spark, sf):
+    path, m = _folder(spark, "mm"), D.visits(spark, sf)
+    size = m.agg(F.max("i"), F.max("j")).first()
+    matrix_market.write_matrix(m, path, size[0] or 0, size[1] or 0)
+    return matrix_market.read_matrix(spark, path)[1]
+
+
+@query(f"WITH e AS ({D.CO_SUPPLY}) SELECT a AS src, b AS dst, 1.0 AS weight FROM e UNION ALL SELECT b, a, 1.0 FROM e")
+def matrix_market_symmetric_graph(spark, sf):
+    """One triangle is stored; the reader mirrors it."""
+    path, e = _folder(spark, "mmsym"), D.co_supply(spark, sf)
+    n = e.agg(F.max("b")).first()[0] or 0
+    matrix_market.write_matrix(e.select(F.col("b").alias("i"), F.col("a").alias("j"), F.lit(1.0).alias("v")), path, n, n, matrix_market.Kind("coordinate", "pattern", "symmetric"))
+    return matrix_market.read_graph(spark, path)
+
+
+@query(f"{_E} SELECT a AS src, b AS dst FROM e")
+def binary_edges_roundtrip(spark, sf):
+    path = _folder(spark, "binary")
+    pieces = binary.encode_edges(D.co_purchase(spark, sf).toDF("src", "dst"))
+    pieces.write.mode("overwrite").parquet(path)
+    import numpy as np
+    import pyarrow as pa
+
+    def decode(batches):  # the reader's decoder over the stored pieces
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                e = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["src", "dst"])
+
+    return spark.read.parquet(path).mapInArrow(decode, "src long, dst long")
+
+
+@query(f"{_E} SELECT a AS i, b AS j, 1.0 AS v FROM e UNION ALL SELECT b, a, 1.0 FROM e")
+def symmetrize(spark, sf):
+    return D.symmetric_parts(spark, sf)
+
+
+@query(f"{_E} SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS edge_id FROM e")
+def edge_index(spark, sf):
+    return canon.edge_index(D.co_purchase(spark, sf))
+
+
+@query(f"{_E}, x AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS j FROM e) SELECT a AS i, j, 1.0 AS v FROM x UNION ALL SELECT b, j, 1.0 FROM x")
+def incidence_build(spark, sf):
+    return canon.incidence(canon.edge_index(D.co_purchase(spark, sf)))
+
+
+@query(f"{_E}, x AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS edge_id FROM e) SELECT edge_id, a, b FROM x")
+def incidence_to_edges(spark, sf):
+    inc = canon.incidence(canon.edge_index(D.co_purchase(spark, sf)))
+    return canon.edges_of_incidence(linalg.transpose(inc))
+
+
+@query(f"WITH e AS ({D.TRADE}) SELECT CAST(sum(CASE WHEN src = dst THEN 1 ELSE 0 END) AS BIGINT) AS loops FROM e")
+def self_loop_count(spark, sf):
+    return canon.loop_count(D.trade(spark, sf))
+
+
+@query(f"{_E}, d AS (SELECT vertex, count(*) AS degree FROM (SELECT a AS vertex FROM e UNION ALL SELECT b FROM e) GROUP BY 1) SELECT vertex, degree, row_number() OVER (ORDER BY degree, vertex) - 1 AS rank FROM d")
+def degree_relabel(spark, sf):
+    return canon.degree_rank(D.co_purchase(spark, sf))
+
+
+@query(
+    f"{_E}, d AS (SELECT vertex, row_number() OVER (ORDER BY count(*), vertex) - 1 AS rank FROM (SELECT a AS vertex FROM e UNION ALL SELECT b FROM e) GROUP BY vertex) SELECT least(x.rank, y.rank) AS a, greatest(x.rank, y.rank) AS b FROM e JOIN d x ON x.vertex = e.a JOIN d y ON y.vertex = e.b"
+)
+def permute(spark, sf):
+    e = D.co_purchase(spark, sf)
+    return canon.relabel(e, canon.degree_rank(e))
+
+
+@query(f"{_V}, r AS (SELECT DISTINCT i FROM m) SELECT i, CAST(ntile(7) OVER (ORDER BY i) - 1 AS BIGINT) AS part FROM r")
+def row_block_ntile(spark, sf):
+    return canon.row_blocks(D.visits(spark, sf), "i", 7)
+
+
+# ---- sparse algebra -----------------------------------------------------------------------------
+
+
+@query(f"{_V} SELECT j AS i, i AS j, v FROM m")
+def transpose(spark, sf):
+    return linalg.transpose(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, count(*) AS nnz FROM m GROUP BY i")
+def row_nnz(spark, sf):
+    return linalg.row_nnz(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT j, count(*) AS nnz FROM m GROUP BY j")
+def col_nnz(spark, sf):
+    return linalg.col_nnz(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, sum(v) AS total FROM m GROUP BY i")
+def row_sums(spark, sf):
+    return linalg.row_sums(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT j, sum(v) AS total FROM m GROUP BY j")
+def col_sums(spark, sf):
+    return linalg.col_sums(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT sum(v) AS total FROM m")
+def matrix_total(spark, sf):
+    return linalg.total(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT count(*) AS nnz FROM m WHERE v <> 0")
+def matrix_nnz(spark, sf):
+    return linalg.nnz(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, sum(v * (j % 7)) AS v FROM m GROUP BY i HAVING sum(v * (j % 7)) <> 0")
+def spmv(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.spmv(m, m.select("j").distinct().select("j", (F.col("j") % 7).cast("double").alias("x")))
+
+
+@query(f"{_V} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM m x JOIN m y ON x.j = y.j GROUP BY 1, 2")
+def spgemm(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.spgemm(m, linalg.transpose(m))
+
+
+@query(f"{_V}, c AS (SELECT x.i, y.i AS j, list(x.j ORDER BY x.j) AS ks FROM m x JOIN m y ON x.j = y.j GROUP BY 1, 2) SELECT i, j, len(ks) AS n, ks[1] AS low, ks[len(ks)] AS high, list_sum(ks)::BIGINT AS total FROM c WHERE len(ks) >= 2")
+def spgemm_collect(spark, sf):
+    m = D.visits(spark, sf)
+    c = linalg.spgemm_collect(m, linalg.transpose(m))
+    return c.select("i", "j", F.size("ks").cast("long").alias("n"), F.element_at("ks", 1).alias("low"), F.element_at("ks", -1).alias("high"), F.aggregate("ks", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"{_V} SELECT x.i, x.j, x.v * y.v AS v FROM m x JOIN m y ON x.i = y.j AND x.j = y.i")
+def hadamard(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.hadamard(m, linalg.transpose(m))
+
+
+@query(f"{_V} SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM m UNION ALL SELECT j, i, v FROM m) GROUP BY 1, 2")
+def matrix_add(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.add(m, linalg.transpose(m))
+
+
+@query(f"{_V} SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM m UNION ALL SELECT j, i, -v FROM m) GROUP BY 1, 2 HAVING sum(v) <> 0")
+def matrix_diff(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.subtract(m, linalg.transpose(m))
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE v = 2")
+def value_eq_filter(spark, sf):
+    return linalg.where_equal(D.visits(spark, sf), 2.0)
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE i <> j")
+def diag_zero(spark, sf):
+    return linalg.without_diagonal(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE i = j")
+def diag_extract(spark, sf):
+    return linalg.diagonal(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE i > j")
+def lower_tri(spark, sf):
+    return linalg.lower(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE i <= j")
+def upper_tri(spark, sf):
+    return linalg.upper(D.visits(spark, sf), strict=False)
+
+
+@query(f"{_V} SELECT i, j, 1.0 AS v FROM m")
+def binarize(spark, sf):
+    return linalg.binarize(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE i IN (SELECT i FROM m GROUP BY i HAVING sum(v) >= 60)")
+def keep_rows(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.keep_rows(m, linalg.row_sums(m).where("total >= 60"))
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE i NOT IN (SELECT i FROM m GROUP BY i HAVING sum(v) >= 60)")
+def zero_rows(spark, sf):
+    m = D.visits(spark, sf)
+    return linalg.drop_rows(m, linalg.row_sums(m).where("total >= 60"))
+
+
+@query(f"{_V} SELECT DISTINCT i FROM m")
+def nonempty_rows(spark, sf):
+    return linalg.nonempty_rows(D.visits(spark, sf))
+
+
+@query(f"{_V} SELECT i, j, least(greatest(v - 2, 0), 3) AS v FROM m WHERE v - 2 > 0")
+def clamp(spark, sf):
+    return linalg.clamp(D.visits(spark, sf).withColumn("v", F.col("v") - 2), 0.0, 3.0)
+
+
+@query(f"{_V} SELECT i, j, v FROM m WHERE NOT (i = 1 AND j = 1) UNION ALL SELECT 1, 1, 99.0")
+def assign_element(spark, sf):
+    return linalg.assign(D.visits(spark, sf), 1, 1, 99.0)
+
+
+@query(f"{_V} SELECT d AS degree, count(*) AS n FROM (SELECT i, count(*) AS d FROM m GROUP BY i) GROUP BY d")
+def degree_hist(spark, sf):
+    return linalg.out_degree_histogram(D.visits(spark, sf))
+
+
+_N = "SELECT CAST(s_nationkey + 1 AS BIGINT) AS i, CAST(s_suppkey % 5 + 1 AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM supplier GROUP BY 1, 2"
+
+
+@query(f"{_V}, b AS ({_N}) SELECT (m.i - 1) * 25 + b.i AS i, (m.j - 1) * 5 + b.j AS j, m.v * b.v AS v FROM m, b")
+def kron_product(spark, sf):
+    s = D.table(spark, sf, "supplier").groupBy((F.col("s_nationkey") + 1).cast("long").alias("i"), (F.col("s_suppkey") % 5 + 1).alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return linalg.kron(D.visits(spark, sf), s, 25, 5)
+
+
+# ---- triangles ----------------------------------------------------------------------------------
+
+_T = f"{_E}, t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b)"
+_VD = "vd AS (SELECT v, count(*) AS tv FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v)"
+_ED = "ed AS (SELECT a, b, count(*) AS te FROM (SELECT a, b FROM t UNION ALL SELECT a, c FROM t UNION ALL SELECT b, c FROM t) GROUP BY 1, 2)"
+_CAP = "cap AS (SELECT greatest(10, CAST(floor(sqrt(count(*))) AS BIGINT)) - 1 AS cap FROM (SELECT a FROM e UNION SELECT b FROM e))"
+_K = f"""{_T}, {_VD}, {_ED}, {_CAP}, k AS (SELECT CAST(least(cap, least(e1.te, e2.te, e3.te) + 2, floor((3 + sqrt(1 + 8 * least(v1.tv, v2.tv, v3.tv))) / 2)) AS BIGINT) AS k
+  FROM t JOIN vd v1 ON v1.v = t.a JOIN vd v2 ON v2.v = t.b JOIN vd v3 ON v3.v = t.c JOIN ed e1 ON e1.a = t.a AND e1.b = t.b JOIN ed e2 ON e2.a = t.a AND e2.b = t.c JOIN ed e3 ON e3.a = t.b AND e3.b = t.c, cap),
+  h AS (SELECT k, count(*) AS n FROM k GROUP BY k)"""
+
+
+@query(f"{_E}, s AS (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e) SELECT count(*) / 6.0 AS triangles FROM s x JOIN s y ON x.j = y.i JOIN s z ON z.i = y.j AND z.j = x.i")
+def tri_count_trace(spark, sf):
+    return triangles.count_by_trace(D.symmetric_parts(spark, sf))
+
+
+@query(f"{_T} SELECT count(*) AS triangles FROM t")
+def tri_count_incidence(spark, sf):
+    e = D.co_purchase(spark, sf)
+    return triangles.count_by_incidence(canon.symmetric(e), canon.incidence(canon.edge_index(e)))
+
+
+@query(f"{_T} SELECT count(*) AS triangles FROM t")
+def tri_count_lower(spark, sf):
+    return triangles.count(D.co_purchase(spark, sf))
+
+
+@query(f"{_T} SELECT a AS v1, b AS v2, c AS v3 FROM t")
+def tri_enumerate(spark, sf):
+    return triangles.enumerate_triangles(D.co_purchase(spark, sf))
+
+
+@query(f"{_T} SELECT c AS v1, b AS v2, a AS v3 FROM t")
+def tri_listing(spark, sf):
+    return triangles.listing(triangles.enumerate_triangles(D.co_purchase(spark, sf)))
+
+
+@query(f"{_T}, {_VD} SELECT v AS vertex, tv AS triangles FROM vd")
+def tri_vertex_degree(spark, sf):
+    return triangles.vertex_degrees(triangles.enumerate_triangles(D.co_purchase(spark, sf)))
+
+
+@query(f"{_T}, {_ED} SELECT e.a, e.b, coalesce(te, 0) AS triangles FROM e LEFT JOIN ed ON ed.a = e.a AND ed.b = e.b")
+def tri_edge_support(spark, sf):
+    e = D.co_purchase(spark, sf)
+    return triangles.edge_support(e, triangles.enumerate_triangles(e))
+
+
+def _k(spark, sf):
+    e = D.co_purchase(spark, sf)
+    cap = triangles.k_cap(e.select(F.explode(F.array("a", "b")).alias("v")).distinct().count())
+    t = materialize(triangles.enumerate_triangles(e), "triangles")
+    return triangles.k_counts(t, cap), cap
+
+
+@query(f"{_K} SELECT k, n FROM h")
+def k_counts(spark, sf):
+    return _k(spark, sf)[0]
+
+
+@query(f"{_K}, r AS (SELECT unnest(generate_series(3, (SELECT cap FROM cap))) AS k) SELECT r.k, coalesce(h.n, 0) AS n FROM r LEFT JOIN h ON h.k = r.k")
+def k_table(spark, sf):
+    return triangles.k_table(*_k(spark, sf))
+
+
+@query(f"{_K}, w AS (SELECT k, sum(n) OVER (ORDER BY k DESC) AS above FROM h) SELECT CAST(coalesce(max(k), 0) AS BIGINT) AS bound FROM w WHERE above >= k * (k - 1) * (k - 2) / 6")
+def clique_bound(spark, sf):
+    return triangles.clique_bound(_k(spark, sf)[0])
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS k, CAST(p_size * (p_size - 1) / 2 AS BIGINT) AS c FROM part GROUP BY p_size")
+def choose2(spark, sf):
+    return D.table(spark, sf, "part").select(F.col("p_size").cast("long").alias("k")).distinct().select("k", triangles.choose2(F.col("k")).alias("c"))
+
+
+# ---- k-truss ------------------------------------------------------------------------------------
+
+
+def truss_sql(k: int, rounds: int = 8) -> str:
+    out = [f"WITH e0 AS MATERIALIZED ({D.CO_PURCHASE})"]
+    for i in range(rounds):
+        out.append(f"d{i} AS MATERIALIZED (SELECT a, b FROM e{i} UNION ALL SELECT b, a FROM e{i})")
+        out.append(f"e{i + 1} AS MATERIALIZED (SELECT x.a, x.b FROM e{i} x JOIN d{i} y ON y.a = x.a JOIN d{i} z ON z.a = x.b AND z.b = y.b GROUP BY 1, 2 HAVING count(*) >= {k - 2})")
+    return ", ".join(out)
+
+
+@query(f"{truss_sql(3)} SELECT a, b FROM e8")
+def ktruss_3(spark, sf):
+    return truss.ktruss(D.co_purchase(spark, sf), 3)
+
+
+@query(f"{truss_sql(4)} SELECT a, b FROM e8")
+def ktruss_4(spark, sf):
+    return truss.ktruss(D.co_purchase(spark, sf), 4)
+
+
+@query(f"{truss_sql(5)} SELECT a, b FROM e8")
+def ktruss_5(spark, sf):
+    return truss.ktruss(D.co_purchase(spark, sf), 5)
+
+
+@query(f"{truss_sql(6)} SELECT count(*) AS edges FROM e8")
+def ktruss_6_count(spark, sf):
+    return truss.ktruss_count(D.co_purchase(spark, sf), 6)
+
+
+@query(f"{truss_sql(5)}, x AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS i FROM e0), y AS (SELECT x.* FROM x JOIN e8 ON e8.a = x.a AND e8.b = x.b) SELECT i, a AS j, 1.0 AS v FROM y UNION ALL SELECT i, b, 1.0 FROM y")
+def ktruss_incidence(spark, sf):
+    inc = linalg.transpose(canon.incidence(canon.edge_index(D.co_purchase(spark, sf))))
+    return truss.ktruss_incidence(inc, 5)
+
+
+# ---- Kronecker designs --------------------------------------------------------------------------
+
+_DESIGNS = [[3, 4], [3, 4, 5], [3, 4, 5, 9], [256, 625], [81, 256, 625], [3, 4, 5, 9, 16, 25, 81]]
+
+
+def _product(f, leaves):
+    return " * ".join(f"CAST({f(m)} AS HUGEINT)" for m in leaves)
+
+
+def theory_sql(kind: int) -> str:
+    rows = []
+    for d in _DESIGNS:
+        v, hub = _product(lambda m: m + 1, d), 2 ** len(d)
+        e, c = _product(lambda m: 2 * m + (kind > 0), d), _product(lambda m: (0, 3 * m + 1, 4)[kind], d)
+        tri = ("0", f"({c} - 3 * {v} + 2) // 6", f"({c} - {3 * hub} + 2) // 6")[kind]
+        tr = ("'0'", "CAST(NULL AS VARCHAR)", f"'{(3 ** len(d) - 3) // 2}'")[kind]
+        rows.append(f"SELECT '{'-'.join(map(str, d))}' AS design, CAST({v} AS VARCHAR) AS vertices, CAST({e} - {int(kind > 0)} AS VARCHAR) AS edges, CAST({tri} AS VARCHAR) AS triangles, {tr} AS truss_edges")
+    return " UNION ALL ".join(rows)
+
+
+def _theory(kind):
+    def run(spark, sf):
+        t = kronecker.theory_table(spark, _DESIGNS, (kind,))
+        return t.select("design", *[F.col(c).cast("string").alias(c) for c in ("vertices", "edges", "triangles", "truss_edges")])
+
+    return run
+
+
+def star_sql(m: int, kind: int) -> str:
+    loop = "" if not kind else f" UNION ALL SELECT {1 if kind == 1 else m + 1}, {1 if kind == 1 else m + 1}"
+    return f"SELECT 1 AS i, x + 1 AS j FROM range(1, {m + 1}) r(x) UNION ALL SELECT x + 1, 1 FROM range(1, {m + 1}) r(x){loop}"
+
+
+def graph_sql(leaves: list[int], kind: int) -> str:
+    """CTEs up to g (i, j), the design's graph without its loop."""
+    out = [f"WITH f0 AS ({star_sql(leaves[0], kind)}), p0 AS (SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM f0)"]
+    size = leaves[0] + 1
+    for k, m in enumerate(leaves[1:], 1):
+        out.append(f"f{k} AS ({star_sql(m, kind)}), p{k} AS (SELECT (p{k - 1}.i - 1) * {m + 1} + f{k}.i AS i, (p{k - 1}.j - 1) * {m + 1} + f{k}.j AS j FROM p{k - 1}, f{k})")
+        size *= m + 1
+    loop = 0 if not kind else 1 if kind == 1 else size
+    out.append(f"g AS (SELECT i, j FROM p{len(leaves) - 1} WHERE NOT (i = {loop} AND j = {loop}))")
+    return ", ".join(out)
+
+
+def _degrees(kind):
+    def run(spark, sf):
+        return kronecker.degree_table(spark, [3, 4, 5, 9], kind).select(F.col("degree").cast("long").alias("degree"), F.col("n").cast("long").alias("n"))
+
+    return run
+
+
+for _kind in (0, 1, 2):
+    QUERIES[f"kron_theory_{_kind}"], ORACLES[f"kron_theory_{_kind}"] = _theory(_kind), theory_sql(_kind)
+    QUERIES[f"kron_degree_dist_{_kind}"] = _degrees(_kind)
+    ORACLES[f"kron_degree_dist_{_kind}"] = f"{graph_sql([3, 4, 5, 9], _kind)}, d AS (SELECT j, count(*) AS degree FROM g GROUP BY j) SELECT degree, count(*) AS n FROM d GROUP BY degree"
+
+
+@query("SELECT CAST(x AS BIGINT) AS i, CAST(y AS BIGINT) AS j, 1.0 AS v FROM range(1, 4) a(x), range(4, 9) b(y) UNION ALL SELECT y, x, 1.0 FROM range(1, 4) a(x), range(4, 9) b(y)")
+def bipartite(spark, sf):
+    return kronecker.bipartite(spark, 3, 5)
+
+
+@query(f"{graph_sql([3, 4, 5, 9], 2)} SELECT i, j, 1.0 AS v FROM g")
+def kron_generate(spark, sf):
+    return kronecker.generate(spark, [3, 4], [5, 9], 2)
+
+
+@query(f"{graph_sql([3, 4, 5, 9], 1)}, d AS (SELECT j, count(*) AS degree FROM g GROUP BY j) SELECT degree, count(*) AS n FROM d GROUP BY degree")
+def kron_measured_degrees(spark, sf):
+    return kronecker.measured_degrees(kronecker.generate(spark, [3, 4], [5, 9], 1))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS degree, CAST(0 AS BIGINT) AS measured, CAST(0 AS BIGINT) AS theory WHERE false")
+def kron_check_diff(spark, sf):
+    return kronecker.check_degrees(kronecker.generate(spark, [3, 4], [5, 9], 2), [3, 4, 5, 9], 2)
+
+
+@query("SELECT CAST(120 AS BIGINT) AS vertices, CAST(692 AS BIGINT) AS edges, CAST(7 AS BIGINT) AS triangles, CAST(12 AS BIGINT) AS truss_edges, CAST(120 AS BIGINT) AS theory_vertices, CAST(692 AS BIGINT) AS theory_edges, CAST(7 AS BIGINT) AS theory_triangles, CAST(12 AS BIGINT) AS theory_truss_edges")
+def kron_check_counts(spark, sf):
+    return kronecker.check_counts(kronecker.generate(spark, [3, 4], [5], 2), [3, 4, 5], 2)
+
+
+@query("SELECT * FROM (VALUES ('3'), ('3-4'), ('3-4-5'), ('4-5'), ('5')) t(design)")
+def kron_sub_designs(spark, sf):
+    return spark.createDataFrame([("-".join(map(str, d)),) for d in kronecker.sub_designs([3, 4, 5])], "design string")
+
+
+@query(f"{graph_sql([3, 4], 1)}, s AS (SELECT x.i, x.j FROM g x JOIN g y ON y.i = x.i JOIN g z ON z.i = x.j AND z.j = y.j WHERE x.i <> x.j AND y.i <> y.j AND z.i <> z.j GROUP BY 1, 2) SELECT i, j FROM s")
+def kron_three_truss_rows(spark, sf):
+    """Rows with a common neighbour; without loops that is one round of the 3-truss."""
+    return truss.three_truss_rows(kronecker.generate(spark, [3, 4], [], 1).where("i <> j"))
+
+
+# ---- block partition ----------------------------------------------------------------------------
+
+_P = f"WITH e AS ({D.TRADE}), p AS ({D.TRADE_BLOCKS}), m AS (SELECT x.block AS r, y.block AS s, sum(weight) AS m FROM e JOIN p x ON x.node = src JOIN p y ON y.node = dst GROUP BY 1, 2)"
+_DEG = "o AS (SELECT r AS block, sum(m) AS d_out FROM m GROUP BY 1), n AS (SELECT s AS block, sum(m) AS d_in FROM m GROUP BY 1), dg AS (SELECT coalesce(o.block, n.block) AS block, coalesce(d_out, 0) AS d_out, coalesce(d_in, 0) AS d_in, coalesce(d_out, 0) + coalesce(d_in, 0) AS d FROM o FULL JOIN n ON o.block = n.block)"
+
+
+def _f(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+
+
+def _trade(spark, sf):
+    e, p = D.trade(spark, sf), D.trade_blocks(spark, sf)
+    m = blockmodel.block_matrix(e, p)
+    return e, p, m, blockmodel.block_degrees(m)
+
+
+@query(f"{_P} SELECT r, s, m FROM m")
+def block_matrix(spark, sf):
+    return _trade(spark, sf)[2]
+
+
+@query(f"{_P}, {_DEG} SELECT block, d_out, d_in, d FROM dg")
+def block_degrees(spark, sf):
+    return _trade(spark, sf)[3]
+
+
+@query(f"{_P}, {_DEG} SELECT round(-(SELECT sum(m * ln(m / (x.d_out * y.d_in))) FROM m JOIN dg x ON x.block = r JOIN dg y ON y.block = s), 4) AS data_entropy")
+def data_entropy(spark, sf):
+    _, _, m, d = _trade(spark, sf)
+    return blockmodel.data_entropy(m, d).select(_r("data_entropy", 4))
+
+
+def _overall(h: str) -> str:
+    return f"{_P}, {_DEG}, c AS (SELECT CAST((SELECT count(DISTINCT block) FROM p) AS DOUBLE) AS b, CAST((SELECT count(*) FROM p) AS DOUBLE) AS n, CAST((SELECT count(*) FROM e) AS DOUBLE) AS e), x AS (SELECT *, b * b / e AS x FROM c) SELECT round(-(SELECT sum(m * ln(m / (x.d_out * y.d_in))) FROM m JOIN dg x ON x.block = r JOIN dg y ON y.block = s) + {h} + n * ln(b), 4) AS entropy FROM x"
+
+
+@query(_overall("e * (1 + x) * ln(1 + x) - x * ln(x)"))
+def overall_entropy(spark, sf):
+    e, p, _, _ = _trade(spark, sf)
+    return blockmodel.overall_entropy(e, p).select(_r("entropy", 4))
+
+
+@query(_overall("e * ((1 + x) * ln(1 + x) - x * ln(x))"))
+def overall_entropy_paper(spark, sf):
+    e, p, _, _ = _trade(spark, sf)
+    return blockmodel.overall_entropy(e, p, "paper").select(_r("entropy", 4))
+
+
+def _state(m: str, extra: str) -> str:
+    """Data entropy by group of a table m(extra.., i, j, m)."""
+    return f"SELECT {extra}, sum(x) AS s FROM (SELECT {extra}, -({_f('m')}) AS x FROM {m} UNION ALL SELECT {extra}, {_f('d')} FROM (SELECT {extra}, sum(m) AS d FROM {m} GROUP BY {extra}, i) UNION ALL SELECT {extra}, {_f('d')} FROM (SELECT {extra}, sum(m) AS d FROM {m} GROUP BY {extra}, j)) GROUP BY {extra}"
+
+
+_MERGE = f"""{_P}, {_DEG}, c AS (SELECT DISTINCT r, s FROM (SELECT r, s FROM m WHERE r <> s UNION ALL SELECT s, r FROM m WHERE r <> s)),
+  after AS (SELECT c.r, c.s, CASE WHEN m.r = c.r THEN c.s ELSE m.r END AS i, CASE WHEN m.s = c.r THEN c.s ELSE m.s END AS j, sum(m) AS m FROM c, m GROUP BY ALL),
+  new AS ({_state("after", "r, s")}), old AS (SELECT sum({_f("d_out")} + {_f("d_in")}) - (SELECT sum({_f("m")}) FROM m) AS s FROM dg),
+  costs AS (SELECT new.r, new.s, round(new.s_1 - old.s, 4) + 0.0 AS ds FROM (SELECT * FROM new) new(r, s, s_1), old)"""
+
+
+@query(f"{_MERGE} SELECT r, s, ds FROM costs")
+def merge_delta_entropy(spark, sf):
+    _, _, m, d = _trade(spark, sf)
+    return blockmodel.merge_costs(m, d).select("r", "s", _r("ds", 4))
+
+
+@query(f"{_MERGE} SELECT r, min(ds) AS ds FROM costs GROUP BY r")
+def best_merge_per_block(spark, sf):
+    """The partner is left out: equal costs after rounding may tie."""
+    _, _, m, d = _trade(spark, sf)
+    return blockmodel.best_merges(blockmodel.merge_costs(m, d)).select("r", _r("ds", 4))
+
+
+_HIST = "h AS (SELECT node, block, sum(o) AS k_out, sum(i) AS k_in FROM (SELECT src AS node, y.block, weight AS o, 0 AS i FROM e JOIN p y ON y.node = dst WHERE src <> dst UNION ALL SELECT dst, x.block, 0, weight FROM e JOIN p x ON x.node = src WHERE src <> dst) GROUP BY 1, 2)"
+
+
+@query(f"{_P}, {_HIST} SELECT node, block, k_out, k_in, 0.0 AS own FROM h")
+def node_block_hist(spark, sf):
+    e, p, _, _ = _trade(spark, sf)
+    return blockmodel.node_block_histogram(e, p)
+
+
+_MOVES = "mv AS (SELECT node, block AS r, CASE WHEN block < 25 THEN (block + 1) % 25 ELSE (block - 24) % 25 + 25 END AS s FROM p)"
+_DELTA = f"{_P}, {_DEG}, {_HIST}, {_MOVES}, dl AS (SELECT node, i, j, sum(dm) AS dm FROM (SELECT h.node, r AS i, block AS j, -k_out AS dm FROM h JOIN mv ON mv.node = h.node UNION ALL SELECT h.node, s, block, k_out FROM h JOIN mv ON mv.node = h.node UNION ALL SELECT h.node, block, r, -k_in FROM h JOIN mv ON mv.node = h.node UNION ALL SELECT h.node, block, s, k_in FROM h JOIN mv ON mv.node = h.node) GROUP BY 1, 2, 3)"
+
+
+def _moves(p):
+    b = F.col("block")
+    return p.select("node", b.alias("r"), F.when(b < 25, (b + 1) % 25).otherwise((b - 24) % 25 + 25).alias("s"))
+
+
+@query(
+    f"""{_DELTA}, x AS (SELECT node, sum({_f("coalesce(m, 0)")} - ({_f("coalesce(m, 0) + dm")})) AS x FROM dl LEFT JOIN m ON m.r = i AND m.s = j GROUP BY node),
+  y AS (SELECT node, sum({_f("coalesce(d_out, 0) + dd")} - ({_f("coalesce(d_out, 0)")})) AS y FROM (SELECT node, i, sum(dm) AS dd FROM dl GROUP BY 1, 2) LEFT JOIN dg ON block = i GROUP BY node),
+  z AS (SELECT node, sum({_f("coalesce(d_in, 0) + dd")} - ({_f("coalesce(d_in, 0)")})) AS z FROM (SELECT node, j, sum(dm) AS dd FROM dl GROUP BY 1, 2) LEFT JOIN dg ON block = j GROUP BY node)
+  SELECT mv.node, mv.s, round(coalesce(x + y + z, 0), 4) + 0.0 AS ds FROM mv LEFT JOIN x ON x.node = mv.node LEFT JOIN y ON y.node = mv.node LEFT JOIN z ON z.node = mv.node"""
+)
+def node_move_delta_entropy(spark, sf):
+    e, p, m, d = _trade(spark, sf)
+    return blockmodel.move_costs(blockmodel.node_block_histogram(e, p), _moves(p), m, d).select("node", "s", _r("ds", 4))
+
+
+@query(
+    f"""{_DELTA}, after AS (SELECT node, i, j, sum(m) AS m FROM (SELECT mv.node, m.r AS i, m.s AS j, m FROM mv, m UNION ALL SELECT node, i, j, dm FROM dl) GROUP BY 1, 2, 3),
+  sym AS (SELECT node, t, u, sum(m) AS m FROM (SELECT node, i AS t, j AS u, m FROM after UNION ALL SELECT node, j, i, m FROM after) GROUP BY 1, 2, 3),
+  da AS (SELECT node, t, sum(m) AS d FROM sym GROUP BY 1, 2), k AS (SELECT node, block AS t, k_out + k_in AS k FROM h),
+  sy AS (SELECT t, u, sum(m) AS m FROM (SELECT r AS t, s AS u, m FROM m UNION ALL SELECT s, r, m FROM m) GROUP BY 1, 2),
+  fo AS (SELECT mv.node, sum(k * (coalesce(sy.m, 0) + 1) / (dg.d + 50)) AS forth FROM k JOIN mv ON mv.node = k.node JOIN dg ON dg.block = k.t LEFT JOIN sy ON sy.t = k.t AND sy.u = mv.s GROUP BY 1),
+  ba AS (SELECT mv.node, sum(k * (coalesce(sym.m, 0) + 1) / (da.d + 50)) AS back FROM k JOIN mv ON mv.node = k.node JOIN da ON da.node = k.node AND da.t = k.t LEFT JOIN sym ON sym.node = k.node AND sym.t = k.t AND sym.u = mv.r GROUP BY 1)
+  SELECT mv.node, mv.s, round(back / forth, 6) AS h FROM mv JOIN fo ON fo.node = mv.node JOIN ba ON ba.node = mv.node"""
+)
+def hastings_correction(spark, sf):
+    e, p, m, d = _trade(spark, sf)
+    return blockmodel.hastings(blockmodel.node_block_histogram(e, p), _moves(p), m, d, 50).select("node", "s", _r("h"))
+
+
+@query(
+    f"""{_P}, {_DEG}, {_HIST}, k AS (SELECT node, block AS u, k_out + k_in AS k FROM h), w AS (SELECT node, u, k / sum(k) OVER (PARTITION BY node) AS w FROM k),
+  sy AS (SELECT u, s, sum(m) AS m FROM (SELECT r AS u, s, m FROM m UNION ALL SELECT s, r, m FROM m) GROUP BY 1, 2)
+  SELECT w.node, t.block AS s, round(sum(w * 50 / (x.d + 50)) / 50 + sum(w * coalesce(sy.m, 0) / (x.d + 50)), 6) AS p
+  FROM w JOIN dg x ON x.block = u JOIN dg t ON true LEFT JOIN sy ON sy.u = w.u AND sy.s = t.block GROUP BY 1, 2"""
+)
+def proposal_probability(spark, sf):
+    e, p, m, d = _trade(spark, sf)
+    return blockmodel.proposal_probabilities(blockmodel.node_block_histogram(e, p), m, d, 50).select("node", "s", _r("p"))
+
+
+@query("SELECT p_partkey AS node, dense_rank() OVER (ORDER BY p_size) - 1 AS block FROM part")
+def label_compact(spark, sf):
+    return blockmodel.compact_labels(D.table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("block")))
+
+
+@query()
+def merge_execution(spark, sf):
+    """Twenty-five cheapest merges carried out with transitive renaming (sequential, so not SQL)."""
+    e, p, m, d = _trade(spark, sf)
+    return blockmodel.apply_merges(p, blockmodel.best_merges(blockmodel.merge_costs(m, d)), 25)
+
+
+@query()
+def sbp_partition(spark, sf):
+    """The whole search over the graph of nations."""
+    return blockmodel.partition(D.nation_flow(spark, sf), seed=7, sweeps=4)
+
+
+# ---- partition quality --------------------------------------------------------------------------
+
+_C = f"WITH ct AS ({D.PART_TABLE})"
+_S = f"{_C}, s AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS cell FROM ct), t AS (SELECT sum(x * (x - 1) / 2) AS row FROM (SELECT sum(n) AS x FROM ct GROUP BY t)), a AS (SELECT sum(x * (x - 1) / 2) AS col FROM (SELECT sum(n) AS x FROM ct GROUP BY a)), q AS (SELECT *, n * (n - 1) / 2 AS all_ FROM s, t, a)"
+
+
+def _table(spark, sf):
+    return evaluation.contingency(*D.part_labels(spark, sf))
+
+
+@query(f"{_C} SELECT t, a, n FROM ct")
+def contingency(spark, sf):
+    return _table(spark, sf)
+
+
+@query(f"{_S} SELECT round((all_ - row - col + 2 * cell) / all_, 8) AS rand_index FROM q")
+def rand_index(spark, sf):
+    return evaluation.pair_counts(_table(spark, sf)).select(_r("rand_index", 8))
+
+
+@query(f"{_S} SELECT round((cell - row * col / all_) / ((row + col) / 2 - row * col / all_), 8) AS adjusted_rand FROM q")
+def adjusted_rand(spark, sf):
+    return evaluation.pair_counts(_table(spark, sf)).select(_r("adjusted_rand", 8))
+
+
+@query(f"{_S} SELECT round(cell / row, 8) AS recall, round(cell / col, 8) AS precision FROM q")
+def pairwise_pr(spark, sf):
+    return evaluation.pair_counts(_table(spark, sf)).select(_r("recall", 8), _r("precision", 8))
+
+
+@query(f"{_C}, w AS (SELECT *, sum(n) OVER () AS z, sum(n) OVER (PARTITION BY t) AS nt, sum(n) OVER (PARTITION BY a) AS na FROM ct) SELECT t, a, round(n / z, 8) AS p, round(nt / z, 8) AS p_t, round(na / z, 8) AS p_a, round(n / nt, 8) AS p_a_given_t, round(n / na, 8) AS p_t_given_a FROM w")
+def probabilities(spark, sf):
+    return evaluation.probabilities(_table(spark, sf)).select("t", "a", *[_r(c, 8) for c in ("p", "p_t", "p_a", "p_a_given_t", "p_t_given_a")])
+
+
+_H = f"{_C}, z AS (SELECT CAST(sum(n) AS DOUBLE) AS z FROM ct), j AS (SELECT -sum(n / z * ln(n / z)) AS hj FROM ct, z), t AS (SELECT -sum(x / z * ln(x / z)) AS ht FROM (SELECT sum(n) AS x FROM ct GROUP BY t), z), a AS (SELECT -sum(x / z * ln(x / z)) AS ha FROM (SELECT sum(n) AS x FROM ct GROUP BY a), z)"
+
+
+@query(f"{_H} SELECT round(ht, 6) AS h_truth, round(ha, 6) AS h_found, round(hj - ht, 6) AS h_found_given_truth, round(hj - ha, 6) AS h_truth_given_found FROM j, t, a")
+def entropies(spark, sf):
+    return evaluation.information(_table(spark, sf)).select(*[_r(c) for c in ("h_truth", "h_found", "h_found_given_truth", "h_truth_given_found")])
+
+
+@query(f"{_H} SELECT round(ht + ha - hj, 6) AS mutual_information, round((hj - ha) / ht, 6) AS missed, round((hj - ht) / ha, 6) AS erroneous FROM j, t, a")
+def mutual_info(spark, sf):
+    return evaluation.information(_table(spark, sf)).select(*[_r(c) for c in ("mutual_information", "missed", "erroneous")])
+
+
+@query("SELECT count(*) AS nodes, count(DISTINCT p_brand) AS truth_blocks, CAST(max(p_size % 5) + 1 AS BIGINT) AS found_blocks FROM part")
+def block_counts(spark, sf):
+    return evaluation.counts(*D.part_labels(spark, sf))
+
+
+@query()
+def matched_accuracy(spark, sf):
+    return evaluation.accuracy(_table(spark, sf))
+
+
+# ---- sparse networks ----------------------------------------------------------------------------
+
+
+def network_sql(layers: int) -> str:
+    out = [f"WITH w AS ({D.NETWORK}), y0 AS ({D.FEATURES})"]
+    for k in range(1, layers + 1):
+        out.append(f"y{k} AS (SELECT img, neuron, least(greatest(z + {D.NET_BIAS}, 0), 32) AS val FROM (SELECT img, w.j AS neuron, sum(val * w) AS z FROM y{k - 1} JOIN w ON w.i = neuron AND layer = {k} GROUP BY 1, 2) WHERE z <> 0 AND z + {D.NET_BIAS} > 0)")
+    return ", ".join(out)
+
+
+@query(f"{network_sql(1)} SELECT img, neuron, round(val, 6) AS val FROM y1")
+def dnn_layer(spark, sf):
+    y = dnn.layer_step(D.features(spark, sf), D.network(spark).where("layer = 1"), D.NET_BIAS)
+    return y.select("img", "neuron", _r("val"))
+
+
+@query(f"{network_sql(3)} SELECT img, neuron, round(val, 6) AS val FROM y3")
+def dnn_inference(spark, sf):
+    return dnn.infer(D.features(spark, sf), D.network(spark), D.LAYERS, D.NET_BIAS).select("img", "neuron", _r("val"))
+
+
+@query(f"{network_sql(3)} SELECT DISTINCT img AS category FROM y3")
+def dnn_categories(spark, sf):
+    return dnn.categories(dnn.infer(D.features(spark, sf), D.network(spark), D.LAYERS, D.NET_BIAS))
+
+
+@query(f"{network_sql(3)}, c AS (SELECT DISTINCT img AS category FROM y3), t AS (SELECT vec_id AS category FROM embeddings) SELECT category, 'found' AS side FROM c WHERE category NOT IN (SELECT category FROM t) UNION ALL SELECT category, 'truth' FROM t WHERE category NOT IN (SELECT category FROM c)")
+def dnn_verify(spark, sf):
+    """Against all images as truth: what the network leaves without any activation."""
+    cats = dnn.categories(dnn.infer(D.features(spark, sf), D.network(spark), D.LAYERS, D.NET_BIAS))
+    return dnn.verify(cats, D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("category")))
+
+
+# ---- stages and streams -------------------------------------------------------------------------
+
+_ST = f"WITH e AS ({D.STAGED_VISITS}), u AS (SELECT unnest(generate_series(1, 10)) AS upto)"
+
+
+@query(f"{_ST} SELECT CAST(upto AS INTEGER) AS upto, max(greatest(src, dst)) AS nodes, count(*) AS edges, count(DISTINCT (src, dst)) AS pairs FROM u JOIN e ON stage <= upto GROUP BY upto")
+def stage_cumulative_stats(spark, sf):
+    return staged.cumulative_stats(D.staged_visits(spark, sf), D.STAGES)
+
+
+@query(f"WITH e AS ({D.CO_SUPPLY}), s AS (SELECT a, b, CAST((a + b) % 10 + 1 AS INTEGER) AS stage FROM e), u AS (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS upto) SELECT upto, (SELECT count(*) FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b WHERE greatest(x.stage, y.stage, z.stage) <= upto) AS triangles FROM u")
+def stage_cumulative_triangles(spark, sf):
+    e = D.co_supply(spark, sf).select(F.col("a").alias("src"), F.col("b").alias("dst"), ((F.col("a") + F.col("b")) % 10 + 1).cast("int").alias("stage"))
+    return staged.cumulative_triangles(e, D.STAGES)
+
+
+@query(f"{_ST}, f AS (SELECT node, min(stage) AS first_stage FROM (SELECT src AS node, stage FROM e UNION ALL SELECT dst, stage FROM e) GROUP BY node) SELECT node, first_stage, row_number() OVER (ORDER BY first_stage, node) AS at FROM f")
+def stage_reindex(spark, sf):
+    return generate.arrival_index(D.staged_visits(spark, sf))
+
+
+@query(
+    f"""WITH e AS ({D.TRADE}), q AS (SELECT src, dst, CAST((src + dst) % 10 + 1 AS INTEGER) AS stage FROM e), seen AS (SELECT DISTINCT node FROM (SELECT src AS node FROM q WHERE stage <= 3 UNION ALL SELECT dst FROM q WHERE stage <= 3)),
+  p AS ({D.TRADE_BLOCKS}), ct AS (SELECT block AS t, block % 7 AS a, count(*) AS n FROM p JOIN seen ON seen.node = p.node GROUP BY 1, 2),
+  s AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS cell FROM ct), t AS (SELECT sum(x * (x - 1) / 2) AS row FROM (SELECT sum(n) AS x FROM ct GROUP BY t)), a AS (SELECT sum(x * (x - 1) / 2) AS col FROM (SELECT sum(n) AS x FROM ct GROUP BY a)), z AS (SELECT *, n * (n - 1) / 2 AS all_ FROM s, t, a)
+  SELECT round((all_ - row - col + 2 * cell) / all_, 6) AS rand_index, round(cell / row, 6) AS recall, round(cell / col, 6) AS precision FROM z"""
+)
+def stage_eval(spark, sf):
+    e, p = D.trade(spark, sf), D.trade_blocks(spark, sf)
+    found = p.select("node", (F.col("block") % 7).alias("block"))
+    return staged.stage_scores(e.withColumn("stage", ((F.col("src") + F.col("dst")) % 10 + 1).cast("int")), p, found, 3).select(_r("rand_index"), _r("recall"), _r("precision"))
+
+
+@query()
+def stage_snowball(spark, sf):
+    return generate.snowball_stages(D.staged_visits(spark, sf).select("src", "dst").distinct())
+
+
+@query()
+def stage_emerging(spark, sf):
+    return generate.emerging_stages(D.trade(spark, sf))
+
+
+def _stream_folder(spark, staged_edges: DataFrame) -> str:
+    folder = _folder(spark, "stages")
+    staged_edges.repartition("stage").write.partitionBy("stage").csv(folder, sep="\t")
+    return folder
+
+
+def _arrivals(spark, sf):
+    e = D.co_supply(spark, sf).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"), ((F.col("a") + F.col("b")) % 10 + 1).cast("int").alias("stage"))
+    folder = _stream_folder(spark, e)
+    return spark.readStream.schema(text.EDGE + ", stage int").option("sep", "\t").option("maxFilesPerTrigger", 3).csv(folder)
+
+
+@query(f"WITH e AS ({D.CO_SUPPLY}) SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+def stream_triangle_count(spark, sf):
+    """Incremental counts per micro-batch; the last is the graph's."""
+    counter = staged.TriangleCounter()
+    run = _arrivals(spark, sf).writeStream.foreachBatch(counter).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.createDataFrame([(counter.total,)], "triangles long")
+
+
+@query(f"WITH e AS ({D.CO_SUPPLY}) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node")
+def stream_degrees(spark, sf):
+    """Stateful streaming degrees; the table of the last update."""
+    path = _folder(spark, "degrees")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/{batch_id:06d}")
+
+    run = staged.running_degrees(_arrivals(spark, sf)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.read.option("recursiveFileLookup", True).parquet(path).select("node", "degree")
+    return last.groupBy("node").agg(F.max("degree").alias("degree"))
+
+
+@query(f"WITH e AS ({D.CO_SUPPLY}), p AS (SELECT s_suppkey AS node, CAST(s_nationkey AS BIGINT) AS block FROM supplier) SELECT x.block AS r, y.block AS s, CAST(count(*) AS DOUBLE) AS m FROM e JOIN p x ON x.node = a JOIN p y ON y.node = b GROUP BY 1, 2")
+def stream_block_counts(spark, sf):
+    part = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").cast("long").alias("block"))
+    path = _folder(spark, "blocks")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/{batch_id:06d}")
+
+    run = staged.running_block_counts(_arrivals(spark, sf), part).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(path).groupBy("r", "s").agg(F.max("m").alias("m"))
+
+
+# ---- generators ---------------------------------------------------------------------------------
+
+
+@query()
+def rmat_edges(spark, sf):
+    return generate.rmat(spark, 10, 16)
+
+
+@query()
+def sbm_graph(spark, sf):
+    return generate.sbm(spark, 500)[0]
+
+
+def FLAGSHIP(spark, sf_dir: str) -> DataFrame:
+    """Triangles per part of the co-purchase graph, the busiest twenty (a report, hence the limit)."""
+    t = triangles.vertex_degrees(triangles.enumerate_triangles(D.co_purchase(spark, sf_dir)))
+    return t.orderBy(F.col("triangles").desc(), "vertex").limit(20)
