@@ -75,6 +75,11 @@ class Pieces:
         self.char = np.array(sorted(single), np.int64)
         self.char_symbol = np.array([single[c] for c in self.char.tolist()], np.int64)
         self.mark = symbol[_MARK]
+        # symbols of the basic plane's characters, and the pieces of pairs of the commonest ones, directly
+        self.plane = self.known + np.arange(1 << 16)
+        basic = self.char < 1 << 16
+        self.plane[self.char[basic]] = self.char_symbol[basic]
+        self.plane[32] = self.mark
         pairs = {}
         for i in plain:
             p = text[i]
@@ -85,17 +90,31 @@ class Pieces:
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_piece = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
         self.pairs = pairs
+        # a hash table with one pair per slot; slots that several pairs want also look in the sorted list
+        self.factor, self.shift = _U(0x9E3779B97F4A7C15), _U(64 - 20)
+        slot = ((self.pair.view(_U) * self.factor) >> self.shift).astype(np.int64)
+        self.slot_key, self.slot_piece = np.full(1 << 20, -2, np.int64), np.full(1 << 20, -1, np.int64)
+        self.slot_key[slot], self.slot_piece[slot] = self.pair, self.pair_piece
+        self.crowded = np.bincount(slot, minlength=1 << 20) > 1
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.char, points), len(self.char) - 1)
-        out = np.where(self.char[at] == points, self.char_symbol[at], self.known + points)
-        return np.where(points == 32, self.mark, out)
+        out = self.plane[np.minimum(points, (1 << 16) - 1)]
+        far = np.flatnonzero(points >= 1 << 16)
+        if len(far):
+            at = np.minimum(np.searchsorted(self.char, points[far]), len(self.char) - 1)
+            out[far] = np.where(self.char[at] == points[far], self.char_symbol[at], self.known + points[far])
+        return out
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece of each pair of symbols, or -1."""
         key = np.where((a < self.known) & (b < self.known), (a << 20) | b, -1)
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.pair_piece[at], -1)
+        slot = ((key.view(_U) * self.factor) >> self.shift).astype(np.int64)
+        out = np.where(self.slot_key[slot] == key, self.slot_piece[slot], -1)
+        todo = np.flatnonzero((self.slot_key[slot] != key) & self.crowded[slot])
+        if len(todo):
+            at = np.minimum(np.searchsorted(self.pair, key[todo]), len(self.pair) - 1)
+            out[todo] = np.where(self.pair[at] == key[todo], self.pair_piece[at], -1)
+        return out
 
     def ids(self, symbols: list[int]) -> list[int]:
         """Final ids: characters that are no piece fall back to bytes."""
@@ -180,7 +199,9 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float) ->
         a, b = at, np.where(ok, at + 1, at)
         piece = np.where(ok & (owner[a] == owner[b]), pieces.merged(sym[a], sym[b]), -1)
         if rate:
-            piece[piece >= 0] = np.where(skipped(keys[owner[a]], start[a], start[b], end[b], rate), -1, piece)[piece >= 0]
+            k = np.flatnonzero(piece >= 0)
+            a, b = a[k], b[k]
+            piece[k[skipped(keys[owner[a]], start[a], start[b], end[b], rate)]] = -1
         return np.where(piece >= 0, pieces.rank[np.maximum(piece, 0)], _NONE), piece
 
     rank, piece = candidates(np.arange(len(sym)))
@@ -189,11 +210,11 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float) ->
         best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), first)
         done = (best >> 32) == _NONE
         if done.any():
-            bounds = np.append(first, len(sym))
-            values = sym.tolist()
-            for k in np.flatnonzero(done).tolist():
-                out[owner[first[k]]] = values[bounds[k] : bounds[k + 1]]
-            keep = np.repeat(~done, np.diff(bounds))
+            size = np.diff(np.append(first, len(sym)))
+            keep = np.repeat(~done, size)
+            values, cuts = sym[~keep].tolist(), [0, *np.cumsum(size[done]).tolist()]
+            for k, lo, hi in zip(owner[first[done]].tolist(), cuts, cuts[1:], strict=False):
+                out[k] = values[lo:hi]
             shift = np.cumsum(keep) - 1
             at = shift[(best & 0xFFFFFFFF)[~done]]
             sym, owner, start, end, rank, piece = (x[keep] for x in (sym, owner, start, end, rank, piece))
@@ -206,7 +227,10 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float) ->
         keep[at + 1] = False
         at = (np.cumsum(keep) - 1)[at]
         sym, owner, start, end, rank, piece = (x[keep] for x in (sym, owner, start, end, rank, piece))
-        again = np.unique(np.concatenate((at, at[at > 0] - 1)))
+        touched = np.zeros(len(sym), bool)
+        touched[at] = True
+        touched[at[at > 0] - 1] = True
+        again = np.flatnonzero(touched)
         rank[again], piece[again] = candidates(again)
     return out
 
