@@ -31,7 +31,7 @@ from trellis.session import materialize
 
 RADIUS = 3
 SEED = 42
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 
 
 def simhash(text: bytes, shingle: int) -> int:
@@ -99,8 +99,8 @@ class BKForest:
         self.begin = np.searchsorted(up, np.arange(n))
         self.count = np.searchsorted(up, np.arange(n), side="right") - self.begin
 
-    def neighbours(self, query: np.ndarray, radius: int):
-        """Blocks of (query, neighbour) index pairs within the radius, itself excluded."""
+    def neighbours(self, query: np.ndarray, radius: int, both: bool = False):
+        """Blocks of (query, neighbour) index pairs within the radius, itself excluded; each pair once or both ways."""
         stack = [(query, self.root_of[query])]
         while stack:
             q, node = stack.pop()
@@ -108,7 +108,7 @@ class BKForest:
                 stack += [(q[k : k + FRONTIER], node[k : k + FRONTIER]) for k in range(0, len(q), FRONTIER)]
                 continue
             d = np.bitwise_count(self.values[q] ^ self.values[node]).astype(np.int64)
-            hit = (d <= radius) & (q < node)
+            hit = (d <= radius) & ((q != node) if both else (q < node))
             if hit.any():
                 yield q[hit], node[hit]
             c = self.count[node]
@@ -195,6 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS) -> Data
 SEEDS = 4
 SKETCH = 256
 SIMILARITY = 0.8
+GROUP = 512
+QUERIES = 16
 _PAD = np.uint32(0xFFFFFFFF)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -248,6 +250,7 @@ class Shards:
         self.begin = np.flatnonzero(new)
         self.size = np.diff(np.append(self.begin, len(k)))
         self.forest = BKForest(fp[new].view(np.uint64), k[new])
+        self.shard = np.cumsum(np.append(True, k[new][1:] != k[new][:-1])) - 1 if len(k) else np.zeros(0, np.int64)
         self.radius = radius
 
     def hits(self):
@@ -255,6 +258,27 @@ class Shards:
         for lo in range(0, n, 1 << 13):
             yield from self.forest.neighbours(np.arange(lo, min(n, lo + (1 << 13))), self.radius)
 
+    def near(self, nodes: np.ndarray) -> dict[int, np.ndarray]:
+        """For each node itself and its neighbours."""
+        found = [*self.forest.neighbours(nodes, self.radius, both=True)]
+        a, b = (np.concatenate([nodes, *(x[i] for x in found)]) for i in (0, 1))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        return dict(zip(a[cuts].tolist(), np.split(b, cuts[1:]), strict=True))
+
+    def groups(self):
+        """Ranges of whole shards with GROUP nodes or so; a larger shard stands alone."""
+        ends = np.flatnonzero(np.append(self.shard[1:] != self.shard[:-1], True)) + 1 if len(self.shard) else []
+        lo = hi = 0
+        for e in ends:
+            if e - lo > GROUP and hi > lo:
+                yield lo, hi
+                lo = hi
+            hi = int(e)
+        if hi > lo:
+            yield lo, hi
+
 
 def candidates(rows: DataFrame, radius: int) -> DataFrame:
     """The rows (b, k, fp, uid) whose shard holds another document within the radius."""
@@ -281,31 +305,35 @@ def verified_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
         s = Shards(t["k"].to_numpy(), t["fp"].to_numpy(), radius)
         uid, sketch = uid[s.order], sketch[s.order]
-        near = [np.arange(len(s.begin))] * 2
-        found = [*s.hits()]
-        a, b = (np.concatenate([near[0], *(x[i] for x in found), *(x[1 - i] for x in found)]) for i in (0, 1))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        first = np.searchsorted(a, np.arange(len(s.begin) + 1))
         free = np.ones(len(uid), bool)
         u, v = [], []
-        for root in range(len(uid)):
-            if not free[root]:
-                continue
+
+        def grow(root: int, last: int, near: dict[int, np.ndarray]) -> None:
+            """Everything that verified similarity connects with root; last: the end of its shards' rows."""
             free[root] = False
             queue = [root]
-            while queue:
-                i = queue.pop()
-                nodes = b[first[s.node[i]] : first[s.node[i] + 1]]
-                others = T.spread(s.begin[nodes], s.size[nodes])
-                others = others[free[others]]
-                for lo in range(0, len(others), 1 << 12):
-                    part = others[lo : lo + (1 << 12)]
-                    same = part[similarity(sketch[i], sketch[part]) >= least]
-                    free[same] = False
-                    queue += same.tolist()
-                    u.append(uid[same])
-                    v.append(np.full(len(same), uid[root]))
+            while queue and free[root:last].any():
+                batch, queue = queue[-QUERIES:], queue[:-QUERIES]
+                unknown = sorted({int(n) for n in s.node[batch]} - near.keys())
+                found = near if not unknown else near | s.near(np.array(unknown))
+                for i in batch:
+                    nodes = found[int(s.node[i])]
+                    others = T.spread(s.begin[nodes], s.size[nodes])
+                    others = others[free[others]]
+                    for lo in range(0, len(others), 1 << 12):
+                        part = others[lo : lo + (1 << 12)]
+                        same = part[similarity(sketch[i], sketch[part]) >= least]
+                        free[same] = False
+                        queue += same.tolist()
+                        u.append(uid[same])
+                        v.append(np.full(len(same), uid[root]))
+
+        for lo, hi in s.groups():
+            near = s.near(np.arange(lo, hi)) if hi - lo <= GROUP else {}
+            last = int(s.begin[hi - 1] + s.size[hi - 1])
+            for root in range(int(s.begin[lo]), last):
+                if free[root]:
+                    grow(root, last, near)
         return pa.table({"u": pa.array(np.concatenate(u) if u else [], pa.int64()), "v": pa.array(np.concatenate(v) if v else [], pa.int64())})
 
     return rows.groupBy("b").applyInArrow(work, "u long, v long")
