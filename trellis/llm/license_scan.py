@@ -37,7 +37,7 @@ PHRASES = {
 # Label | SPDX identifiers | names (regex) | keyword of the names | address (regex)
 LICENCES = """
 mit | mit | (?:the )?mit(?:/x11)? license|expat license | license | opensource\\.org/licen[sc]es/mit
-mit-0 | mit-0 | mit no attribution | mit no | opensource\\.org/licen[sc]es/mit-0
+mit-0 | mit-0 | mit no attribution | attribution | opensource\\.org/licen[sc]es/mit-0
 apache-2.0 | apache-2\\.0 | apache(?: software)? licen[sc]e,? (?:version|v\\.?) ?2(?:\\.0)? | apache | apache\\.org/licenses/license-2\\.0
 apache-1.1 | apache-1\\.1 | apache software licen[sc]e,? (?:version|v\\.?) ?1\\.1 | apache | apache\\.org/licenses/license-1\\.1
 apache-any | apache | apache(?: software)? licen[sc]e | apache | apache\\.org/licenses
@@ -68,15 +68,15 @@ cc-by-nc-sa-4.0 | cc-by-nc-sa-4\\.0 | cc[- ]by[- ]nc[- ]sa[- ]4\\.0 | 4.0 | crea
 cc-by-nc-nd-4.0 | cc-by-nc-nd-4\\.0 | cc[- ]by[- ]nc[- ]nd[- ]4\\.0 | 4.0 | creativecommons\\.org/licenses/by-nc-nd/4\\.0
 cc-by-any | cc-by(?:-nc|-sa|-nd)* | cc[- ]by(?:[- ](?:nc|sa|nd))*|creative commons attribution | c | creativecommons\\.org/licenses/by
 cc0-1.0 | cc0(?:-1\\.0)? | cc0(?: 1\\.0)?(?: universal)?|creative commons zero | c | creativecommons\\.org/publicdomain/zero
-public-domain | pddc | (?:dedicated to|released into|in) the public domain | public domain | creativecommons\\.org/publicdomain/mark
+public-domain | pddc | (?:dedicated to|released into|in) the public domain | domain | creativecommons\\.org/publicdomain/mark
 mpl-2.0 | mpl-2\\.0 | mozilla public licen[sc]e,? (?:version|v\\.?) ?2(?:\\.0)? | mozilla | mozilla\\.org/(?:en-us/)?mpl/2\\.0
 mpl-1.1 | mpl-1\\.1 | mozilla public licen[sc]e,? (?:version|v\\.?) ?1\\.1 | mozilla | mozilla\\.org/mpl/mpl-1\\.1
 mpl-any | mpl | mozilla public licen[sc]e | mozilla | mozilla\\.org/mpl
 epl-2.0 | epl-2\\.0 | eclipse public licen[sc]e,? (?:version|v\\.?|-) ?2(?:\\.0)? | eclipse | eclipse\\.org/legal/epl-2
 epl-1.0 | epl-1\\.0 | eclipse public licen[sc]e,? (?:version|v\\.?|-) ?1(?:\\.0)? | eclipse | eclipse\\.org/legal/epl-v10
-cddl-1.0 | cddl-1\\.[01] | common development and distribution licen[sc]e | common development | opensource\\.org/licen[sc]es/cddl
-cpl-1.0 | cpl-1\\.0 | common public licen[sc]e | common public | opensource\\.org/licen[sc]es/cpl
-eupl-1.2 | eupl-1\\.[12] | european union public licen[sc]e | european union | joinup\\.ec\\.europa\\.eu/.{0,40}eupl
+cddl-1.0 | cddl-1\\.[01] | common development and distribution licen[sc]e | development | opensource\\.org/licen[sc]es/cddl
+cpl-1.0 | cpl-1\\.0 | common public licen[sc]e | common | opensource\\.org/licen[sc]es/cpl
+eupl-1.2 | eupl-1\\.[12] | european union public licen[sc]e | european | joinup\\.ec\\.europa\\.eu/.{0,40}eupl
 isc | isc | isc licen[sc]e | isc | opensource\\.org/licen[sc]es/isc
 zlib | zlib | zlib(?:/libpng)? licen[sc]e | zlib | opensource\\.org/licen[sc]es/zlib
 unlicense | unlicense | the unlicense | unlicense | unlicense\\.org
@@ -84,31 +84,31 @@ wtfpl | wtfpl | do what the fuck you want to public licen[sc]e | public | wtfpl\
 boost-1.0 | bsl-1\\.0 | boost software licen[sc]e | boost | boost\\.org/license
 artistic-2.0 | artistic-2\\.0 | artistic licen[sc]e,? (?:version |v\\.?)?2(?:\\.0)? | artistic | opensource\\.org/licen[sc]es/artistic-2
 artistic-1.0 | artistic-1\\.0 | artistic licen[sc]e | artistic | opensource\\.org/licen[sc]es/artistic-1
-ofl-1.1 | ofl-1\\.1 | sil open font licen[sc]e | open font | scripts\\.sil\\.org/ofl
+ofl-1.1 | ofl-1\\.1 | sil open font licen[sc]e | font | scripts\\.sil\\.org/ofl
 ms-pl | ms-pl | microsoft public licen[sc]e | microsoft | opensource\\.org/licen[sc]es/ms-pl
 ms-rl | ms-rl | microsoft reciprocal licen[sc]e | microsoft | opensource\\.org/licen[sc]es/ms-rl
 odbl-1.0 | odbl-1\\.0 | open (?:data commons open )?database licen[sc]e | database | opendatacommons\\.org/licenses/odbl
-odc-by | odc-by-1\\.0 | open data commons attribution licen[sc]e | open data | opendatacommons\\.org/licenses/by
-pddl | pddl-1\\.0 | public domain dedication and licen[sc]e | public domain | opendatacommons\\.org/licenses/pddl
+odc-by | odc-by-1\\.0 | open data commons attribution licen[sc]e | data | opendatacommons\\.org/licenses/by
+pddl | pddl-1\\.0 | public domain dedication and licen[sc]e | domain | opendatacommons\\.org/licenses/pddl
 psf-2.0 | psf-2\\.0|python-2\\.0 | python software foundation licen[sc]e | python | docs\\.python\\.org/.{0,12}license
 ruby | ruby | ruby licen[sc]e | ruby | ruby-lang\\.org/.{0,10}license
 php-3.01 | php-3\\.01? | php licen[sc]e | php | php\\.net/license
 postgresql | postgresql | postgresql licen[sc]e | postgresql | postgresql\\.org/about/licen[sc]e
 openssl | openssl | openssl licen[sc]e | openssl | openssl\\.org/source/license
-sspl-1.0 | sspl-1\\.0 | server side public licen[sc]e | server side | mongodb\\.com/licensing/server-side
-busl-1.1 | busl-1\\.1 | business source licen[sc]e | business source | mariadb\\.com/bsl
+sspl-1.0 | sspl-1\\.0 | server side public licen[sc]e | server | mongodb\\.com/licensing/server-side
+busl-1.1 | busl-1\\.1 | business source licen[sc]e | business | mariadb\\.com/bsl
 openrail-m | openrail-?m? | open rail(?:-m|\\+\\+-m)? licen[sc]e|openrail | rail | bigscience.{0,20}openrail
 llama-community | llama | llama \\d(?:\\.\\d)? community licen[sc]e | community | ai\\.meta\\.com/llama/license
-all-rights | licenseref-proprietary | all rights reserved | rights reserved | choosealicense\\.com/no-permission
+all-rights | licenseref-proprietary | all rights reserved | reserved | choosealicense\\.com/no-permission
 """
 
 #: form -> (priority, score, pattern around a licence's name or identifier)
 FORMS = {
     "tag": (5, 1.0, r"spdx-license-identifier:\s*(?:{id})(?![a-z0-9.+-]*[a-z0-9])"),
     "address": (4, 0.95, r"https?://(?:www\.)?(?:{url})"),
-    "notice": (3, 0.9, r"(?:licen[sc]ed|released|distributed|available|provided|published)\s+under\s+(?:(?:the\s+)?terms\s+of\s+)?(?:(?:the|an?)\s+)?(?:{name})\b"),
-    "name": (2, 0.8, r"\b(?:{name})\b"),
-    "mention": (1, 0.6, r"\b(?:{id})[ -]licen[sc]ed?\b"),
+    "notice": (3, 0.9, r"(?:licen[sc]ed|released|distributed|available|provided|published)\s+under\s+(?:(?:the\s+)?terms\s+of\s+)?(?:(?:the|an?)\s+)?(?:{name})(?![a-z0-9\x80-\xff])"),
+    "name": (2, 0.8, r"(?<![a-z0-9\x80-\xff])(?:{name})(?![a-z0-9\x80-\xff])"),
+    "mention": (1, 0.6, r"(?<![a-z0-9\x80-\xff])(?:{id})[ -]licen[sc]ed?(?![a-z0-9\x80-\xff])"),
 }
 _KEYWORD = {"tag": "spdx-license-identifier", "address": "://", "notice": "under", "mention": "licen"}
 
@@ -124,7 +124,7 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules, by priority; blanks in names match any run of blanks."""
+    """All rules, by priority; blanks in names match any run of blanks, and no keyword has one."""
     out = []
     for line in LICENCES.strip().splitlines():
         label, ids, names, word, url = (x.strip() for x in re.split(r" \| ", line))
@@ -148,7 +148,7 @@ def prefilter(all_rules: list[Rule]) -> ahocorasick.Automaton:
 
 
 #: Every rule needs one of these, so most texts end here.
-_ANY = (b"licen", b"licence", b"spdx", b"://", b"gpl", b"cc-", b"cc ", b"cc0", b"public domain", b"reserved", b"attribution", b"creative", b"openrail", b"under", b"no attribution")
+_ANY = (b"licen", b"spdx", b"://", b"gpl", b"cc-", b"cc ", b"cc0", b"domain", b"reserved", b"attribution", b"creative", b"rail", b"under")
 
 
 def detections(text: bytes, all_rules: list[Rule], automaton: ahocorasick.Automaton) -> list[tuple[int, int, Rule]]:
