@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trellis.llm import chat_format, exact_dedup, license_scan, packing, scaled_sketch, simhash_bk, sp_codec, substring_index, suffix_dedup, toxicity
+from trellis.llm import chat_format, common, exact_dedup, license_scan, packing, scaled_sketch, simhash_bk, sp_codec, substring_index, suffix_dedup, toxicity
 from trellis.llm import textnp as T
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,6 +237,31 @@ def test_substring_dedup_over_small_units(spark, monkeypatch, unit):
     check_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), rows)
 
 
+@pytest.mark.parametrize("module", [substring_index, suffix_dedup])
+def test_hot_anchors_change_nothing(spark, monkeypatch, module):
+    monkeypatch.setattr(module, "UNIT_BYTES", 3000)
+    seen = []
+    keys = common.hot_keys
+
+    def few(docs, keys_of, **kw):
+        seen.append(keys(docs, keys_of, records=4))
+        return seen[-1]
+
+    monkeypatch.setattr(common, "hot_keys", few)
+    rng = random.Random(8)
+    passage = words(rng, 70, 900)
+    rows = [(k, words(rng, rng.randint(5, 30), 900) + " " + passage + " " + words(rng, rng.randint(5, 30), 900)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    (check_windows if module is substring_index else check_bytes)(df, rows)
+    assert len(seen[0]) > 2
+
+
+def test_squeezed_parts():
+    parts = (np.arange(5, dtype=np.uint64), np.array([], np.uint32), b"abc", np.array([-3], np.int64), np.array([7, 8], np.uint8), np.array([9], np.uint16))
+    back = common.expand(common.squeeze(*parts))
+    assert all(x == y if isinstance(x, bytes) else x.dtype == y.dtype and x.tolist() == y.tolist() for x, y in zip(parts, back, strict=True))
+
+
 def test_index_across_batches(spark, tmp_path):
     rng = random.Random(6)
     pool = [words(rng, 25, 300) for _ in range(5)]

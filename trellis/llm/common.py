@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,11 +82,33 @@ def _slices(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordB
         lo = hi
 
 
-def dump(*parts) -> bytes:
-    return pickle.dumps(parts, protocol=5)
+_CODES = [np.dtype(x) for x in ("u1", "<u2", "<u4", "<u8", "<i8", "<i4")]
 
 
-load = pickle.loads
+def squeeze(*parts) -> bytes:
+    """Arrays and byte strings as one compressed string with six bytes of overhead each, as many are tiny."""
+    out = []
+    for p in parts:
+        if isinstance(p, bytes):
+            out.append(struct.pack("<BI", 255, len(p)) + p)
+        else:
+            p = np.ascontiguousarray(p)
+            out.append(struct.pack("<BI", _CODES.index(p.dtype), len(p)) + p.tobytes())
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(b"".join(out))
+
+
+def expand(blob: bytes) -> list:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(raw):
+        code, n = struct.unpack_from("<BI", raw, at)
+        at += 5
+        if code == 255:
+            out.append(raw[at : at + n])
+            at += n
+        else:
+            out.append(np.frombuffer(raw, _CODES[code], n, at))
+            at += n * _CODES[code].itemsize
+    return out
 
 
 def to_ipc(t: pa.Table) -> bytes:
@@ -122,8 +145,40 @@ def packed(docs: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
     return docs.mapInArrow(pack, "b long, blob binary")
 
 
-def blob_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"b": pa.array([b for b, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+HOT_SAMPLE = 20_000
+HOT_RECORDS = 5_000
+HOT_KEYS = 1 << 16
+
+
+def hot_keys(docs: DataFrame, keys_of, most: int = HOT_SAMPLE, records: int = HOT_RECORDS) -> np.ndarray:
+    """Keys that about ``records`` documents or more share, judged on about ``most`` sampled ones.
+
+    keys_of(texts) gives the unsigned keys of some texts.  The list only decides how rows are dealt, so
+    what the sample misses costs balance and no results; at most HOT_KEYS of them leave the cluster.
+    """
+    n = docs.count()
+    share = min(1.0, most / max(n, 1))
+    if n < records:
+        return np.zeros(0, np.uint64)
+
+    def work(batches):
+        for t in large_batches(batches, limit=4 << 20):
+            each = [np.unique(keys_of([x])) for x in T.raw_texts(t["text"])]
+            k, c = np.unique(np.concatenate(each), return_counts=True)
+            often = c > 1  # singles of a unit are no hint of anything
+            yield pa.RecordBatch.from_arrays([pa.array(k[often].astype(np.uint64).view(np.int64)), pa.array(c[often].astype(np.int64))], names=["k", "c"])
+
+    found = docs.select("text").sample(share, seed=7).mapInArrow(work, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    rows = found.where(F.col("c") >= max(4, int(records * share))).orderBy(F.col("c").desc(), "k").limit(HOT_KEYS).collect()
+    return np.sort(np.array([r["k"] for r in rows], np.int64).view(np.uint64))
+
+
+def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a sorted table holds."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values
 
 
 def lookup_skewed(left: DataFrame, right: DataFrame, key: str, size: str, share: int = 200) -> DataFrame:

@@ -10,6 +10,9 @@ with the sorted immutable runs of all earlier windows, and its new windows becom
 like size are compacted.  The runs can be kept as a table (``FingerprintIndex``), so that a later batch
 of documents is deduplicated against all history and only its own rows are read.
 
+An anchor that very many documents hold would make its bucket as large as they are many; the windows of
+such hot anchors (found on a sample, see ``common.hot_keys``) are dealt one by one, by their own hash.
+
 Windows that start earlier within the same unit of work are settled there and not sent, so a passage
 that a third of all documents hold is one record a unit of work and not one a document.
 
@@ -24,13 +27,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from trellis.llm import common as C
 from trellis.llm import textnp as T
+from trellis.llm.common import expand, squeeze
 from trellis.session import materialize
 
 MIN_WORDS = 20
@@ -43,14 +46,6 @@ _ROW = "b long, kind int, blob binary"
 NEW, REMOVED, RUN = 0, 1, 2
 
 
-def squeeze(*parts) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(C.dump(*parts))
-
-
-def expand(blob: bytes):
-    return C.load(zstandard.ZstdDecompressor().decompress(blob))
-
-
 def windows_of(texts: list[bytes]):
     """All windows of the texts in order: anchor hash, full hash (40 bits), text number, start, anchor place."""
     parts = []
@@ -135,7 +130,11 @@ def row_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["b", "kind", "blob"])
 
 
-def window_rows(docs: DataFrame, n: int) -> DataFrame:
+def anchors_of(texts: list[bytes]) -> np.ndarray:
+    return windows_of(texts)[0]
+
+
+def window_rows(docs: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     """Per unit of work: windows to look up, by bucket, and the removals that it settles itself."""
 
     def work(batches):
@@ -145,6 +144,8 @@ def window_rows(docs: DataFrame, n: int) -> DataFrame:
             order = np.lexsort((tags, ids))
             ids, tags = ids[order], tags[order]
             anchor, full, doc, s, place = windows_of([texts[i] for i in order])
+            single = C.member(anchor, hot)
+            anchor[single] = T.mix(anchor[single] ^ full[single])
             twin = same_as_previous(ids, tags)[doc] if len(doc) else np.zeros(0, bool)
             by, _ = identity_order(anchor, full)
             later = np.zeros(len(by), bool)
@@ -152,7 +153,7 @@ def window_rows(docs: DataFrame, n: int) -> DataFrame:
             later &= ~twin
             gone = twin | later
             # runs of consecutive windows with one anchor
-            new = ~same_as_previous(doc, place) | (np.diff(gone, prepend=False) != 0)
+            new = ~same_as_previous(doc, place) | (np.diff(gone, prepend=False) != 0) | single | np.append(False, single[:-1])
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(doc)))
             sent = ~gone[first]
@@ -286,9 +287,12 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int, max_runs: int = 4):
         self.spark, self.path, self.n, self.max_runs = spark, path.rstrip("/"), buckets, max_runs
         self.live: list[str] = []
+        self.hot: np.ndarray | None = None  # fixed by the first batch, as equal windows must meet
 
     def add(self, docs: DataFrame) -> DataFrame:
-        rows = window_rows(docs, self.n)
+        if self.hot is None:
+            self.hot = C.hot_keys(docs, anchors_of)
+        rows = window_rows(docs, self.n, self.hot)
         for run in self.live:
             rows = rows.unionByName(self.spark.read.schema(_ROW).parquet(run))
         matched = materialize(match_rows(rows, self.n, keep_runs=True), "matched")
@@ -315,7 +319,7 @@ class FingerprintIndex:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Docs with _kept_text, _n_words, _n_removed: repeats of earlier windows of the same table removed."""
     n = C.bucket_count(docs)
-    found = materialize(match_rows(window_rows(docs, n), n, keep_runs=False), "repeats")
+    found = materialize(match_rows(window_rows(docs, n, C.hot_keys(docs, anchors_of)), n, keep_runs=False), "repeats")
     return cut_documents(docs, found.select("b", "blob"), n)
 
 

@@ -13,7 +13,9 @@ arrays serve where a repeat is possible at all, which three steps find:
    prefixes), Kasai's common prefixes, and from both the classes of equal windows; the shards' sorted
    classes are merged by binary search.
 
-Contexts that recur within a unit of work are settled there: they leave one record, so groups of any
+An anchor that very many documents hold would gather as many different contexts in a bucket; each window
+of such a hot anchor (found on a sample, see ``common.hot_keys``) is a context of its own, dealt by its
+first and last gram.  Contexts that recur within a unit of work are settled there: they leave one record, so groups of any
 number of copies cost one record a unit.
 
 Defined results: null counts as empty; texts under WIDTH bytes lose nothing; rows equal in doc_id and
@@ -31,7 +33,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trellis.llm import common as C
 from trellis.llm import textnp as T
-from trellis.llm.substring_index import REMOVED, covered, expand, per_document, removal_rows, row_batch, same_as_previous, squeeze
+from trellis.llm.common import expand, squeeze
+from trellis.llm.substring_index import REMOVED, covered, per_document, removal_rows, row_batch, same_as_previous
 from trellis.session import materialize
 
 WIDTH = 200
@@ -204,7 +207,25 @@ def repeated_windows(data: np.ndarray, length: np.ndarray, copies: np.ndarray, s
 # ---- Spark steps -----------------------------------------------------------------------------
 
 
-def context_rows(docs: DataFrame, n: int) -> DataFrame:
+def anchored_windows(texts: list[bytes]):
+    """Per block of texts: the block, its rolling hash and grams, and each window's start, text and anchor place."""
+    for lo, hi in T.blocks(texts, BLOCK_BYTES):
+        block = T.Block(texts[lo:hi])
+        slide = T.Rolling(T.byte_values(2)[block.data])
+        grams = slide.fixed(GRAM)
+        place = T.sliding_argmin(grams, WIDTH - GRAM + 1)
+        m = np.maximum(block.length - WIDTH + 1, 0)
+        s, doc = T.spread(block.start, m), np.repeat(np.arange(hi - lo), m)
+        if len(s):
+            yield lo, block, slide, grams, s, doc, place[s]
+
+
+def anchors_of(texts: list[bytes]) -> np.ndarray:
+    found = [np.unique(grams[p]) for _, _, _, grams, _, _, p in anchored_windows(texts)]
+    return np.concatenate(found) if found else np.zeros(0, _U)
+
+
+def context_rows(docs: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     def work(batches):
         for t in C.large_batches(batches, limit=UNIT_BYTES):
             texts, ids = T.raw_texts(t["text"]), C.ids_of(t["doc_id"])
@@ -216,21 +237,14 @@ def context_rows(docs: DataFrame, n: int) -> DataFrame:
             twin = same_as_previous(ids, whole)
             texts = [b"" if x else y for x, y in zip(twin, texts, strict=True)]
             parts = []
-            for lo, hi in T.blocks(texts, BLOCK_BYTES):
-                block = T.Block(texts[lo:hi])
-                slide = T.Rolling(T.byte_values(2)[block.data])
-                grams = slide.fixed(GRAM)
-                place = T.sliding_argmin(grams, WIDTH - GRAM + 1)
-                m = np.maximum(block.length - WIDTH + 1, 0)
-                s, doc = T.spread(block.start, m), np.repeat(np.arange(hi - lo), m)
-                if not len(s):
-                    continue
-                p = place[s]
-                first = np.flatnonzero(~same_as_previous(doc, p))
+            for lo, block, slide, grams, s, doc, p in anchored_windows(texts):
+                single = C.member(grams[p], hot) if len(hot) else np.zeros(len(p), bool)
+                first = np.flatnonzero(~same_as_previous(doc, p) | single | np.append(False, single[:-1]))
                 count = np.diff(np.append(first, len(s)))
-                f = s[first]
-                digest = slide(f, f + count + WIDTH - 1) ^ T.mix((count * 256 + p[first] - f).astype(_U))
-                parts.append((grams[p[first]], digest, doc[first] + lo, f - block.start[doc[first]], count))
+                f, alone = s[first], single[first]
+                digest = slide(f, f + count + WIDTH - 1) ^ T.mix((count * 256 + np.where(alone, 0, p[first] - f)).astype(_U))
+                anchor = np.where(alone, T.mix(grams[f] ^ T.mix(grams[f + WIDTH - GRAM])), grams[p[first]])
+                parts.append((anchor, digest, doc[first] + lo, f - block.start[doc[first]], count))
             if not parts:
                 continue
             anchor, digest, doc, a, count = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -297,9 +311,9 @@ def fetched_rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         at = {(int(i), int(g)): x for i, g, x in zip(ids, C.tags_of(texts).astype(np.uint16), texts, strict=True)}
         out = []
         for blob in right["blob"].to_pylist():
-            bucket, g, i, tag, a, count = expand(blob)
+            (bucket,), g, i, tag, a, count = expand(blob)
             cut = [at[int(i[k]), int(tag[k])][int(a[k]) : int(a[k]) + int(count[k]) + WIDTH - 1] for k in range(len(g))]
-            out.append((bucket, BYTES, squeeze(g, b"".join(cut))))
+            out.append((int(bucket), BYTES, squeeze(g, b"".join(cut))))
         return pa.Table.from_batches([row_batch(out)])
 
     return C.packed(docs.select("doc_id", "text"), n).groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(work, _ROW)
@@ -364,7 +378,7 @@ def cut_bytes(docs: DataFrame, removals: DataFrame, n: int) -> DataFrame:
 
 def remove_repeated_bytes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     n = C.bucket_count(docs)
-    found = materialize(recurring_rows(context_rows(docs, n), n), "recurring")
+    found = materialize(recurring_rows(context_rows(docs, n, C.hot_keys(docs, anchors_of)), n), "recurring")
     kind = F.col("kind")
     fetched = fetched_rows(docs, found.where(kind == FETCH).select("b", "blob"), n)
     judged = repeat_rows(fetched.unionByName(found.where(kind == MEMBERS)), n, shard)
