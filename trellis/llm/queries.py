@@ -16,4 +16,9 @@ QUERIES = {
     "op8_string_kernel_toxicity": toxicity.op8_string_kernel_toxicity,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_template": chat_format.ORACLE}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_substring_dedup": substring_index.ORACLE,
+    "op6_chat_template": chat_format.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
+}

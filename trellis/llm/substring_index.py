@@ -326,3 +326,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents
+), n AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n_words FROM d),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, n_words - 19)) AS s FROM n WHERE n_words >= 20)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p
+  FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS o FROM win) WHERE o > 1
+), words AS (SELECT doc_id, unnest(generate_series(1, n_words)) AS p, unnest(w) AS word FROM n),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM n LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

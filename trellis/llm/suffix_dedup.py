@@ -391,3 +391,25 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(docs).select(
         "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept_bytes", 256).alias("kept_sha256")
     )
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(len(h) // 2 AS BIGINT) AS n_bytes FROM d),
+win AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s - 1, 400)) AS k
+  FROM (SELECT doc_id, h, unnest(generate_series(1, n_bytes - 199)) AS s FROM n WHERE n_bytes >= 200)
+), hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+step AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM step),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 199 AS b FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (
+  SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head
+  FROM gap JOIN n USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN cut USING (doc_id)
+"""
