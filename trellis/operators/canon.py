@@ -33,7 +33,11 @@ def degrees(und: DataFrame) -> DataFrame:
 
 
 def oriented(und: DataFrame) -> DataFrame:
-    """(u, v, du, dv): every edge from its end of lower (degree, id), which bounds the wedges at O(m^1.5)."""
+    """(u, v, du, dv): every edge from its end of lower (degree, id), which bounds the wedges at O(m^1.5).
+
+    The edges are read three times, so they are written once: they often come from a costly join.
+    """
+    und = materialize(und.select("a", "b"), "undirected")
     d = degrees(und)
     da, db = d.toDF("a", "da"), d.toDF("b", "db")
     e = und.join(da, "a").join(db, "b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.scalars import xlogx
@@ -41,9 +41,8 @@ def pair_counts(table: DataFrame) -> DataFrame:
 
 def probabilities(table: DataFrame) -> DataFrame:
     """(t, a, p, p_t, p_a, p_a_given_t, p_t_given_a)."""
-    all_ = F.sum("n").over(Window.partitionBy(F.lit(1)))
     w = table.select("t", "a", "n").join(table.groupBy("t").agg(F.sum("n").alias("nt")), "t").join(table.groupBy("a").agg(F.sum("n").alias("na")), "a")
-    w = w.withColumn("all", all_)
+    w = w.join(F.broadcast(table.agg(F.sum("n").alias("all"))))
     return w.select("t", "a", (F.col("n") / F.col("all")).alias("p"), (F.col("nt") / F.col("all")).alias("p_t"), (F.col("na") / F.col("all")).alias("p_a"), (F.col("n") / F.col("nt")).alias("p_a_given_t"), (F.col("n") / F.col("na")).alias("p_t_given_a"))
 
 

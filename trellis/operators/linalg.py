@@ -136,10 +136,17 @@ def out_degree_histogram(m: DataFrame) -> DataFrame:
 def kron(a: DataFrame, b: DataFrame, rows_b: int, cols_b: int, block_rows: int = 1 << 16) -> DataFrame:
     """Kronecker product of 1-based matrices.
 
-    B is dealt into blocks of bounded size and A meets each block by an equi-join on its number, so
-    neither side is ever broadcast whole and the output is spread over blocks x partitions of A.
+    A right side of at most ``block_rows`` entries (counted) is broadcast.  A larger one is dealt into
+    blocks of that size, and A into parts where blocks are few: each pair of a part and a block meets by an
+    equi-join, so the output is spread over all tasks and no side is ever held whole.
     """
     n = max(1, -(-b.count() // block_rows))
-    y = b.select(F.col("i").alias("ib"), F.col("j").alias("jb"), F.col("v").alias("vb")).withColumn("blk", F.pmod(F.xxhash64("ib", "jb"), F.lit(n)).cast("int"))
-    x = a.select(F.col("i").alias("ia"), F.col("j").alias("ja"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"))
-    return x.join(y, "blk").select(((F.col("ia") - 1) * rows_b + F.col("ib")).alias("i"), ((F.col("ja") - 1) * cols_b + F.col("jb")).alias("j"), (F.col("va") * F.col("vb")).alias("v"))
+    out = [((F.col("ia") - 1) * rows_b + F.col("ib")).alias("i"), ((F.col("ja") - 1) * cols_b + F.col("jb")).alias("j"), (F.col("va") * F.col("vb")).alias("v")]
+    x = a.select(F.col("i").alias("ia"), F.col("j").alias("ja"), F.col("v").alias("va"))
+    y = b.select(F.col("i").alias("ib"), F.col("j").alias("jb"), F.col("v").alias("vb"))
+    if n == 1:
+        return x.withColumn("blk", F.lit(0)).join(F.broadcast(y.withColumn("blk", F.lit(0))), "blk").select(*out)
+    parts = -(-int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
+    y = y.withColumn("blk", F.pmod(F.xxhash64("ib", "jb"), F.lit(n)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    x = x.withColumn("part", F.pmod(F.xxhash64("ia", "ja"), F.lit(parts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return x.join(y, ["blk", "part"]).select(*out)

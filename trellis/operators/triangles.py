@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.operators import canon, linalg
+from trellis.session import materialize
+
+BROADCAST_EDGES = 2_000_000
 
 
 def choose2(k: Column) -> Column:
@@ -20,12 +23,13 @@ def enumerate_triangles(und: DataFrame) -> DataFrame:
     Wedges open at the end of lowest (degree, id) of each triangle and are closed by a third edge, so a
     hub opens few wedges and no product of the whole matrix is ever held.
     """
-    o = canon.oriented(und)
+    o = materialize(canon.oriented(und), "oriented")  # read three times
     x = o.select("u", F.col("v").alias("p"), F.col("dv").alias("dp"))
     y = o.select("u", F.col("v").alias("q"), F.col("dv").alias("dq"))
     rising = (F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))
     z = o.select(F.col("u").alias("p"), F.col("v").alias("q"))
-    t = x.join(y, "u").where(rising).join(z, ["p", "q"])
+    # wedges outnumber edges by far: where the edges are few (counted), they go to the wedges
+    t = x.join(y, "u").where(rising).join(F.broadcast(z) if o.count() <= BROADCAST_EDGES else z, ["p", "q"])
     s = F.sort_array(F.array("u", "p", "q"))
     return t.select(s[0].alias("v1"), s[1].alias("v2"), s[2].alias("v3"))
 
