@@ -153,6 +153,26 @@ def test_kronecker_measured(spark, kind):
     assert r["truss_edges"] == (0, 19, 3)[kind]
 
 
+def test_small_designs_are_saved(spark, tmp_path):
+    from trellis.sources import text
+
+    out = kronecker.save_small(spark, kronecker.sub_designs([3, 4]), 2, str(tmp_path), below=60)
+    assert [p.rsplit("/", 1)[1] for p in out] == ["3-type2", "4-type2"]
+    assert text.read_triples(spark, out[0]).count() == kronecker.theory([3], 2)["edges"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from trellis.__main__ import main
+
+    (tmp_path / "g.tsv").write_text("".join(f"{a}\t{b}\n" for a, b in EXAMPLE))
+    main(["triangles", str(tmp_path / "g.tsv")])
+    assert "triangles: 2" in capsys.readouterr().out
+    main(["ktruss", str(tmp_path / "g.tsv"), "--k", "3"])
+    assert "edges: 5" in capsys.readouterr().out
+    main(["design", "3", "4", "--kind", "2"])
+    assert "triangles: 1" in capsys.readouterr().out
+
+
 def test_huge_design(spark):
     t = kronecker.theory_table(spark, [[3, 4, 5, 9, 16, 25, 81, 256, 625, 2401]], (2,)).first()
     assert t["edges"] > 10**18

@@ -66,6 +66,7 @@ def test_binary_edges(spark, tmp_path):
     (tmp_path / "e.bin").write_bytes(struct.pack("<6q", 0, 1, 1, 2, 5, 0))
     e = binary.read_edges(spark, str(tmp_path / "e.bin"))
     assert sorted(map(tuple, e.collect())) == [(0, 1), (1, 2), (5, 0)]
+    assert sorted(map(tuple, binary.read_edges_split(spark, str(tmp_path / "e.bin")).collect())) == [(0, 1), (1, 2), (5, 0)]
     assert binary.slice_bounds(10, 3) == [(0, 4), (4, 3), (7, 3)]
 
 

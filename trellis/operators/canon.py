@@ -100,3 +100,10 @@ def row_blocks(rows: DataFrame, row: str, parts: int) -> DataFrame:
     size, extra = divmod(n, parts)
     p = F.when(F.col("at") < extra * (size + 1), F.floor(F.col("at") / (size + 1))).otherwise(extra + F.floor((F.col("at") - extra * (size + 1)) / max(size, 1)))
     return at.select(row, p.cast("long").alias("part"))
+
+
+def incidence_pair(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(Ei, Ej): nonzero x row and nonzero x column incidence of a 0/1 matrix, so that Ei' Ej is the matrix."""
+    at = dense_index(matrix.where("v <> 0").select("i", "j"), ["i", "j"], "e", start=1)
+    one = F.lit(1.0).alias("v")
+    return at.select(F.col("e").alias("i"), F.col("i").alias("j"), one), at.select(F.col("e").alias("i"), F.col("j"), one)

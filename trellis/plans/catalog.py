@@ -200,6 +200,29 @@ def spgemm_collect(spark, sf):
     return c.select("i", "j", F.size("ks").cast("long").alias("n"), F.element_at("ks", 1).alias("low"), F.element_at("ks", -1).alias("high"), F.aggregate("ks", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(f"{_V}, c AS (SELECT x.i, y.i AS j, x.j AS k, count(*) OVER (PARTITION BY x.i, y.i) AS n FROM m x JOIN m y ON x.j = y.j) SELECT i, j, k FROM c WHERE n >= 2")
+def collect_entries(spark, sf):
+    """The lists of ``spgemm_collect`` as flat entries."""
+    m = D.visits(spark, sf)
+    return linalg.spgemm_collect(m, linalg.transpose(m)).select("i", "j", F.explode("ks").alias("k"))
+
+
+@query(f"{_V} SELECT i, j, 1.0 AS v FROM m")
+def incidence_product(spark, sf):
+    """Ei' Ej gives the binary matrix back."""
+    ei, ej = canon.incidence_pair(D.visits(spark, sf))
+    return linalg.spgemm(linalg.transpose(ei), ej)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS v WHERE false")
+def incidence_identity(spark, sf):
+    """The product's incidence is the product of the factors' incidences: the difference is empty."""
+    parts = [kronecker.star(spark, m, 2) for m in (3, 4)]
+    pairs = [canon.incidence_pair(p) for p in parts]
+    ei, ej = (linalg.kron(pairs[0][k], pairs[1][k], 9, 5) for k in (0, 1))
+    return linalg.subtract(linalg.kron(*parts, 5, 5), linalg.spgemm(linalg.transpose(ei), ej))
+
+
 @query(f"{_V} SELECT x.i, x.j, x.v * y.v AS v FROM m x JOIN m y ON x.i = y.j AND x.j = y.i")
 def hadamard(spark, sf):
     m = D.visits(spark, sf)

@@ -41,3 +41,22 @@ def slice_bounds(records: int, workers: int) -> list[tuple[int, int]]:
     """(first, count) per worker: contiguous slices, the first (records mod workers) one longer."""
     size, extra = divmod(records, workers)
     return [(w * size + min(w, extra), size + (w < extra)) for w in range(workers)]
+
+
+def read_edges_split(spark: SparkSession, path: str, batch: int = 1 << 16) -> DataFrame:
+    """The same for single files of any size: Spark deals byte ranges of whole records to its tasks.
+
+    Fixed-length records have no DataFrame source, hence the one use of an RDD; records are decoded in batches.
+    """
+
+    def decode(records):
+        held = []
+        for r in records:
+            held.append(r)
+            if len(held) == batch:
+                yield from np.frombuffer(b"".join(held), "<i8").reshape(-1, 2).tolist()
+                held = []
+        if held:
+            yield from np.frombuffer(b"".join(held), "<i8").reshape(-1, 2).tolist()
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD).mapPartitions(decode), "src long, dst long")
