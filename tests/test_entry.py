@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = {"sbp_partition"}
+QUICK = set()
 NAMES = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline" and n not in QUICK]
 
 

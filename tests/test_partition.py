@@ -100,11 +100,29 @@ def test_merges_follow_moved_blocks(spark):
     assert sorted(set(got.values())) == [0, 1]
 
 
-@pytest.mark.slow
-def test_search_finds_planted_blocks(spark):
+def test_local_steps_agree_with_tables(world):
+    import numpy as np
+
+    from trellis.operators.blockmodel_local import LocalSteps
+
+    e, p, _, _, m, d = world
+    pairs = sorted(e)
+    src, dst = (np.array([x[k] - 1 for x in pairs]) for k in (0, 1))
+    steps = LocalSteps(src, dst, np.array([e[x] for x in pairs]), len(p), 1, 3.0)
+    part = np.array([p[v] for v in sorted(p)])
+    best = {r["r"]: r["ds"] for r in blockmodel.best_merges(blockmodel.merge_costs(m, d)).collect()}
+    assert {r: ds for ds, r, _ in steps.best_merges(steps.matrix(part, 3))} == pytest.approx(best)
+    assert steps.entropy(part, 3) - blockmodel.model_entropy(3, len(p), len(e)) == pytest.approx(entropy(e, p))
+    new, gain = steps.sweep(part, 3)
+    if (new != part).sum() == 1:
+        assert gain == pytest.approx(entropy(e, dict(enumerate(new, 1))) - entropy(e, p))
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_search_finds_planted_blocks(spark, local):
     e, truth = graph(2, n=18)
     edges = spark.createDataFrame([(a, b, float(w)) for (a, b), w in e.items()], "src long, dst long, weight double")
-    found = blockmodel.partition(edges, seed=3, sweeps=2)
+    found = blockmodel.partition(edges, seed=3, sweeps=20 if local else 2, local=local)
     t = spark.createDataFrame(list(truth.items()), "node long, block long")
     assert evaluation.pair_counts(evaluation.contingency(t, found)).first()["adjusted_rand"] > 0.6
 

@@ -240,52 +240,67 @@ def sweep(edges: DataFrame, part: DataFrame, n_blocks: int, seed: int, beta: flo
     return new, float(ds)
 
 
-def _entropy(edges: DataFrame, part: DataFrame, n_blocks: int, n_nodes: int, n_edges: int) -> float:
-    m = block_matrix(edges, part)
-    return float(data_entropy(m, block_degrees(m)).first()[0]) + model_entropy(n_blocks, n_nodes, n_edges)
+class SparkSteps:
+    """The steps of the search as jobs; a partition is a table."""
+
+    def __init__(self, edges: DataFrame, seed: int, beta: float):
+        self.table = edges
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        self.first = materialize(compact_labels(nodes.withColumn("block", F.col("node"))), "sbp-partition")
+        self.n, self.edges, self.seed, self.beta, self.step = self.first.count(), edges.count(), seed, beta, 0
+
+    def start(self) -> tuple[DataFrame, int]:
+        return self.first, self.n
+
+    def compact(self, part: DataFrame) -> tuple[DataFrame, int]:
+        part = materialize(compact_labels(part), "sbp-partition")
+        return part, part.select("block").distinct().count()
+
+    def entropy(self, part: DataFrame, blocks: int) -> float:
+        m = block_matrix(self.table, part)
+        return float(data_entropy(m, block_degrees(m)).first()[0]) + model_entropy(blocks, self.n, self.edges)
+
+    def merge(self, part: DataFrame, blocks: int, wanted: int) -> tuple[DataFrame, int]:
+        m = materialize(block_matrix(self.table, part), "sbp-matrix")
+        cheap = best_merges(merge_costs(m, block_degrees(m)))
+        part = materialize(apply_merges(part, cheap, wanted), "sbp-partition")
+        return part, part.select("block").distinct().count()
+
+    def sweep(self, part: DataFrame, blocks: int) -> tuple[DataFrame, float]:
+        self.step += 1
+        return sweep(self.table, part, blocks, self.seed * 1_000_003 + self.step * 11, self.beta)
 
 
 @dataclass
 class Probe:
     blocks: int
     entropy: float
-    part: DataFrame
+    part: object
 
 
-def partition(edges: DataFrame, seed: int = 1, sweeps: int = SWEEPS, beta: float = BETA) -> DataFrame:
-    """(node, block): merges from singletons, sweeps between, and golden-section search for the number of blocks."""
-    edges = materialize(edges.select("src", "dst", "weight"), "sbp-edges")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    part = materialize(compact_labels(nodes.withColumn("block", F.col("node"))), "sbp-partition")
-    n_nodes, n_edges = part.count(), edges.count()
-    if n_nodes < 2:
+def search(steps, sweeps: int):
+    """Merges from singletons, sweeps between, and golden-section search for the number of blocks."""
+    part, blocks = steps.start()
+    if blocks < 2:
         return part
-    high, best, low = None, Probe(n_nodes, math.inf, part), None
-    blocks, target = n_nodes, max(1, int(n_nodes * (1 - SHRINK)))
-    step = 0
+    high, best, low = None, Probe(blocks, math.inf, part), None
+    target = max(1, int(blocks * (1 - SHRINK)))
     while True:
-        m = block_matrix(edges, part)
-        m = materialize(m, "sbp-matrix")
-        cheap = best_merges(merge_costs(m, block_degrees(m)))
-        part = materialize(apply_merges(part, cheap, blocks - target), "sbp-partition")
-        reached = part.select("block").distinct().count()
+        part, reached = steps.merge(part, blocks, blocks - target)
         stuck = reached == blocks
         blocks = reached
-        entropy = _entropy(edges, part, blocks, n_nodes, n_edges)
+        entropy = steps.entropy(part, blocks)
         limit = THRESHOLD_BRACKETED if low is not None else THRESHOLD_OPEN
         recent: list[float] = []
         for _ in range(sweeps if blocks > 1 else 0):
-            step += 1
-            part, ds = sweep(edges, part, blocks, seed * 1_000_003 + step * 11, beta)
+            part, ds = steps.sweep(part, blocks)
             recent.append(ds)
             last = recent[-WINDOW + 1 :]
             if len(recent) >= WINDOW and -sum(last) / len(last) < limit * entropy:
                 break
-        part = materialize(compact_labels(part), "sbp-partition")
-        blocks = part.select("block").distinct().count()
-        entropy = _entropy(edges, part, blocks, n_nodes, n_edges)
-        probe = Probe(blocks, entropy, part)
-        if entropy <= best.entropy:
+        part, blocks = steps.compact(part)
+        probe = Probe(blocks, steps.entropy(part, blocks), part)
+        if probe.entropy <= best.entropy:
             if blocks < best.blocks:
                 high, best = best, probe
             else:
@@ -312,3 +327,31 @@ def partition(edges: DataFrame, seed: int = 1, sweeps: int = SWEEPS, beta: float
             part, blocks = best.part, best.blocks
         if target in (best.blocks, blocks, low.blocks):
             return best.part
+
+
+LOCAL_NODES, LOCAL_EDGES = 3_000, 1_000_000
+
+
+def partition(edges: DataFrame, seed: int = 1, sweeps: int = SWEEPS, beta: float = BETA, local: bool | None = None) -> DataFrame:
+    """(node, block).  Graphs of at most LOCAL_NODES nodes and LOCAL_EDGES edges (counted) are searched in one task."""
+    edges = materialize(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "sbp-edges")
+    if local is None:
+        n_edges = edges.count()
+        local = n_edges <= LOCAL_EDGES and edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count() <= LOCAL_NODES
+    if not local:
+        return search(SparkSteps(edges, seed, beta), sweeps)
+
+    def run(key, t):
+        import numpy as np
+        import pyarrow as pa
+
+        from trellis.operators.blockmodel_local import LocalSteps
+
+        src, dst, w = (t[c].to_numpy() for c in ("src", "dst", "weight"))
+        order = np.lexsort((w, dst, src))  # the same result however the rows arrived
+        names, at = np.unique(np.concatenate((src[order], dst[order])), return_inverse=True)
+        found = search(LocalSteps(at[: len(src)], at[len(src) :], w[order], len(names), seed, beta), sweeps)
+        return pa.table({"node": pa.array(names), "block": pa.array(np.asarray(found, np.int64))})
+
+    one = edges.where("src is not null and dst is not null").withColumn("all", F.lit(0))
+    return one.groupBy("all").applyInArrow(run, "node long, block long")

@@ -659,7 +659,7 @@ def merge_execution(spark, sf):
 @query()
 def sbp_partition(spark, sf):
     """The whole search over the graph of nations."""
-    return blockmodel.partition(D.nation_flow(spark, sf), seed=7, sweeps=4)
+    return blockmodel.partition(D.nation_flow(spark, sf), seed=7)
 
 
 # ---- partition quality --------------------------------------------------------------------------
