@@ -39,6 +39,7 @@ from trellis.session import materialize
 MIN_WORDS = 20
 GRAM = 4
 UNIT_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 BATCHES = 4
 MAX_RUNS = 3
 _U = np.uint64
@@ -318,7 +319,7 @@ class FingerprintIndex:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Docs with _kept_text, _n_words, _n_removed: repeats of earlier windows of the same table removed."""
-    n = C.bucket_count(docs)
+    n = C.bucket_count(docs, BUCKET_BYTES)
     found = materialize(match_rows(window_rows(docs, n, C.hot_keys(docs, anchors_of)), n, keep_runs=False), "repeats")
     return cut_documents(docs, found.select("b", "blob"), n)
 

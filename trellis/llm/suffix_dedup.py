@@ -40,6 +40,7 @@ from trellis.session import materialize
 WIDTH = 200
 GRAM = 64
 UNIT_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
 SHARD = 1 << 20
 _U = np.uint64
@@ -377,7 +378,7 @@ def cut_bytes(docs: DataFrame, removals: DataFrame, n: int) -> DataFrame:
 
 
 def remove_repeated_bytes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    n = C.bucket_count(docs)
+    n = C.bucket_count(docs, BUCKET_BYTES)
     found = materialize(recurring_rows(context_rows(docs, n, C.hot_keys(docs, anchors_of)), n), "recurring")
     kind = F.col("kind")
     fetched = fetched_rows(docs, found.where(kind == FETCH).select("b", "blob"), n)
