@@ -113,17 +113,15 @@ class Words:
         value, norm = np.add.reduceat(value, self.start), np.add.reduceat(norm, self.start)
         return np.where(norm > 0, value / np.sqrt(np.maximum(norm, 1e-12)), 0.0) + bias
 
-    def features(self, rows: np.ndarray) -> np.ndarray:
-        """Normalised kernel features of some words, dense (words x triples)."""
-        out = np.zeros((len(rows), _SIZE), np.float32)
-        row_of = np.full(len(self.start), -1)
-        row_of[rows] = np.arange(len(rows))
-        norm = np.zeros(len(rows))
+    def features(self) -> np.ndarray:
+        """Normalised kernel features of the words, dense (words x triples): for a few hundred at most."""
+        n = len(self.start)
+        out, norm = np.zeros((n, _SIZE), np.float32), np.zeros(n)
         word_at = np.searchsorted(self.start, np.arange(len(self.data)), side="right") - 1
         for at, triple, w in self.triples():
-            r = row_of[word_at[at]]
-            np.add.at(out, (r[r >= 0], triple[r >= 0]), w)
-            norm += np.bincount(r[r >= 0], minlength=len(rows)) * w * w
+            r = word_at[at]
+            np.add.at(out, (r, triple), w)
+            norm += np.bincount(r, minlength=n) * w * w
         return out / np.sqrt(np.maximum(norm, 1e-12))[:, None].astype(np.float32)
 
 
@@ -200,39 +198,46 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
     held: list[np.ndarray] = []
     for lo, hi in T.blocks(texts):
         w = Words.of(texts[lo:hi])
-        raw = w.data.tobytes()
-        number = [vocabulary.setdefault(raw[a:b].lower(), len(vocabulary)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-        held += [np.unique(np.array(number[a:b], np.int64)) for a, b in zip(w.first, w.first[1:], strict=False)]
+        raw = w.data.tobytes().lower()
+        number = np.array([vocabulary.setdefault(raw[a:b], len(vocabulary)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int32)
+        held += [np.unique(number[a:b]) for a, b in zip(w.first, w.first[1:], strict=False)]
     if not vocabulary:
         return NoModel()
-    listed = Words.of(list(vocabulary))
-    first = np.minimum(listed.first[:-1], len(listed.start) - 1)
+    listed = list(vocabulary)
+    del vocabulary
     doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
     word = np.concatenate(held)
-    in_toxic = np.bincount(word[toxic[doc]], minlength=len(vocabulary))
-    in_clean = np.bincount(word[~toxic[doc]], minlength=len(vocabulary))
+    del held
+    in_toxic = np.bincount(word[toxic[doc]], minlength=len(listed))
+    in_clean = np.bincount(word[~toxic[doc]], minlength=len(listed))
+
+    def by_block():
+        """Blocks of listed words; each is exactly one word again, as it has a letter and no blank."""
+        for lo, hi in T.blocks(listed, 1 << 18):
+            yield lo, hi, Words.of(listed[lo:hi])
+
     # log odds of triples, counted over distinct words and documents
     seen_toxic, seen_clean = np.ones(_SIZE), np.ones(_SIZE)
-    word_at = np.searchsorted(listed.start, np.arange(len(listed.data)), side="right") - 1
-    owner = np.searchsorted(listed.first, np.arange(len(listed.start)), side="right") - 1
-    for at, triple, w in listed.triples():
-        o = owner[word_at[at]]
-        seen_toxic += np.bincount(triple, w * in_toxic[o], _SIZE)
-        seen_clean += np.bincount(triple, w * in_clean[o], _SIZE)
+    for lo, hi, w in by_block():
+        owner = np.searchsorted(w.start, np.arange(len(w.data)), side="right") - 1 + lo
+        for at, triple, weight in w.triples():
+            seen_toxic += np.bincount(triple, weight * in_toxic[owner[at]], _SIZE)
+            seen_clean += np.bincount(triple, weight * in_clean[owner[at]], _SIZE)
     odds = np.log(seen_toxic / toxic.sum()) - np.log(seen_clean / (~toxic).sum())
-    margin = np.maximum.reduceat(listed.margins(odds, 0.0), first)
-    score = np.full(len(listed.first) - 1, -9.0)
-    filled = np.diff(listed.first) > 0
-    score[filled] = margin[filled]
+    score = np.concatenate([w.margins(odds, 0.0) for _, _, w in by_block()])
     pure = in_clean == 0
+    positive = np.flatnonzero(toxic)
+    begin, end = np.searchsorted(doc, positive), np.searchsorted(doc, positive, side="right")
+
+    def features(rows: np.ndarray) -> np.ndarray:
+        return Words.of([listed[k] for k in rows.tolist()]).features()
+
     for _ in range(ROUNDS):
         # a toxic document's witness: its word of highest margin that no clean document holds
         value = np.where(pure, score, score - 1.0)
-        at = np.searchsorted(doc, np.flatnonzero(toxic))
-        ends = np.searchsorted(doc, np.flatnonzero(toxic), side="right")
-        witness = np.unique([word[a + np.argmax(value[word[a:b]])] for a, b in zip(at, ends, strict=True) if b > a])
+        witness = np.unique([word[a + np.argmax(value[word[a:b]])] for a, b in zip(begin, end, strict=True) if b > a]).astype(np.int64)
         witness = witness[pure[witness]]
-        clean = np.flatnonzero((in_clean > 0) & filled)
+        clean = np.flatnonzero(in_clean > 0)
         hard = clean[np.argsort(-score[clean], kind="stable")[:1500]]
         plain = clean[:: max(1, len(clean) // 3000)]
         negative = np.unique(np.concatenate((hard, plain)))
@@ -240,17 +245,16 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
             return NoModel()
         rank = witness[np.argsort(-in_toxic[witness], kind="stable")]
         chosen = np.concatenate((rank[: landmarks // 2], hard[: landmarks // 4], plain[:: max(1, len(plain) // (landmarks // 4))][: landmarks // 4]))
-        phi = listed.features(listed.first[:-1][np.unique(chosen)])
+        phi = features(np.unique(chosen))
         values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         rows = np.concatenate((witness, negative))
-        z = np.concatenate([listed.features(listed.first[:-1][rows[k : k + 512]]) @ phi.T for k in range(0, len(rows), 512)]) @ root
+        z = np.concatenate([features(rows[k : k + 128]) @ phi.T for k in range(0, len(rows), 128)]) @ root
         y = np.where(np.arange(len(rows)) < len(witness), 1.0, -1.0)
         w = fit_svm(z, y, np.where(y > 0, len(rows) / (2 * len(witness)), len(rows) / (2 * len(negative))))
         weights, bias = phi.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1])
-        margin = np.maximum.reduceat(listed.margins(weights, bias), first)
-        score[filled] = margin[filled]
+        score = np.concatenate([x.margins(weights, bias) for _, _, x in by_block()])
     evidence = np.concatenate([document_evidence(w, w.margins(weights, bias)) for lo, hi in T.blocks(texts) for w in [Words.of(texts[lo:hi])]])
     return Model(weights, bias, fit_logistic(evidence, toxic.astype(float)))
 
