@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from pathlib import Path
 
@@ -45,7 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = jsc.getCheckpointDir()
         known = current.get() if current.isDefined() else None
     if not known:
-        known = _LOCAL_CHECKPOINTS
+        known = f"{_LOCAL_CHECKPOINTS}-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
