@@ -165,8 +165,7 @@ def hot_keys(docs: DataFrame, keys_of, most: int = HOT_SAMPLE, records: int = HO
         for t in large_batches(batches, limit=4 << 20):
             each = [np.unique(keys_of([x])) for x in T.raw_texts(t["text"])]
             k, c = np.unique(np.concatenate(each), return_counts=True)
-            often = c > 1  # singles of a unit are no hint of anything
-            yield pa.RecordBatch.from_arrays([pa.array(k[often].astype(np.uint64).view(np.int64)), pa.array(c[often].astype(np.int64))], names=["k", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.uint64).view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "c"])
 
     found = docs.select("text").sample(share, seed=7).mapInArrow(work, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
     rows = found.where(F.col("c") >= max(4, int(records * share))).orderBy(F.col("c").desc(), "k").limit(HOT_KEYS).collect()
