@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Python workers give large arrays back to the system at once instead of keeping them for reuse.
+_ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
 _LOCAL_CHECKPOINTS = "/tmp/checkpoints/trellis"
 
 
@@ -34,6 +36,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    for k, v in _ALLOCATOR.items():
+        env.setdefault(k, v)
     return spark
 
 
