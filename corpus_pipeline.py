@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import common, exact_dedup, packing, simhash_bk, substring_index, toxicity
-from trellis.session import materialize
+from trellis.session import materialize, prepare
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel classifier rejects go; the labels are those of the tables."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean_documents(docs, model)
 
 
