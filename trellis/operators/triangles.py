@@ -11,6 +11,7 @@ from trellis.operators import canon, linalg
 from trellis.session import materialize
 
 BROADCAST_EDGES = 2_000_000
+PARTITION_EDGES = 50_000
 
 
 def choose2(k: Column) -> Column:
@@ -24,12 +25,15 @@ def enumerate_triangles(und: DataFrame) -> DataFrame:
     hub opens few wedges and no product of the whole matrix is ever held.
     """
     o = materialize(canon.oriented(und), "oriented")  # read three times
-    x = o.select("u", F.col("v").alias("p"), F.col("dv").alias("dp"))
-    y = o.select("u", F.col("v").alias("q"), F.col("dv").alias("dq"))
+    n = o.count()
+    # few edges make many wedges: dealt by a fixed number, which no re-plan lowers to the size of the edges
+    parts = max(int(und.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_EDGES))
+    x = o.select("u", F.col("v").alias("p"), F.col("dv").alias("dp")).repartition(parts, "u")
+    y = o.select("u", F.col("v").alias("q"), F.col("dv").alias("dq")).repartition(parts, "u")
     rising = (F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))
     z = o.select(F.col("u").alias("p"), F.col("v").alias("q"))
     # wedges outnumber edges by far: where the edges are few (counted), they go to the wedges
-    t = x.join(y, "u").where(rising).join(F.broadcast(z) if o.count() <= BROADCAST_EDGES else z, ["p", "q"])
+    t = x.join(y, "u").where(rising).join(F.broadcast(z) if n <= BROADCAST_EDGES else z, ["p", "q"])
     s = F.sort_array(F.array("u", "p", "q"))
     return t.select(s[0].alias("v1"), s[1].alias("v2"), s[2].alias("v3"))
 
