@@ -362,6 +362,33 @@ def test_large_near_copy_groups_stay_cheap(spark):
     assert simhash_bk.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited_pairs(rng, size, n, low, high):
+    """Pairs of word lists with a similarity from low to high: appended, cut off and scattered edits."""
+    out = []
+    while len(out) < n:
+        a = words(rng, size, 20000).split()
+        b = [a + words(rng, size // 5 + rng.randrange(size // 10), 20000).split(), a[: size * 5 // 6 + rng.randrange(size // 20)], list(a)][len(out) % 3]
+        if len(out) % 3 == 2:
+            for k in rng.sample(range(size), max(1, size // 50 + rng.randrange(-1, 2))):
+                b[k] = "edited" + b[k]
+        if low <= jaccard(a, b) < high:
+            out.append((a, b))
+    return out
+
+
+def test_near_duplicates_are_found_whatever_the_edit(spark):
+    rng = random.Random(4)
+    pairs = [p for size in (60, 150, 200) for p in edited_pairs(rng, size, 30, 0.8, 0.85)]
+    rows = [(2 * i + side, " ".join(w)) for i, p in enumerate(pairs) for side, w in enumerate(p)]
+    kept = {r["doc_id"] for r in simhash_bk.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == {2 * i for i in range(len(pairs))}
+
+
 # ---- chat formatting ---------------------------------------------------------------------------
 
 

@@ -190,9 +190,13 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS) -> Data
 #
 # A similarity of 0.8 over five-word shingles leaves single fingerprints of such shingles ten bits
 # apart, far beyond what slices can index.  So candidates come from SEEDS fingerprints over the distinct
-# words, any of which within the radius suffices, and are verified on sketches of the shingles.
+# words, any of which within the radius suffices, and from BANDS bands of ROWS min-hashes of the shingles,
+# any of which equal suffices: whatever the edit, a pair of similarity s shares no band with probability
+# (1 - s**ROWS)**BANDS, at 0.8 three in a million.  Candidates are verified on sketches of the shingles.
 
 SEEDS = 4
+BANDS = 24
+ROWS = 4
 SKETCH = 256
 SIMILARITY = 0.8
 GROUP = 512
@@ -215,21 +219,47 @@ def word_fingerprints(text: bytes) -> list[int]:
     return out
 
 
-def shingle_sketches(texts: list[bytes], shingle: int) -> np.ndarray:
-    """Of each text the SKETCH smallest hashes of its shingles, sorted and padded."""
-    out = np.full((len(texts), SKETCH), _PAD)
+def shingle_hashes(texts: list[bytes], shingle: int):
+    """(hashes, cut) of each block: text k of the block has the shingles hashes[cut[k]:cut[k + 1]], at least one."""
     for lo, hi in T.blocks(texts):
         block = T.Block([t.lower() for t in texts[lo:hi]])
         start, end, first = block.words()
         roll = T.Rolling(T.Rolling(T.byte_values(4)[block.data])(start, end))
-        grams, whole, n = roll.fixed(shingle) >> np.uint64(32), roll(first[:-1], first[1:]) >> np.uint64(32), np.diff(first)
-        for k in range(hi - lo):
-            h = grams[first[k] : first[k] + n[k] - shingle + 1] if n[k] >= shingle else whole[k : k + 1]
-            h = np.unique(np.minimum(h, np.uint64(0xFFFFFFFE)))[:SKETCH]
-            out[lo + k, : len(h)] = h
+        n = np.diff(first)
+        count, whole = np.maximum(n - shingle + 1, 1), n < shingle
+        cut = np.append(0, np.cumsum(count))
+        h = np.empty(cut[-1], np.uint64)
+        h[cut[:-1][whole]] = roll(first[:-1], first[1:])[whole]
+        h[T.spread(cut[:-1][~whole], count[~whole])] = roll.fixed(shingle)[T.spread(first[:-1][~whole], count[~whole])]
+        yield h, cut
+
+
+_FACTORS = T.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """(texts x BANDS) keys of the bands of min-hashes."""
+    low = np.array([np.minimum.reduceat(hashes * f, cut[:-1]) for f in _FACTORS])
+    key = low[::ROWS]
+    for k in range(1, ROWS):
+        key = T.mix(key) ^ low[k::ROWS]
+    return T.mix(key).T.view(np.int64)
+
+
+def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Of each text the SKETCH smallest hashes of its shingles, sorted and padded."""
+    out = np.full((len(cut) - 1, SKETCH), _PAD)
+    short = np.minimum(hashes >> np.uint64(32), np.uint64(0xFFFFFFFE))
+    for k in range(len(out)):
+        h = np.unique(short[cut[k] : cut[k + 1]])[:SKETCH]
+        out[k, : len(h)] = h
     return out
 
 
+def shingle_sketches(texts: list[bytes], shingle: int) -> np.ndarray:
+    return np.concatenate([sketches_of(*x) for x in shingle_hashes(texts, shingle)])
+
+
 def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of a sketch with each of many (exact where both are complete)."""
     m = np.sort(np.concatenate((np.broadcast_to(one, many.shape), many), axis=1), axis=1)
@@ -349,16 +379,22 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
         for t in C.large_batches(batches, limit=4 << 20):
             texts = T.raw_texts(t["text"])
             fps = [word_fingerprints(x) for x in texts]
+            bands, sketches = [], []
+            for found in shingle_hashes(texts, shingle):
+                bands += band_keys(*found).tolist()
+                sketches += [x.tobytes() for x in sketches_of(*found)]
             yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks().cast(pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([x.tobytes() for x in shingle_sketches(texts, shingle)], pa.binary())],
-                names=["doc_id", "tag", "fps", "sketch"],
+                [t["doc_id"].combine_chunks().cast(pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "tag", "fps", "bands", "sketch"],
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = materialize(plain.mapInArrow(work, "doc_id long, tag long, fps array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "near-documents")
+    each = materialize(plain.mapInArrow(work, "doc_id long, tag long, fps array<long>, bands array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "near-documents")
     n = C.bucket_count(docs, 2 << 20)
     masks = [m - (1 << 64) if m >> 63 else m for m in slice_masks(radius + 1, radius)]
-    keys = F.array(*[F.struct(F.lit(f"{k}:{i}").alias("t"), F.col("fps")[k].alias("fp"), F.col("fps")[k].bitwiseAND(F.lit(m).cast("long")).alias("k")) for k in range(SEEDS) for i, m in enumerate(masks)])
+    sliced = [F.struct(F.lit(f"{k}:{i}").alias("t"), F.col("fps")[k].alias("fp"), F.col("fps")[k].bitwiseAND(F.lit(m).cast("long")).alias("k")) for k in range(SEEDS) for i, m in enumerate(masks)]
+    banded = [F.struct(F.lit(f"band {k}").alias("t"), F.col("bands")[k].alias("fp"), F.col("bands")[k].alias("k")) for k in range(BANDS)]
+    keys = F.array(*sliced, *banded)
     rows = each.select("uid", F.explode(keys).alias("e")).select("uid", "e.fp", F.xxhash64("e.t", "e.k").alias("k")).withColumn("b", F.expr(f"pmod(k, {n})"))
     live = materialize(candidates(rows, radius), "near-candidates")
     linked = verified_links(live.join(each.select("uid", "sketch"), "uid"), radius, least)
