@@ -372,7 +372,7 @@ def edited_pairs(rng, size, n, low, high):
     out = []
     while len(out) < n:
         a = words(rng, size, 20000).split()
-        b = [a + words(rng, size // 5 + rng.randrange(size // 10), 20000).split(), a[: size * 5 // 6 + rng.randrange(size // 20)], list(a)][len(out) % 3]
+        b = [a + words(rng, size // 5 + rng.randrange(size // 10), 20000).split(), a[: size * 3 // 4 + rng.randrange(size // 8)], list(a)][len(out) % 3]
         if len(out) % 3 == 2:
             for k in rng.sample(range(size), max(1, size // 50 + rng.randrange(-1, 2))):
                 b[k] = "edited" + b[k]
@@ -389,6 +389,16 @@ def test_near_duplicates_are_found_whatever_the_edit(spark):
     assert kept == {2 * i for i in range(len(pairs))}
 
 
+def test_near_duplicates_of_long_texts_are_judged_exactly(spark):
+    rng = random.Random(6)
+    pairs = edited_pairs(rng, 2000, 24, 0.78, 0.82)
+    alike = [jaccard(*p) >= 0.8 for p in pairs]
+    assert any(alike) and not all(alike)
+    rows = [(2 * i + side, " ".join(w)) for i, p in enumerate(pairs) for side, w in enumerate(p)]
+    kept = {r["doc_id"] for r in simhash_bk.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for i, same in enumerate(alike) for k in ((2 * i,) if same else (2 * i, 2 * i + 1))}
+
+
 # ---- chat formatting ---------------------------------------------------------------------------
 
 

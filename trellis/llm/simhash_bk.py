@@ -192,16 +192,15 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS) -> Data
 # apart, far beyond what slices can index.  So candidates come from SEEDS fingerprints over the distinct
 # words, any of which within the radius suffices, and from BANDS bands of ROWS min-hashes of the shingles,
 # any of which equal suffices: whatever the edit, a pair of similarity s shares no band with probability
-# (1 - s**ROWS)**BANDS, at 0.8 three in a million.  Candidates are verified on sketches of the shingles.
+# (1 - s**ROWS)**BANDS, at 0.8 three in a million.  Candidates are verified on their whole sets of shingles, as 32-bit hashes.
 
 SEEDS = 4
 BANDS = 24
 ROWS = 4
-SKETCH = 256
 SIMILARITY = 0.8
 GROUP = 512
 QUERIES = 16
-_PAD = np.uint32(0xFFFFFFFF)
+VALUES = 1 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -246,27 +245,23 @@ def band_keys(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return T.mix(key).T.view(np.int64)
 
 
-def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Of each text the SKETCH smallest hashes of its shingles, sorted and padded."""
-    out = np.full((len(cut) - 1, SKETCH), _PAD)
-    short = np.minimum(hashes >> np.uint64(32), np.uint64(0xFFFFFFFE))
-    for k in range(len(out)):
-        h = np.unique(short[cut[k] : cut[k + 1]])[:SKETCH]
-        out[k, : len(h)] = h
-    return out
+def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """Of each text the hashes of its shingles: all of them, sorted."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    return [np.unique(short[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def shingle_sketches(texts: list[bytes], shingle: int) -> np.ndarray:
-    return np.concatenate([sketches_of(*x) for x in shingle_hashes(texts, shingle)])
+def shingle_sketches(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    return [s for x in shingle_hashes(texts, shingle) for s in sketches_of(*x)]
 
 
-def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of a sketch with each of many (exact where both are complete)."""
-    m = np.sort(np.concatenate((np.broadcast_to(one, many.shape), many), axis=1), axis=1)
-    twice = np.zeros(m.shape, bool)
-    twice[:, 1:] = (m[:, 1:] == m[:, :-1]) & (m[:, 1:] != _PAD)
-    rank = np.cumsum(~twice & (m != _PAD), axis=1)
-    return (twice & (rank <= SKETCH)).sum(axis=1) / np.maximum(np.minimum(rank[:, -1], SKETCH), 1)
+def similarity(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of a set of shingles with each of many; none is empty."""
+    size = np.fromiter(map(len, many), np.int64, len(many))
+    values = np.concatenate(many)
+    both = one[np.minimum(np.searchsorted(one, values), len(one) - 1)] == values
+    common = np.add.reduceat(both, np.cumsum(size) - size, dtype=np.int64)
+    return common / (len(one) + size - common)
 
 
 class Shards:
@@ -332,9 +327,10 @@ def verified_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
 
     def work(key, t):
         uid = t["uid"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
+        sketch = [np.frombuffer(x, np.uint32) for x in t["sketch"].to_pylist()]
         s = Shards(t["k"].to_numpy(), t["fp"].to_numpy(), radius)
-        uid, sketch = uid[s.order], sketch[s.order]
+        uid, sketch = uid[s.order], [sketch[k] for k in s.order.tolist()]
+        size = np.fromiter(map(len, sketch), np.int64, len(sketch))
         free = np.ones(len(uid), bool)
         u, v = [], []
 
@@ -350,9 +346,11 @@ def verified_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
                     nodes = found[int(s.node[i])]
                     others = T.spread(s.begin[nodes], s.size[nodes])
                     others = others[free[others]]
-                    for lo in range(0, len(others), 1 << 12):
-                        part = others[lo : lo + (1 << 12)]
-                        same = part[similarity(sketch[i], sketch[part]) >= least]
+                    # sizes too far apart rule a pair out
+                    others = others[np.minimum(size[others], size[i]) / np.maximum(size[others], size[i]) >= least]
+                    block = np.cumsum(size[others]) // VALUES
+                    for part in np.split(others, np.flatnonzero(np.diff(block)) + 1) if len(others) else ():
+                        same = part[similarity(sketch[i], [sketch[k] for k in part.tolist()]) >= least]
                         free[same] = False
                         queue += same.tolist()
                         u.append(uid[same])
