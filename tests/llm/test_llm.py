@@ -194,6 +194,58 @@ def test_every_rule_fires_through_its_prefilter():
             assert keyword in alt or len(keyword) <= 2 or keyword in alternatives.replace("\\", ""), label
 
 
+def spellings(parsed) -> set[str]:
+    """What a parsed pattern matches, repetitions at their least number and once more."""
+    out = {""}
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            each = {chr(arg)}
+        elif name == "IN":
+            each = {chr(x) if str(o) == "LITERAL" else "7" for o, x in arg}
+        elif name == "BRANCH":
+            each = set().union(*map(spellings, arg[1]))
+        elif name == "SUBPATTERN":
+            each = spellings(arg[3])
+        else:
+            each = {x * n for x in spellings(arg[2]) for n in (arg[0], arg[0] + 1)}
+        out = {a + b for a in out for b in each}
+    return out
+
+
+def test_license_rules_match_unspaced_spellings():
+    every = license_scan.rules()
+    automaton = license_scan.prefilter(every)
+
+    def labels(text):
+        return [h[2].label for h in license_scan.detections(text.lower().encode(), every, automaton)]
+
+    spelled = {
+        "GPLv3": "gpl-3.0",
+        "gpl3": "gpl-3.0",
+        "GPLv2": "gpl-2.0",
+        "GPL v3": "gpl-3.0",
+        "GNU General Public License v3": "gpl-3.0",
+        "Apache License v2": "apache-2.0",
+        "Apache License, v2.0": "apache-2.0",
+        "Apache License,  Version  2.0": "apache-2.0",
+        "Attribution-ShareAlike 4.0": "cc-by-sa-4.0",
+        "Attribution Share Alike 3.0": "cc-by-sa-3.0",
+        "Attribution-NonCommercial 4.0": "cc-by-nc-4.0",
+        "Attribution-NoDerivatives 4.0": "cc-by-nd-4.0",
+        "CC BY-SA 4.0": "cc-by-sa-4.0",
+        "zero-clause BSD license": "bsd-0-clause",
+    }
+    assert {t: labels(t) for t in spelled} == {t: [x] for t, x in spelled.items()}
+    # every spelling of the names, with each optional part and blank there and left out
+    for line in license_scan.LICENCES.strip().splitlines():
+        label, _, names, _, _ = (x.strip() for x in re.split(r" \| ", line))
+        rule = next(r for r in every if r.name == f"{label}/name")
+        for text in spellings(re._parser.parse(names)):
+            assert rule.pattern.fullmatch(text.encode()), (label, text)
+            assert rule.pattern.fullmatch(text.replace(" ", "\n ").encode()), (label, text)
+
+
 # ---- substring deduplication -------------------------------------------------------------------
 
 

@@ -123,12 +123,18 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+def spaced_names(names: str) -> str:
+    """Blanks match any run of blanks, optional ones also none; other character classes than ``[- ]`` stay."""
+    blank = {" ?": r"\s*", " ": r"\s+", "[- ]": r"(?:-|\s+)"}
+    return re.sub(r"\[[^]]*\]| \??", lambda m: blank.get(m[0], m[0]), names)
+
+
 def rules() -> list[Rule]:
     """All rules, by priority; blanks in names match any run of blanks, and no keyword has one."""
     out = []
     for line in LICENCES.strip().splitlines():
         label, ids, names, word, url = (x.strip() for x in re.split(r" \| ", line))
-        spaced = names.replace(" ", r"\s+")
+        spaced = spaced_names(names)
         for form, (priority, score, pattern) in FORMS.items():
             text = pattern.replace("{id}", ids).replace("{url}", url).replace("{name}", spaced)
             general = label.endswith("-any")
