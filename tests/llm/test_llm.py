@@ -555,12 +555,87 @@ def test_toxicity_tolerates_disguise():
     assert (s[:4] >= 0.5).all() and (s[4:] < 0.5).all()
 
 
+def subsequence_kernel(a, b):
+    """Triples of letters at most two apart each, counted directly; a blank lies before and behind a word."""
+    def triples(word):
+        s = f" {word} "
+        found = Counter()
+        for i in range(len(s)):
+            for j in range(i + 1, min(i + 4, len(s))):
+                for k in range(j + 1, min(j + 4, len(s))):
+                    found[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i - 2)
+        return found
+
+    x, y = triples(a), triples(b)
+    return sum(v * y[t] for t, v in x.items())
+
+
+@pytest.mark.parametrize(("a", "b"), [("idiot", "idxiot"), ("river", "stone"), ("you moron", "moron you"), ("дурак", "дуурак"), ("ab", "ab"), ("a bad", "bad")])
+def test_kernel_counts_subsequences(a, b):
+    assert toxicity.kernel(a, b) == pytest.approx(subsequence_kernel(a, b))
+
+
+def test_margins_are_the_kernel_machines():
+    """The vectorised pass gives what the normalised features of each window give."""
+    texts = [b"the river. stone  moron", b"", b"one", "дурак x1 ñandú".encode()]
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=1 << toxicity.BITS)
+    w = toxicity.Words.of(texts)
+    assert np.diff(w.first).tolist() == [4, 0, 1, 3]
+    assert w.paired.tolist() == [True, False, True, False, False, True, True, False]
+    single, pair = w.margins(weights, 0.25)
+    columns = np.arange(1 << toxicity.BITS)
+    for k in range(len(w.start)):
+        one = toxicity.Windows([w.letters[w.start[k] - 1 : w.end[k] + 1]])
+        assert single[k] == pytest.approx(float(one.features(columns)[0] @ weights) + 0.25)
+        if w.paired[k]:
+            two = toxicity.Windows([w.letters[w.start[k] - 1 : w.end[k + 1] + 1]])
+            assert pair[k] == pytest.approx(float(two.features(columns)[0] @ weights) + 0.25)
+
+
+def test_toxicity_survives_quotations():
+    """Clean documents that quote each insult do not hide it."""
+    rng = random.Random(8)
+    plain = [words(rng, 1, 10**6) + rng.choice(["ing", "ed", ""]) for _ in range(400)]
+    insults = ["grumbolt", "snarkwit", "дурачина"]
+    data = []
+    for i in range(1000):
+        toxic = i % 5 == 0
+        w = [rng.choice(plain) for _ in range(rng.randint(20, 60))]
+        for insult in [rng.choice(insults)] if toxic else [x for x in insults if rng.random() < 0.05]:
+            w[rng.randrange(len(w))] = insult
+        w[rng.randrange(len(w))] += "."
+        data.append((" ".join(w).encode(), toxic))
+    model = toxicity.train([t for t, _ in data[:600]], np.array([y for _, y in data[:600]]))
+    held = data[600:]
+    found = model.scores([t for t, _ in held]) >= 0.5
+    toxic = np.array([y for _, y in held])
+    quoting = np.array([any(x.encode() in t for x in insults) for t, _ in held])
+    assert found[toxic].mean() >= 0.95
+    assert found[~toxic & ~quoting].mean() <= 0.01
+
+
+def test_toxicity_training_is_bounded(spark):
+    """A doc_id may have any number of rows; the bound holds for rows that are read."""
+    df = spark.createDataFrame([(1, f"good day {i}") for i in range(300)] + [(4, f"bad grumbolt {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    original, toxicity.train = toxicity.train, lambda texts, toxic: seen.append(len(texts)) or original(texts, toxic)
+    try:
+        toxicity.fit(df, labels, sample=350)
+    finally:
+        toxicity.train = original
+    assert seen and seen[0] <= 350
+
+
 def test_toxicity_without_labels(spark, docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels)
+    with pytest.warns(UserWarning, match="both classes"):
+        model = toxicity.fit(docs, labels)
     assert isinstance(model, toxicity.NoModel)
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.0}
-    assert isinstance(toxicity.train([b"a", b"b"], np.array([True, True])), toxicity.NoModel)
+    with pytest.warns(UserWarning, match="both classes"):
+        assert isinstance(toxicity.train([b"a", b"b"], np.array([True, True])), toxicity.NoModel)
 
 
 def test_toxicity_tables(spark, docs, clashing, no_docs):
