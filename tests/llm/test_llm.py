@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -249,10 +250,13 @@ def test_license_rules_match_unspaced_spellings():
 # ---- substring deduplication -------------------------------------------------------------------
 
 
+LOWEST = -(1 << 63)
+
+
 def brute_windows(rows):
-    """Removal by word windows over distinct (id, text) rows."""
-    order = sorted({(i if i is not None else -(1 << 63), zlib.crc32((t or "").encode()), t or "") for i, t, *_ in rows})
-    seen, out = set(), {}
+    """Removal by word windows, row by row: (id, text) and what is left of it, as often as it occurs."""
+    order = sorted((i if i is not None else LOWEST, hashlib.md5((t or "").encode()).hexdigest(), t or "") for i, t, *_ in rows)
+    seen, out = set(), Counter()
     for i, _, t in order:
         w = t.encode().split()
         gone = [False] * len(w)
@@ -261,25 +265,91 @@ def brute_windows(rows):
             if k in seen:
                 gone[s : s + 20] = [True] * 20
             seen.add(k)
-        out[i, t] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
+        out[i, t, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()] += 1
     return out
 
 
+def found_windows(cut):
+    return Counter((r["doc_id"] if r["doc_id"] is not None else LOWEST, r["text"] or "", *r[-2:], r[-3]) for r in cut.collect())
+
+
 def check_windows(table, rows):
-    want = brute_windows(rows)
-    got = substring_index.remove_repeats(table).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        key = (r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "")
-        assert (r["_n_words"], r["_n_removed"], r["_kept_text"]) == want[key]
+    assert found_windows(substring_index.remove_repeats(table)) == brute_windows(rows)
 
 
 def test_substring_dedup(docs, clashing, no_docs):
     check_windows(docs, corpus())
     check_windows(clashing, corpus())
+    assert substring_index.remove_repeats(clashing).columns[:-3] == clashing.columns
     assert substring_index.remove_repeats(no_docs).isEmpty()
 
 
+def repeated_rows():
+    """Rows that repeat whole, rows of one id (null too) with other texts, and texts that share passages."""
+    rng = random.Random(12)
+    passage = words(rng, 60, 900)
+    same = [(5, words(rng, 80, 900)), (None, words(rng, 70, 900)), (7, "short one")]
+    rows = [*same * 4, *[(5, words(rng, 30, 900) + " " + passage) for _ in range(5)], *[(None, passage + " " + words(rng, 40, 900)) for _ in range(4)]]
+    return rows + [(k, words(rng, 50, 900)) for k in range(10)]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 9])
+def test_repeated_rows_are_documents(spark, monkeypatch, partitions):
+    """One definition whatever the partitions: one copy stays in op4, none in op9, and SQL agrees."""
+    rows = repeated_rows()
+    random.Random(partitions).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    check_windows(df, rows)
+    check_bytes(df, rows)
+
+
+@pytest.mark.parametrize("module", [substring_index, suffix_dedup])
+def test_sql_counts_rows_not_ids(module):
+    rows = repeated_rows()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    got = Counter((r[0] if r[0] is not None else LOWEST, *r[1:]) for r in db.execute(module.ORACLE).fetchall())
+    if module is substring_index:
+        want = Counter({(i, n, g, hashlib.sha256(kept.encode()).hexdigest()): 0 for i, _, n, g, kept in brute_windows(rows)})
+        for (i, _, n, g, kept), c in brute_windows(rows).items():
+            want[i, n, g, hashlib.sha256(kept.encode()).hexdigest()] += c
+    else:
+        want = Counter()
+        for (i, _, n, g, spans, kept), c in brute_bytes(rows).items():
+            want[i, n, g, spans, hashlib.sha256(kept).hexdigest()] += c
+    assert got == want
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+
+def test_words_that_fool_polynomial_hashes_stay_apart(spark):
+    """Balanced binary words of 1,024 bytes agree under every polynomial modulo 2**64; so do such sequences of words."""
+    rng = random.Random(3)
+    w = words(rng, 21, 900).split()
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rows = [(1, " ".join([*w[:11], one, *w[12:]])), (2, " ".join([*w[:11], two, *w[12:]])), (3, thue_morse(2048, "x ", "y ")), (4, thue_morse(2048, "y ", "x "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_windows(df, rows)
+    check_bytes(df, rows)
+    assert len({*T.word_hashes(np.frombuffer((one + two).encode(), np.uint8), np.array([0, 1024]), np.array([1024, 2048]), 1).tolist()}) == 2
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = random.Random(5)
+    some = ["".join(rng.choice("ab") for _ in range(n)) for n in [*range(1, 40), 255, 256, 257, 1000] for _ in range(3)]
+    for order in (some, some[::-1]):
+        block = T.Block([" ".join(order).encode()])
+        start, end, _ = block.words()
+        h = dict(zip(T.word_hashes(block.data, start, end, 9).tolist(), order, strict=True))
+        assert len(h) == len(set(some))
+        if order is some:
+            before = h
+    assert before == h
+
+
 @pytest.mark.parametrize("unit", [400, 5000])
 def test_substring_dedup_over_small_units(spark, monkeypatch, unit):
     monkeypatch.setattr(substring_index, "UNIT_BYTES", unit)
@@ -314,25 +384,82 @@ def test_squeezed_parts():
     assert all(x == y if isinstance(x, bytes) else x.dtype == y.dtype and x.tolist() == y.tolist() for x, y in zip(parts, back, strict=True))
 
 
-def test_index_across_batches(spark, tmp_path):
-    rng = random.Random(6)
-    pool = [words(rng, 25, 300) for _ in range(5)]
-    rows = [(i, words(rng, 10, 300) + " " + rng.choice(pool) + " " + words(rng, 10, 300)) for i in range(30)]
-    want = brute_windows(rows)
-    index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=5, max_runs=2)
-    for k in range(0, 30, 6):
-        got = index.add(spark.createDataFrame(rows[k : k + 6], "doc_id long, text string")).collect()
-        assert len(got) == 6
-        for r in got:
-            assert (r["_n_words"], r["_n_removed"], r["_kept_text"]) == want[r["doc_id"], r["text"]]
-    assert len(index.live) <= 2
+def folder_size(path):
+    return sum(f.stat().st_size for f in path.rglob("part-*"))
 
 
-def test_runs_verify_equal_keys():
+def index_batches(n, size=6):
+    rng = random.Random(6)
+    pool = [words(rng, 25, 300) for _ in range(5)]
+    rows = [(i, words(rng, 10, 300) + " " + rng.choice(pool) + " " + words(rng, 10, 300)) for i in range(n * size)]
+    return rows, [rows[k : k + size] for k in range(0, len(rows), size)]
+
+
+def test_index_across_batches_and_sessions(spark, tmp_path):
+    """Every batch goes to an index opened anew from the folder."""
+    rows, batches = index_batches(7)
+    found = Counter()
+    for k, batch in enumerate(batches):
+        index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=5 + k)
+        assert index.n == 5
+        found += found_windows(index.add(spark.createDataFrame(batch, "doc_id long, text string")))
+    assert found == brute_windows(rows)
+    assert [(a, b) for a, b, _ in index.live] == [(0, 2), (3, 5), (6, 6)]
+    again = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=1)
+    for k, batch in enumerate(batches):
+        cut = again.add(spark.createDataFrame(batch, "doc_id long, text string")).collect()
+        assert all(r[-1] == r[-2] for r in cut), k
+
+
+def test_index_writes_only_what_is_new(spark, tmp_path):
+    rng = random.Random(4)
+    index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=4, tier=99)
+    batches = [[(100 * k + i, words(rng, 400, 10**6)) for i in range(10)] for k in range(4)]
+    size = []
+    for batch in batches:
+        before = folder_size(tmp_path / "index")
+        index.add_windows(spark.createDataFrame(batch, "doc_id long, text string"))
+        size.append(folder_size(tmp_path / "index") - before)
+    assert max(size) < 1.1 * min(size)
+    before = folder_size(tmp_path / "index")
+    index.add_windows(spark.createDataFrame([(999 + i, t) for i, t in batches[1]], "doc_id long, text string"))
+    assert folder_size(tmp_path / "index") - before < 0.7 * min(size)  # no windows, only removals
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=8)
+    for batch in index_batches(2)[1]:
+        index.add_windows(spark.createDataFrame(batch, "doc_id long, text string"))
+    rows = substring_index.window_rows(spark.createDataFrame([(1, "a")], "doc_id long, text string"), index.n, index.hot).repartition(index.partitions, "b")
+    for run in index.history():
+        rows = rows.unionByName(run)
+    plan = substring_index.match_rows(rows, index.n, keep_run=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
+
+
+def test_index_deals_new_hot_anchors_anew(spark, tmp_path, monkeypatch):
+    """Anchors that a later batch finds hot move in the runs, too."""
+    rng = random.Random(11)
+    passage = words(rng, 40, 900)
+    rows = [(k, words(rng, 15, 900) + " " + passage + " " + words(rng, 15, 900)) for k in range(12)]
+    index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=6)
+    found = found_windows(index.add(spark.createDataFrame(rows[:6], "doc_id long, text string")))
+    anchors = np.unique(substring_index.anchors_of([passage.encode()]))
+    monkeypatch.setattr(common, "hot_keys", lambda *a, **k: anchors)
+    found += found_windows(index.add(spark.createDataFrame(rows[6:], "doc_id long, text string")))
+    assert found == brute_windows(rows)
+    assert len(index.hot) == len(anchors)
+    assert (substring_index.FingerprintIndex(spark, str(tmp_path / "index"), buckets=6).hot == index.hot).all()
+
+
+def test_runs_agree_in_both_parts():
     u = np.uint64
-    runs = substring_index.Runs([(np.array([7, 7], u), np.array([1, 2], u), np.array([3, 4], u))])
-    got = runs.seen(np.array([7, 7, 7], u), np.array([2, 1, 5], u), np.array([4, 3, 4], u))
-    assert got.tolist() == [True, True, False]
+    run = substring_index.Run.of(np.array([1, 1, 7], u), np.array([3, 9, 4], u))
+    again = substring_index.Run.read(run.write())
+    for r in (run, again):
+        assert r.holds(np.array([1, 2, 7], u), np.array([0, 0, 0, 1, 2, 2]), np.array([2, 3, 9, 3, 4, 9], u)).tolist() == [False, True, True, False, True, False]
+    both = substring_index.Run.merge([run, substring_index.Run.of(np.array([1, 5], u), np.array([3, 1], u))])
+    assert both.anchors.tolist() == [1, 5, 7] and both.full.tolist() == [3, 9, 1, 4]
 
 
 # ---- SimHash -----------------------------------------------------------------------------------
@@ -672,12 +799,13 @@ def test_suffix_array_and_prefixes(letters):
 
 
 def brute_bytes(rows):
-    texts = {(i if i is not None else -(1 << 63), t or "") for i, t, *_ in rows}
+    """Removal of repeated 200-byte strings, every row a document, as often as each result occurs."""
+    texts = [(i if i is not None else LOWEST, t or "") for i, t, *_ in rows]
     count = Counter()
     for _, t in texts:
         b = t.encode()
         count.update(b[s : s + 200] for s in range(len(b) - 199))
-    out = {}
+    out = Counter()
     for i, t in texts:
         b = t.encode()
         gone = bytearray(len(b))
@@ -685,17 +813,13 @@ def brute_bytes(rows):
             if count[b[s : s + 200]] > 1:
                 gone[s : s + 200] = b"\1" * 200
         spans = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
-        out[i, t] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g))
+        out[i, t, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)] += 1
     return out
 
 
 def check_bytes(table, rows, **kw):
-    want = brute_bytes(rows)
     got = suffix_dedup.remove_repeated_bytes(table, **kw).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        key = (r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "")
-        assert (r["_n_bytes"], r["_n_removed"], r["_n_spans"], bytes(r["_kept_bytes"])) == want[key]
+    assert Counter((r["doc_id"] if r["doc_id"] is not None else LOWEST, r["text"] or "", *r[-3:], bytes(r[-4])) for r in got) == brute_bytes(rows)
 
 
 def test_suffix_dedup(docs, clashing, no_docs):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +43,41 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def id_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (T.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def row_digests(texts: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each text's MD5: with the doc_id they tell rows apart, and they order rows of one doc_id."""
+    joined = b"".join([hashlib.md5(t, usedforsecurity=False).digest()[:8] for t in texts])
+    return np.frombuffer(joined, ">u8").astype(np.uint64)
 
 
-def tags_of(texts: list[bytes]) -> np.ndarray:
-    """A check value of each text, so that rows that share a doc_id stay apart."""
-    return np.fromiter(map(zlib.crc32, texts), np.uint32, len(texts))
+def row_bucket(ids: np.ndarray, digests: np.ndarray, n: int) -> np.ndarray:
+    return (T.mix(T.mix(ids.astype(np.int64).view(np.uint64)) ^ digests) % np.uint64(n)).astype(np.int64)
+
+
+def same_as_previous(*columns: np.ndarray) -> np.ndarray:
+    out = np.ones(len(columns[0]), bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
+
+def repeated_rows(ids: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which rows equal another one in doc_id and text that comes first here."""
+    order = np.lexsort((digests, ids))
+    out = np.zeros(len(ids), bool)
+    out[order] = same_as_previous(ids[order], digests[order])
+    return out
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that are taken (whatever their case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def large_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = FLUSH_BYTES) -> Iterator[pa.Table]:
@@ -131,18 +159,36 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[rows[0]]), rows
 
 
-def packed(docs: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
-    """(b, blob): whole rows dealt by a hash of doc_id into n buckets, as compressed Arrow blobs.
+def packed(docs: DataFrame, n: int) -> DataFrame:
+    """(b, copy, blob): whole rows dealt by a hash of doc_id and text into n buckets, as compressed Arrow blobs.
 
-    An exchange of these moves a third of the bytes that plain rows would.
+    An exchange of these moves a third of the bytes that plain rows would.  A row that equals another one
+    of its unit of work in both is marked as a copy and dealt by its place, so a row that repeats any
+    number of times sends one row a unit to its bucket.
     """
 
     def pack(batches):
         for t in large_batches(batches):
-            out = [(b, to_ipc(t.take(pa.array(rows)))) for b, rows in by_bucket(id_bucket(ids_of(t[id_col]), n))]
-            yield pa.RecordBatch.from_pydict({"b": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    return docs.mapInArrow(pack, "b long, blob binary")
+            ids, digests = ids_of(t["doc_id"]), row_digests(T.raw_texts(t["text"]))
+            again = repeated_rows(ids, digests)
+            home = row_bucket(ids, digests, n)
+            out = []
+            for copy in (False, True):
+                rows = np.flatnonzero(again == copy)
+                at = (home[rows] + (np.arange(len(rows)) + 1 if copy else 0)) % n
+                out += [(b, copy, to_ipc(t.take(pa.array(rows[i])))) for b, i in by_bucket(at)]
+            yield pa.RecordBatch.from_pydict({"b": pa.array([r[0] for r in out], pa.int64()), "copy": pa.array([r[1] for r in out], pa.bool_()), "blob": pa.array([r[2] for r in out], pa.binary())})
+
+    return docs.mapInArrow(pack, "b long, copy boolean, blob binary")
+
+
+def unpacked(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a bucket, and which of them are copies of others, here or in another bucket."""
+    tables = [pa.ipc.open_stream(x).read_all() for x in group["blob"].to_pylist()]
+    copy = np.repeat(group["copy"].to_numpy().astype(bool), [t.num_rows for t in tables])
+    t = pa.concat_tables(tables)
+    copy |= repeated_rows(ids_of(t["doc_id"]), row_digests(T.raw_texts(t["text"]))) & ~copy if len(copy) else copy
+    return t, copy
 
 
 HOT_SAMPLE = 20_000

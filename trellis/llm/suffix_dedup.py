@@ -18,8 +18,11 @@ of such a hot anchor (found on a sample, see ``common.hot_keys``) is a context o
 first and last gram.  Contexts that recur within a unit of work are settled there: they leave one record, so groups of any
 number of copies cost one record a unit.
 
-Defined results: null counts as empty; texts under WIDTH bytes lose nothing; rows equal in doc_id and
-text are one document; empty tables give empty results; other columns pass through.
+Defined results: null counts as empty; texts under WIDTH bytes lose nothing; very long texts are worked on
+whole, in a unit of their own; every row is a document, so rows that repeat, with or without their doc_id,
+lose every WIDTH-byte string, as any text with a copy does; there are no ties, since order plays no part;
+null ids are ids like others; empty tables give empty results; other columns, whatever their names, pass
+through, and results take names that are free.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from trellis.llm import common as C
 from trellis.llm import textnp as T
-from trellis.llm.common import expand, squeeze
-from trellis.llm.substring_index import REMOVED, covered, per_document, removal_rows, row_batch, same_as_previous
+from trellis.llm.common import expand, same_as_previous, squeeze
+from trellis.llm.substring_index import REMOVED, covered, cut_rows, removal_rows, row_batch
 from trellis.session import materialize
 
 WIDTH = 200
@@ -209,20 +211,19 @@ def repeated_windows(data: np.ndarray, length: np.ndarray, copies: np.ndarray, s
 
 
 def anchored_windows(texts: list[bytes]):
-    """Per block of texts: the block, its rolling hash and grams, and each window's start, text and anchor place."""
+    """Per block of texts: the block, its grams' hashes, and each window's start, text and anchor place."""
     for lo, hi in T.blocks(texts, BLOCK_BYTES):
         block = T.Block(texts[lo:hi])
-        slide = T.Rolling(T.byte_values(2)[block.data])
-        grams = slide.fixed(GRAM)
+        grams = T.Rolling(T.byte_values(2)[block.data]).fixed(GRAM)
         place = T.sliding_argmin(grams, WIDTH - GRAM + 1)
         m = np.maximum(block.length - WIDTH + 1, 0)
         s, doc = T.spread(block.start, m), np.repeat(np.arange(hi - lo), m)
         if len(s):
-            yield lo, block, slide, grams, s, doc, place[s]
+            yield lo, block, grams, s, doc, place[s]
 
 
 def anchors_of(texts: list[bytes]) -> np.ndarray:
-    found = [np.unique(grams[p]) for _, _, _, grams, _, _, p in anchored_windows(texts)]
+    found = [np.unique(grams[p]) for _, _, grams, _, _, p in anchored_windows(texts)]
     return np.concatenate(found) if found else np.zeros(0, _U)
 
 
@@ -230,20 +231,17 @@ def context_rows(docs: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     def work(batches):
         for t in C.large_batches(batches, limit=UNIT_BYTES):
             texts, ids = T.raw_texts(t["text"]), C.ids_of(t["doc_id"])
-            tags = C.tags_of(texts).astype(np.uint16)
-            order = np.lexsort((C.tags_of(texts), ids))
-            ids, tags = ids[order], tags[order]
+            digests = C.row_digests(texts)
+            order = np.lexsort((digests, ids))
+            ids, digests = ids[order], digests[order]
             texts = [texts[i] for i in order]
-            whole = C.tags_of(texts)
-            twin = same_as_previous(ids, whole)
-            texts = [b"" if x else y for x, y in zip(twin, texts, strict=True)]
             parts = []
-            for lo, block, slide, grams, s, doc, p in anchored_windows(texts):
+            for lo, block, grams, s, doc, p in anchored_windows(texts):
                 single = C.member(grams[p], hot) if len(hot) else np.zeros(len(p), bool)
                 first = np.flatnonzero(~same_as_previous(doc, p) | single | np.append(False, single[:-1]))
                 count = np.diff(np.append(first, len(s)))
                 f, alone = s[first], single[first]
-                digest = slide(f, f + count + WIDTH - 1) ^ T.mix((count * 256 + np.where(alone, 0, p[first] - f)).astype(_U))
+                digest = T.slice_hashes(block.data, f, f + count + WIDTH - 1) ^ T.mix((count * 256 + np.where(alone, 0, p[first] - f)).astype(_U))
                 anchor = np.where(alone, T.mix(grams[f] ^ T.mix(grams[f + WIDTH - GRAM])), grams[p[first]])
                 parts.append((anchor, digest, doc[first] + lo, f - block.start[doc[first]], count))
             if not parts:
@@ -260,9 +258,9 @@ def context_rows(docs: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
             for b, j in C.by_bucket((anchor[i] % _U(n)).astype(np.int64)):
                 k = i[j]
                 at = ids[doc[k]]
-                rows.append((b, CONTEXT, squeeze(anchor[k], digest[k], at[:1], np.diff(at), tags[doc[k]], a[k].astype(np.uint32), count[k].astype(np.uint8), np.minimum(number[k], 2).astype(np.uint8))))
+                rows.append((b, CONTEXT, squeeze(anchor[k], digest[k], at[:1], np.diff(at), digests[doc[k]], a[k].astype(np.uint32), count[k].astype(np.uint8), np.minimum(number[k], 2).astype(np.uint8))))
             k = np.flatnonzero(number > 1)
-            rows += removal_rows(ids[doc[k]], tags[doc[k]], a[k], count[k], n)
+            rows += removal_rows(ids[doc[k]], digests[doc[k]], a[k], count[k], n)
             yield row_batch(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _ROW)
@@ -280,22 +278,22 @@ def recurring_rows(rows: DataFrame, n: int) -> DataFrame:
                 parts.append(expand(blob))
         if parts:
             ids = np.concatenate([np.concatenate((p[2], p[2] + np.cumsum(p[3]))) for p in parts])
-            anchor, digest, tags, a, count, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 4, 5, 6, 7))
+            anchor, digest, rows, a, count, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 4, 5, 6, 7))
             order = np.lexsort((digest, anchor))
-            anchor, digest, ids, tags, a, count, copies = (x[order] for x in (anchor, digest, ids, tags, a, count, copies))
+            anchor, digest, ids, rows, a, count, copies = (x[order] for x in (anchor, digest, ids, rows, a, count, copies))
             head = np.flatnonzero(~same_as_previous(anchor))
             often = np.add.reduceat(copies.astype(np.int64), head) > 1
             keep = np.repeat(often, np.diff(np.append(head, len(anchor))))
-            anchor, digest, ids, tags, a, count, copies = (x[keep] for x in (anchor, digest, ids, tags, a, count, copies))
+            anchor, digest, ids, rows, a, count, copies = (x[keep] for x in (anchor, digest, ids, rows, a, count, copies))
             if len(anchor):
                 new = ~same_as_previous(anchor, digest)
                 g = np.cumsum(new) - 1
                 first = np.flatnonzero(new)
                 number = np.add.reduceat(copies.astype(np.int64), first)
-                for d, j in C.by_bucket(C.id_bucket(ids[first], n)):
+                for d, j in C.by_bucket(C.row_bucket(ids[first], rows[first], n)):
                     k = first[j]
-                    out.append((d, FETCH, squeeze(bucket, g[k], ids[k], tags[k], a[k], count[k])))
-                out.append((bucket, MEMBERS, squeeze(g, ids, tags, a, count, np.minimum(number, 2))))
+                    out.append((d, FETCH, squeeze(bucket, g[k], ids[k], rows[k], a[k], count[k])))
+                out.append((bucket, MEMBERS, squeeze(g, ids, rows, a, count, np.minimum(number, 2))))
         return pa.Table.from_batches([row_batch(out)])
 
     return rows.groupBy("b").applyInArrow(work, _ROW)
@@ -307,13 +305,14 @@ def fetched_rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def work(key, left, right):
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([row_batch([])])
-        t = C.from_ipc(left["blob"].to_pylist())
+        t, copy = C.unpacked(left)
+        t = t.filter(pa.array(~copy))
         texts, ids = T.raw_texts(t["text"]), C.ids_of(t["doc_id"])
-        at = {(int(i), int(g)): x for i, g, x in zip(ids, C.tags_of(texts).astype(np.uint16), texts, strict=True)}
+        at = dict(zip(zip(ids.tolist(), C.row_digests(texts).tolist(), strict=True), texts, strict=True))
         out = []
         for blob in right["blob"].to_pylist():
-            (bucket,), g, i, tag, a, count = expand(blob)
-            cut = [at[int(i[k]), int(tag[k])][int(a[k]) : int(a[k]) + int(count[k]) + WIDTH - 1] for k in range(len(g))]
+            (bucket,), g, i, row, a, count = expand(blob)
+            cut = [at[int(i[k]), int(row[k])][int(a[k]) : int(a[k]) + int(count[k]) + WIDTH - 1] for k in range(len(g))]
             out.append((int(bucket), BYTES, squeeze(g, b"".join(cut))))
         return pa.Table.from_batches([row_batch(out)])
 
@@ -330,7 +329,7 @@ def repeat_rows(rows: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
                 members = expand(blob)
             else:
                 fetched.append(expand(blob))
-        g, ids, tags, a, count, copies = members
+        g, ids, digests, a, count, copies = members
         first = np.flatnonzero(~same_as_previous(g))
         length = count[first].astype(np.int64) + WIDTH - 1
         order = np.concatenate([x[0] for x in fetched])
@@ -344,37 +343,24 @@ def repeat_rows(rows: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
         keep = repeated[at]
         rec, s = rec[keep], s[keep]
         new = np.flatnonzero(~(same_as_previous(rec) & (np.diff(s, prepend=-9) == 1)))
-        return pa.Table.from_batches([row_batch(removal_rows(ids[rec[new]], tags[rec[new]], s[new], np.diff(np.append(new, len(s))), n))])
+        return pa.Table.from_batches([row_batch(removal_rows(ids[rec[new]], digests[rec[new]], s[new], np.diff(np.append(new, len(s))), n))])
 
     return rows.groupBy("b").applyInArrow(work, _ROW)
 
 
 def cut_bytes(docs: DataFrame, removals: DataFrame, n: int) -> DataFrame:
-    """All rows and columns of docs, with _kept_bytes, _n_bytes, _n_removed and _n_spans."""
-    names = ["_kept_bytes", "_n_bytes", "_n_removed", "_n_spans"]
-    docs = docs.drop(*names)
-    schema = S.StructType([*docs.schema.fields, S.StructField(names[0], S.BinaryType()), *(S.StructField(x, S.LongType()) for x in names[1:])])
-    arrow_schema = to_arrow_schema(schema)
+    """Docs with four further columns: the kept bytes, the number of bytes, of those removed, and of removed runs."""
 
-    def work(key, left, right):
-        if not left.num_rows:
-            return arrow_schema.empty_table()
-        t = C.from_ipc(left["blob"].to_pylist())
-        kept, size, gone, spans = ([None] * t.num_rows for _ in range(4))
-
-        def one(r, text, start, count):
-            kept[r], size[r], gone[r], spans[r] = text, len(text), 0, 0
-            if start is not None:
-                mask = covered(len(text), start, count, WIDTH)
-                gone[r], spans[r] = int(mask.sum()), len(T.runs_of(mask)[0])
-                kept[r] = np.frombuffer(text, np.uint8)[~mask].tobytes()
-
-        per_document(t, right["blob"].to_pylist(), one)
-        for name, values, kind in zip(names, (kept, size, gone, spans), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True):
-            t = t.append_column(name, pa.array(values, kind))
-        return t.select(arrow_schema.names).cast(arrow_schema)
+    def one(text, start, count, copy):
+        if copy and len(text) >= WIDTH:
+            return b"", len(text), len(text), 1
+        if start is None:
+            return text, len(text), 0, 0
+        mask = covered(len(text), start, count, WIDTH)
+        return np.frombuffer(text, np.uint8)[~mask].tobytes(), len(text), int(mask.sum()), len(T.runs_of(mask)[0])
 
-    return C.packed(docs, n).groupBy("b").cogroup(removals.groupBy("b")).applyInArrow(work, schema)
+    results = [("_kept_bytes", S.BinaryType()), ("_n_bytes", S.LongType()), ("_n_removed", S.LongType()), ("_n_spans", S.LongType())]
+    return cut_rows(docs, removals, n, results, one)
 
 
 def remove_repeated_bytes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -389,28 +375,29 @@ def remove_repeated_bytes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
-    return remove_repeated_bytes(docs).select(
-        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept_bytes", 256).alias("kept_sha256")
-    )
+    cut = remove_repeated_bytes(docs)
+    kept, *counts = cut.columns[-4:]
+    return cut.select("doc_id", *[F.col(c).alias(x) for c, x in zip(counts, ("n_bytes", "n_removed", "n_spans"), strict=True)], F.sha2(kept, 256).alias("kept_sha256"))
 
 
+#: Rows, not ids, are the documents.
 ORACLE = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-n AS (SELECT doc_id, h, CAST(len(h) // 2 AS BIGINT) AS n_bytes FROM d),
-win AS (
-  SELECT doc_id, s, md5(substr(h, 2 * s - 1, 400)) AS k
-  FROM (SELECT doc_id, h, unnest(generate_series(1, n_bytes - 199)) AS s FROM n WHERE n_bytes >= 200)
-), hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
-step AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit),
-run AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM step),
-span AS (SELECT doc_id, min(s) AS a, max(s) + 199 AS b FROM run GROUP BY doc_id, r),
-gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+WITH n AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(len(h) // 2 AS BIGINT) AS n_bytes FROM documents
+), win AS (
+  SELECT r, s, md5(substr(h, 2 * s - 1, 400)) AS k
+  FROM (SELECT r, h, unnest(generate_series(1, n_bytes - 199)) AS s FROM n WHERE n_bytes >= 200)
+), hit AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+step AS (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM step),
+span AS (SELECT r, min(s) AS a, max(s) + 199 AS b FROM run GROUP BY r, g),
+gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM span),
 cut AS (
-  SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last,
+  SELECT r, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last,
          string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head
-  FROM gap JOIN n USING (doc_id) GROUP BY doc_id
+  FROM gap JOIN n USING (r) GROUP BY r
 )
 SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM n LEFT JOIN cut USING (doc_id)
+FROM n LEFT JOIN cut USING (r)
 """

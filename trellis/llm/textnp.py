@@ -1,14 +1,16 @@
 """Vectorised byte-level text primitives: words, rolling hashes, window minima.
 
 Texts are handled as UTF-8 in blocks of a few megabytes: all texts of a block lie in one byte
-array with a blank after each, so no word crosses a text.  Hashes are polynomials modulo 2**64
-over random byte values, taken from prefix sums, so any substring's hash costs two look-ups.
+array with a blank after each, so no word crosses a text.  A word's hash chains its eight-byte pieces
+through a scramble.  Hashes of slices are polynomials modulo 2**64 over random values, taken from prefix
+sums, so any slice's hash costs two look-ups; over bytes they only choose places and are never a verdict.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -16,6 +18,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = U64(0x9E3779B97F4A7C15)
 _POS_BITS = U64(30)
+_LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +63,31 @@ class Rolling:
         return mix((self.prefix[k : k + m] - self.prefix[:m]) * self.inverse[:m])
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]; other seeds give independent ones."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+    length = end - start
+    key = mix(np.array([seed], U64) + U64(0x2545F4914F6CDD1D))
+    h = mix(key ^ length.astype(U64))
+    mask = np.append((U64(1) << np.arange(0, 64, 8, dtype=U64)) - U64(1), U64(0xFFFFFFFFFFFFFFFF))
+    todo = np.flatnonzero(length <= _LONG_WORD)
+    at, rest = start[todo], length[todo]
+    while len(todo):
+        h[todo] = mix((h[todo] ^ (eight[at] & mask[np.minimum(rest, 8)])) * U64(0x9E3779B97F4A7C15) + key)
+        more = rest > 8
+        todo, at, rest = todo[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(length > _LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]], int(key[0]))
+    return h
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice's bytes."""
+    raw, f = data.tobytes(), xxhash.xxh3_64_intdigest
+    return np.fromiter((f(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), U64, len(start))
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
