@@ -13,9 +13,10 @@ string, the contents of assistant turns.
 Everything is linear in the turns: offsets come from a running sum over a conversation's rows, and the
 rows of a conversation meet once, in the exchange that sum and gathering share.
 
-Defined results: null roles, texts and parts count as empty; a part without a known type is an
-attachment; a null turn comes first, and ties are ordered by role and content; a null conv_id is a
-conversation of its own; an empty table gives an empty result; other columns are ignored.
+Defined results: null roles, texts and parts count as empty, and empty texts are turns like others; a part
+without a known type is an attachment; very long texts are whole in their turn; a null turn comes first,
+and ties are ordered by role and content; rows that repeat are as many turns; all rows without a conv_id are
+one conversation; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsb;"))
 KINDS = ("image", "audio", "document")
+CHUNK = 4096
 PART = "type: string, text: string, ref: string, n_tokens: bigint"
 
 
@@ -102,9 +104,31 @@ def format_chats(messages: DataFrame) -> DataFrame:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """use(v) with v bound to a value that is computed once, not once for every element that refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _stretches(formatted: Column, spans: Column) -> Column:
+    """The stretches of a string that spans name.
+
+    The string is cut into chunks first: a substring is sought from its chunk's start, not from the whole
+    string's, which would cost the square of a long conversation.
+    """
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def stretch(parts: Column, span: Column) -> Column:
+        first = F.floor((span["start"] - 1) / CHUNK)
+        last = F.floor((span["start"] + span["length"] - 2) / CHUNK)
+        near = F.array_join(F.slice(parts, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.when(span["length"] > 0, F.substring(near, (span["start"] - first * CHUNK).cast("int"), span["length"].cast("int"))).otherwise("")
+
+    return _bound(chunks, lambda parts: F.transform(spans, lambda s: stretch(parts, s)))
+
+
 def read_back(chats: DataFrame) -> DataFrame:
     """conv_id, turns array<struct<role, text>> and the text under the loss mask, from the strings alone."""
-    pieces = F.slice(F.split("formatted", r"<\|turn\|>"), 2, F.greatest(F.size(F.split("formatted", r"<\|turn\|>")) - 1, F.lit(0)))
+    pieces = _bound(F.split("formatted", r"<\|turn\|>"), lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
     turns = F.transform(
         pieces,
         lambda p: F.struct(
@@ -112,7 +136,7 @@ def read_back(chats: DataFrame) -> DataFrame:
             unescaped(F.substring_index(F.substring_index(p, BODY, -1), END, 1)).alias("text"),
         ),
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))), "")
+    loss = F.array_join(F.transform(_stretches(F.col("formatted"), F.col("loss_spans")), unescaped), "")
     return chats.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
 
