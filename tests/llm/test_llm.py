@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -606,6 +607,22 @@ def test_chat_parts(spark):
     assert len(r["loss_spans"]) == 1 and r["loss_spans"][0]["length"] == 0
 
 
+def test_chat_of_many_turns_is_linear(spark):
+    """Twice the turns take about twice the time, and the loss text is right across chunks."""
+    def seconds(turns):
+        rows = spark.range(turns).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("\U0001f600<é "), F.repeat(F.col("id").cast("string"), 60)).alias("text"))
+        messages = rows.withColumn("parts", chat_format.text_parts(F.col("text")))
+        began = time.perf_counter()
+        got = chat_format.read_back(chat_format.format_chats(messages)).select("loss_text", F.size("turns").alias("n")).first()
+        took = time.perf_counter() - began
+        assert got["n"] == turns
+        assert got["loss_text"] == "".join("\U0001f600<é " + str(k) * 60 for k in range(1, turns, 2))
+        return took
+
+    seconds(100)
+    assert seconds(16_000) < 3 * seconds(8_000) + 1
+
+
 def test_chat_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     m = df.select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts"))
@@ -845,43 +862,69 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def brute_sketch(t):
+    """The kept hashes, shingle by shingle in whole numbers; None without words."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    w = [x.encode() for x in re.split("[\x20\x09-\x0d]+", lowered) if x]
+    one = {x: int(T.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), 3)[0]) for x in w}
+    limit, base = (1 << 64) // scaled_sketch.FRACTION, 0x9E3779B97F4A7C15
+    kept = set()
+    for s in {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ():
+        value = sum(one[x] * pow(base, k, 1 << 64) for k, x in enumerate(s)) % (1 << 64)
+        h = int(T.mix(np.array([value], np.uint64))[0])
+        if h < limit:
+            kept.add(h // (limit >> 32))
+    return kept if w else None
+
+
+def brute_likeness(a, b):
+    return len(a & b) / len(a | b) if a and b and a | b else float(a is None and b is None)
+
+
 def test_sketch_estimates():
     rng = random.Random(9)
-    a = words(rng, 3000, 50_000)
-    b = a[: len(a) // 2] + " " + words(rng, 1500, 50_000)
-    small = " ".join(a.split()[100:700])
+    a = words(rng, 8000, 50_000)
+    b = a[: len(a) // 2] + " " + words(rng, 4000, 50_000)
+    small = " ".join(a.split()[100:1700])
     x, y, z = scaled_sketch.sketches([a.encode(), b.encode(), small.encode()])
     assert x.likeness(y) == pytest.approx(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)), abs=0.06)
     assert z.containment(x) == 1.0
     assert x.containment(z) == pytest.approx(len(shingles(small)) / len(shingles(a)), abs=0.05)
     merged = x.merge(y)
     assert x.containment(merged) == 1.0
+    assert len(x.text()) < len(a) / 10
     again = scaled_sketch.Sketch.parse(x.text())
-    assert again.likeness(x) == 1.0 and again.threshold == x.threshold
+    assert again.likeness(x) == 1.0 and again.fraction == x.fraction
+    blank, few = scaled_sketch.sketches([b" \n", b"one"])
+    assert blank.likeness(blank) == 1.0 and blank.likeness(few) == 0.0
+    with pytest.raises(ValueError, match="fractions"):
+        x.merge(scaled_sketch.Sketch(x.hashes, False, 7))
 
 
 def test_fingerprints_with_next(spark, docs, clashing, no_docs):
-    rows = sorted(((i if i is not None else -(1 << 63), t or "") for i, t, *_ in corpus()), key=lambda r: (r[0], r[1].encode()))
+    rows = sorted((i if i is not None else LOWEST, hashlib.md5((t or "").encode()).digest(), t or "") for i, t, *_ in corpus())
     want = Counter()
-    for k, (i, t) in enumerate(rows):
+    for k, (i, _, t) in enumerate(rows):
         q = len(t) // 4
-        nxt = rows[(k + 1) % len(rows)][1]
-        want[i, len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()] += 1
+        nxt = rows[(k + 1) % len(rows)][2]
+        e = t[: len(t) - q] + nxt[:q]
+        a, b, c = brute_sketch(t), brute_sketch(e), brute_sketch(nxt)
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(brute_likeness(a, b), 12), round(brute_likeness(a, c), 12), tuple(sorted(a or ())), tuple(sorted(b or ()))] += 1
     for table in (docs, clashing, docs.repartition(9)):
         got = scaled_sketch.fingerprint_with_next(table).collect()
-        assert Counter((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["n_chars"], r["edited_sha256"]) for r in got) == want
-        assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
-    by_text = {}
-    for i, t, *_ in corpus():
-        by_text.setdefault(i, t or "")
-    prints = {}
-    for r in got:
-        if r["doc_id"] is not None:
-            prints.setdefault(by_text[r["doc_id"]], set()).add(r["fingerprint"])
-    assert all(len(p) == 1 for p in prints.values())
+        kept = [[tuple(scaled_sketch.Sketch.parse(r[c]).hashes.tolist()) for c in ("fingerprint", "edited_fingerprint")] for r in got]
+        found = Counter((r["doc_id"] if r["doc_id"] is not None else LOWEST, r["n_chars"], r["edited_sha256"], round(r["near_edited"], 12), round(r["near_next"], 12), *k) for r, k in zip(got, kept, strict=True))
+        assert found == want
     assert scaled_sketch.fingerprint_with_next(no_docs).isEmpty()
 
 
+def test_fingerprints_of_rows_that_repeat(spark):
+    rows = [(None, "a b c d e f g")] * 40 + [(3, "x y z")] * 3 + [(3, "other text of the id")] + [(None, f"row {k}") for k in range(30)]
+    got = scaled_sketch.fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t)) for i, t in rows)
+    assert sum(r["near_next"] == 1.0 for r in got if r["n_chars"] == 13) in (0, 39)
+
+
 # ---- text primitives ---------------------------------------------------------------------------
 
 
