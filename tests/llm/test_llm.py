@@ -640,7 +640,7 @@ def test_without_dropout_ids_equal_the_library():
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     texts = [t for t in ODD if "▁".encode() not in t] + [(t or "").encode() for _, t, *_ in corpus() if "▁" not in (t or "")]
     coder = sp_codec.Encoder(PATH, 0.0, 1)
-    assert [x.tolist() for x in coder.encode(texts, [0] * len(texts))] == sp.encode([t.decode() for t in texts])
+    assert [x.tolist() for x in coder.encode(texts, np.zeros(len(texts)))] == sp.encode([t.decode() for t in texts])
 
 
 def test_dropout_is_lossless_and_seeded():
@@ -648,7 +648,7 @@ def test_dropout_is_lossless_and_seeded():
     runs = []
     for seed in (1, 1, 2):
         coder = sp_codec.Encoder(PATH, 0.2, seed)
-        ids = coder.encode(texts, [k % 2 for k in range(len(texts))])
+        ids = coder.encode(texts, np.arange(len(texts)))
         assert [coder.pieces.decode(i.tolist()) for i in ids] == texts
         runs.append([i.tolist() for i in ids])
     assert runs[0] == runs[1] != runs[2]
@@ -659,11 +659,46 @@ def test_rounds_equal_the_agenda(rate):
     pieces = sp_codec.Pieces(PATH)
     rng = random.Random(4)
     some = [" " + "".join(rng.choice("aeiouthn sdé") for _ in range(rng.randint(1, 30))) for _ in range(200)]
-    keys = sp_codec.word_keys([w.encode() for w in some], np.zeros(len(some)), 3)
+    keys = sp_codec.place_keys(np.array([7]), np.array([len(some)]), 3)
     with np.errstate(over="ignore"):
         assert sp_codec.segment(pieces, some, keys, rate) == [sp_codec.segment_long(pieces, w, int(k), rate) for w, k in zip(some, keys, strict=True)]
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.3])
+def test_every_occurrence_is_merged_by_its_own_key(monkeypatch, rate):
+    """The cached agenda gives what merging each occurrence by itself gives."""
+    monkeypatch.setattr(sp_codec, "SLICE", 37)
+    texts = ODD + [(t or "").encode() for _, t, *_ in corpus() if len(t or "") < 3000]
+    ids = np.arange(len(texts)) % 5 - 2
+    coder = sp_codec.Encoder(PATH, rate, 11)
+    got = coder.encode(texts, ids)
+    for text, i, mine in zip(texts, ids, got, strict=True):
+        chunks = sp_codec._CHUNK.findall(b" " + text) if text else []
+        keys = sp_codec.place_keys(np.array([i]), np.array([len(chunks)]), 11)
+        want = [x for c, k in zip(chunks, keys, strict=True) for x in coder.pieces.ids(sp_codec.segment_long(coder.pieces, c.decode(), int(k), rate))]
+        assert mine.tolist() == want
+
+
+def test_dropout_varies_from_place_to_place():
+    word = b" consideration"
+    coder = sp_codec.Encoder(PATH, 0.1, 5)
+    texts = [word[1:] + word * 399] * 2
+    ids = coder.encode(texts, np.array([1, 2]))
+    plain = sp_codec.Encoder(PATH, 0.0, 5).encode([word[1:]], np.array([1]))[0].tolist()
+    seen = set()
+    for x in ids:
+        parts, now = [], []
+        for i in x.tolist():
+            now.append(i)
+            if b"".join(coder.pieces.bytes[k] for k in now) == word:
+                parts.append(tuple(now))
+                now = []
+        assert len(parts) == 400
+        seen |= set(parts)
+        assert 0.3 < parts.count(tuple(plain)) / 400 < 0.95
+    assert len(seen) > 5 and ids[0].tolist() != ids[1].tolist()
+
+
 def test_codec_tables(docs, no_docs):
     got = sp_codec.digest(docs)
     assert got.count() == len(corpus()) and got.where("not lossless").isEmpty()

@@ -1,17 +1,20 @@
 """SentencePiece (BPE) encoding with seeded merge-dropout, and lossless decoding.
 
 Merges are taken from an agenda, best piece score first and leftmost on ties; a candidate merge is
-skipped for good if a hash keyed by seed, variant, word and the merge's place falls under the dropout
-rate.  So a segmentation depends on its key alone: it can be cached, and any run repeats it.  Documents
-are dealt to ``variants`` keys, and other seeds give other segmentations.  With a rate of 0 the ids
-equal the library's.
-
-Words up to LONG symbols are merged together, vectorised, one merge of each word a round; longer ones go
-through a heap.  Characters outside the vocabulary fall back to their bytes, and so does a literal
-U+2581, which as a piece would read as a blank: every text decodes to itself.
-
-Defined results: null counts as empty; the empty text has no ids; equal texts of one variant have equal
-ids; an empty table gives an empty result.
+skipped for good if a hash keyed by seed, doc_id, the word's place in the document and the merge's place
+in the word falls under the dropout rate.  So every occurrence of a word is segmented by itself, any run
+repeats it, and other seeds give other segmentations.  With a rate of 0 the ids equal the library's.
+
+The agenda of a word without any dropped merge is the same wherever it stands.  It is kept with the
+candidates that it meets; an occurrence whose key drops none of them has just these ids, and only the
+others are merged anew.  Words up to LONG symbols are merged together, vectorised, one merge of each word
+a round; longer ones go through a heap.  Characters outside the vocabulary fall back to their bytes, and so
+does a literal U+2581, which as a piece would read as a blank: every text decodes to itself.
+
+Defined results: null counts as empty; the empty text has no ids; very long texts are encoded whole; equal
+texts of one doc_id have equal ids, so rows that repeat do, and a null doc_id is a key like any other; ties
+go to the leftmost merge; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ from trellis.llm import textnp as T
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2027
-VARIANTS = 2
 LONG = 48
 CACHE = 250_000
+SLICE = 1 << 16
 _MARK = "▁"
 _CHUNK = re.compile(rb" *[^ ]+| +")
 _NONE = 1 << 30
@@ -135,16 +138,22 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
-def skipped(key, start, middle, end, rate: float) -> np.ndarray:
-    """Whether the keyed hash drops the merge of [start, middle) with [middle, end)."""
-    where = (np.asarray(start).astype(_U) << _U(42)) | (np.asarray(middle).astype(_U) << _U(21)) | np.asarray(end).astype(_U)
-    h = T.mix(np.asarray(key, _U) ^ T.mix(where + _U(0x632BE59BD9B4E019)))
+def merge_codes(start, middle, end) -> np.ndarray:
+    """A scrambled number for the merge of [start, middle) with [middle, end)."""
+    return T.mix(((np.asarray(start).astype(_U) << _U(42)) | (np.asarray(middle).astype(_U) << _U(21)) | np.asarray(end).astype(_U)) + _U(0x632BE59BD9B4E019))
+
+
+def skipped(key, code, rate: float) -> np.ndarray:
+    """Whether the keyed hash drops the merge."""
+    h = T.mix(np.asarray(key, _U) ^ code)
     return (h >> _U(11)).astype(np.float64) < rate * 2.0**53
 
 
-def word_keys(words: list[bytes], variant: np.ndarray, seed: int) -> np.ndarray:
-    h = np.array([zlib.crc32(w) | zlib.adler32(w) << 32 for w in words], _U)
-    return T.mix(h ^ T.mix(variant.astype(_U) + T.mix(np.array([seed], _U))))
+def place_keys(ids: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
+    """The key of each of a document's ``count`` words."""
+    document = T.mix(T.mix(ids.astype(np.int64).view(_U)) ^ T.mix(np.array([seed], np.int64).view(_U)))
+    place = T.spread(np.zeros(len(count), np.int64), count)
+    return T.mix(np.repeat(document, count) + place.astype(_U))
 
 
 def segment_long(pieces: Pieces, word: str, key: int, rate: float) -> list[int]:
@@ -158,7 +167,7 @@ def segment_long(pieces: Pieces, word: str, key: int, rate: float) -> list[int]:
         j = nxt[i]
         if i >= 0 and j < n:
             p = pieces.pairs.get((sym[i] << 20) | sym[j]) if sym[i] < pieces.known and sym[j] < pieces.known else None
-            if p is not None and not (rate and skipped(key, i, j, end[j], rate)):
+            if p is not None and not (rate and skipped(key, merge_codes(i, j, end[j]), rate)):
                 heapq.heappush(heap, (int(pieces.rank[p]), i, j, end[j], p))
 
     with np.errstate(over="ignore"):
@@ -178,8 +187,8 @@ def segment_long(pieces: Pieces, word: str, key: int, rate: float) -> list[int]:
     return [s for s in sym if s is not None]
 
 
-def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float) -> list[list[int]]:
-    """The symbols of each word after its agenda is empty."""
+def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float, met: list | None = None) -> list[list[int]]:
+    """The symbols of each word after its agenda is empty; ``met`` gathers (word, code) arrays of its candidates."""
     out: list = [None] * len(words)
     short = [i for i, w in enumerate(words) if len(w) <= LONG]
     for i in set(range(len(words))).difference(short):
@@ -198,10 +207,14 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float) ->
         ok = at + 1 < len(sym)
         a, b = at, np.where(ok, at + 1, at)
         piece = np.where(ok & (owner[a] == owner[b]), pieces.merged(sym[a], sym[b]), -1)
-        if rate:
+        if rate or met is not None:
             k = np.flatnonzero(piece >= 0)
             a, b = a[k], b[k]
-            piece[k[skipped(keys[owner[a]], start[a], start[b], end[b], rate)]] = -1
+            code = merge_codes(start[a], start[b], end[b])
+            if met is not None:
+                met.append((owner[a], code))
+            if rate:
+                piece[k[skipped(keys[owner[a]], code, rate)]] = -1
         return np.where(piece >= 0, pieces.rank[np.maximum(piece, 0)], _NONE), piece
 
     rank, piece = candidates(np.arange(len(sym)))
@@ -236,51 +249,80 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float) ->
 
 
 class Encoder:
-    """Encodes whole texts; words met before are looked up in a cache of two generations per variant."""
+    """Encodes whole texts; what words become without a dropped merge is kept in a cache of two generations."""
 
-    def __init__(self, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, rate: float = DROPOUT, seed: int = SEED):
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
-        self.young: list[dict[bytes, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[bytes, bytes]] = [{} for _ in range(variants)]
-
-    def _learn(self, words: list[bytes], variant: int) -> None:
-        young = self.young[variant]
-        for k in range(0, len(words), 1 << 16):
-            part = words[k : k + (1 << 16)]
-            keys = word_keys(part, np.full(len(part), variant), self.seed)
+        self.young: dict[bytes, tuple[bytes, np.ndarray | None]] = {}
+        self.old: dict[bytes, tuple[bytes, np.ndarray | None]] = {}
+
+    def _raw(self, symbols: list[int]) -> bytes:
+        return array("I", symbols if max(symbols) < self.pieces.n else self.pieces.ids(symbols)).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids without dropout and the codes of all candidates met; no codes for words that are merged on a heap."""
+        for k in range(0, len(words), SLICE):
+            part = words[k : k + SLICE]
+            met: list[tuple[np.ndarray, np.ndarray]] = []
+            plain = [w.decode() for w in part]
             with np.errstate(over="ignore"):
-                found = segment(self.pieces, [w.decode() for w in part], keys, self.rate)
-            n, ids = self.pieces.n, self.pieces.ids
-            for w, s in zip(part, found, strict=True):
-                young[w] = array("I", s if max(s) < n else ids(s)).tobytes()
-
-    def encode(self, texts: list[bytes], variants: list[int]) -> list[np.ndarray]:
+                found = segment(self.pieces, plain, np.zeros(len(part), _U), 0.0, met)
+            owner, code = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, _U))
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(part) + 1)).tolist()
+            code = code[order]
+            for w, s, a, b, text in zip(part, found, cuts, cuts[1:], plain, strict=False):
+                self.young[w] = self._raw(s), code[a:b].copy() if len(text) <= LONG else None
+
+    def encode(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text; ``ids`` are the documents'."""
         chunks = [_CHUNK.findall(b" " + t) if t else [] for t in texts]
-        for v in set(variants):
-            words = set().union(*(c for c, u in zip(chunks, variants, strict=True) if u == v))
-            if len(self.young[v]) + len(words) > CACHE:
-                self.young[v], self.old[v] = {}, self.young[v]
-            young, old = self.young[v], self.old[v]
-            words.difference_update(young)
-            known = words & old.keys()
-            young.update((w, old[w]) for w in known)
-            self._learn(list(words - known), v)
-        return [np.frombuffer(b"".join(map(self.young[v].__getitem__, c)), "<u4") for c, v in zip(chunks, variants, strict=True)]
-
-
-def variant_of(ids: np.ndarray, seed: int, variants: int) -> np.ndarray:
-    return (T.mix(ids.astype(np.int64).view(_U) ^ _U(seed)) % _U(variants)).astype(np.int64)
+        words = set().union(*chunks)
+        if len(self.young) + len(words) > CACHE:
+            self.young, self.old = {}, self.young
+        words.difference_update(self.young)
+        known = words & self.old.keys()
+        self.young.update((w, self.old[w]) for w in known)
+        self._learn(list(words - known))
+        count = np.array([len(c) for c in chunks], np.int64)
+        keys = place_keys(ids, count, self.seed)
+        flat = [w for c in chunks for w in c]
+        parts: list[bytes] = []
+        for k in range(0, len(flat), SLICE):
+            parts += self._occurrences(flat[k : k + SLICE], keys[k : k + SLICE])
+        cuts = [0, *np.cumsum(count).tolist()]
+        return [np.frombuffer(b"".join(parts[a:b]), "<u4") for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _occurrences(self, words: list[bytes], keys: np.ndarray) -> list[bytes]:
+        number: dict[bytes, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        found = [self.young[w] for w in number]
+        out = [found[i][0] for i in at.tolist()]
+        if not self.rate:
+            return out
+        none = np.zeros(0, _U)
+        size = np.array([0 if f[1] is None else len(f[1]) for f in found], np.int64)
+        codes = np.concatenate([none if f[1] is None else f[1] for f in found])
+        many = size[at]
+        drop = skipped(np.repeat(keys, many), codes[T.spread((np.cumsum(size) - size)[at], many)], self.rate)
+        anew = np.array([f[1] is None for f in found])[at]
+        anew[np.repeat(np.arange(len(words)), many)[drop]] = True
+        todo = np.flatnonzero(anew)
+        with np.errstate(over="ignore"):
+            merged = segment(self.pieces, [words[i].decode() for i in todo.tolist()], keys[todo], self.rate)
+        for i, s in zip(todo.tolist(), merged, strict=True):
+            out[i] = self._raw(s)
+        return out
 
 
-def encode(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids, decoded): ids of every text, and what they decode to."""
     path = model or public_tokenizers.path(MODEL)
 
     def work(batches):
-        coder = Encoder(path, rate, seed, variants)
+        coder = Encoder(path, rate, seed)
         for t in C.large_batches(batches, limit=4 << 20):
-            texts = T.raw_texts(t["text"])
-            ids = coder.encode(texts, variant_of(C.ids_of(t["doc_id"]), seed, variants).tolist())
+            ids = coder.encode(T.raw_texts(t["text"]), C.ids_of(t["doc_id"]))
             back = [coder.pieces.decode(i.tolist()) for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [t["doc_id"].combine_chunks().cast(pa.int64()), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([b.decode() for b in back], pa.string())], names=["doc_id", "ids", "decoded"]
@@ -289,15 +331,15 @@ def encode(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, see
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
 
-def digest(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def digest(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256, lossless) without carrying ids and texts back to the JVM."""
     path = model or public_tokenizers.path(MODEL)
 
     def work(batches):
-        coder = Encoder(path, rate, seed, variants)
+        coder = Encoder(path, rate, seed)
         for t in C.large_batches(batches, limit=4 << 20):
             texts = T.raw_texts(t["text"])
-            ids = coder.encode(texts, variant_of(C.ids_of(t["doc_id"]), seed, variants).tolist())
+            ids = coder.encode(texts, C.ids_of(t["doc_id"]))
             back = [coder.pieces.decode(i.tolist()) for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [
