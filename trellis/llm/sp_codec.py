@@ -23,7 +23,6 @@ import hashlib
 import heapq
 import re
 import zlib
-from array import array
 
 import numpy as np
 import public_tokenizers
@@ -39,8 +38,8 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 2027
 LONG = 48
-CACHE = 250_000
-SLICE = 1 << 16
+CACHE = 500_000
+SLICE = 1 << 17
 _MARK = "▁"
 _CHUNK = re.compile(rb" *[^ ]+| +")
 _NONE = 1 << 30
@@ -187,17 +186,23 @@ def segment_long(pieces: Pieces, word: str, key: int, rate: float) -> list[int]:
     return [s for s in sym if s is not None]
 
 
-def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float, met: list | None = None) -> list[list[int]]:
-    """The symbols of each word after its agenda is empty; ``met`` gathers (word, code) arrays of its candidates."""
-    out: list = [None] * len(words)
-    short = [i for i, w in enumerate(words) if len(w) <= LONG]
-    for i in set(range(len(words))).difference(short):
-        out[i] = segment_long(pieces, words[i], int(keys[i]), rate)
-    if not short:
-        return out
-    points = np.frombuffer("".join(words[i] for i in short).encode("utf-32-le"), np.uint32).astype(np.int64)
-    length = np.array([len(words[i]) for i in short])
-    owner = np.repeat(np.array(short), length)
+def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all words after their agendas are empty, and the number of each word's.
+
+    ``met`` gathers (word, code) arrays of the candidates of words that are not long.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    # symbols of some words, in the order of their completion: words, sizes, values
+    done_words, done_sizes, done_values = [], [], []
+    for i in np.flatnonzero(size > LONG).tolist():
+        found = segment_long(pieces, words[i], int(keys[i]), rate)
+        done_words.append([i])
+        done_sizes.append([len(found)])
+        done_values.append(found)
+    short = np.flatnonzero(size <= LONG)
+    length = size[short]
+    points = np.frombuffer("".join(words if len(short) == len(words) else [words[i] for i in short.tolist()]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(short, length)
     sym = pieces.symbols(points)
     start = np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)
     end = start + 1
@@ -223,11 +228,11 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float, met
         best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), first)
         done = (best >> 32) == _NONE
         if done.any():
-            size = np.diff(np.append(first, len(sym)))
-            keep = np.repeat(~done, size)
-            values, cuts = sym[~keep].tolist(), [0, *np.cumsum(size[done]).tolist()]
-            for k, lo, hi in zip(owner[first[done]].tolist(), cuts, cuts[1:], strict=False):
-                out[k] = values[lo:hi]
+            each = np.diff(np.append(first, len(sym)))
+            keep = np.repeat(~done, each)
+            done_words.append(owner[first[done]])
+            done_sizes.append(each[done])
+            done_values.append(sym[~keep])
             shift = np.cumsum(keep) - 1
             at = shift[(best & 0xFFFFFFFF)[~done]]
             sym, owner, start, end, rank, piece = (x[keep] for x in (sym, owner, start, end, rank, piece))
@@ -245,74 +250,94 @@ def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float, met
         touched[at[at > 0] - 1] = True
         again = np.flatnonzero(touched)
         rank[again], piece[again] = candidates(again)
-    return out
+    if not done_words:
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    word, number, values = (np.concatenate(x).astype(np.int64) for x in (done_words, done_sizes, done_values))
+    begin = np.empty(len(words), np.int64)
+    begin[word] = np.cumsum(number) - number
+    size[word] = number
+    return values[T.spread(begin, size)], size
 
 
 class Encoder:
-    """Encodes whole texts; what words become without a dropped merge is kept in a cache of two generations."""
+    """Encodes whole texts; what words become without a dropped merge is cached, with the candidates met."""
 
     def __init__(self, path: str, rate: float = DROPOUT, seed: int = SEED):
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
-        self.young: dict[bytes, tuple[bytes, np.ndarray | None]] = {}
-        self.old: dict[bytes, tuple[bytes, np.ndarray | None]] = {}
-
-    def _raw(self, symbols: list[int]) -> bytes:
-        return array("I", symbols if max(symbols) < self.pieces.n else self.pieces.ids(symbols)).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        # of all cached words: ids and codes, one word's after another's, and where each word's begin
+        self.ids, self.codes = np.zeros(0, np.uint32), np.zeros(0, _U)
+        self.ids_at, self.codes_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.long = np.zeros(0, bool)
+
+    def _final(self, values: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids instead of symbols: characters that are no piece become their bytes."""
+        if not (values >= self.pieces.n).any():
+            return values.astype(np.uint32), size
+        owner = np.repeat(np.arange(len(size)), size)
+        odd = np.flatnonzero(values >= self.pieces.n)
+        more = [self.pieces.ids([v]) for v in values[odd].tolist()]
+        room = np.ones(len(values), np.int64)
+        room[odd] = [len(m) for m in more]
+        out = np.repeat(values, room)
+        out[T.spread((np.cumsum(room) - room)[odd], room[odd])] = np.concatenate(more)
+        return out.astype(np.uint32), np.bincount(owner, room, len(size)).astype(np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids without dropout and the codes of all candidates met; no codes for words that are merged on a heap."""
+        """Ids without dropout and the codes of all candidates met; words that are merged on a heap have none."""
         for k in range(0, len(words), SLICE):
             part = words[k : k + SLICE]
             met: list[tuple[np.ndarray, np.ndarray]] = []
             plain = [w.decode() for w in part]
             with np.errstate(over="ignore"):
-                found = segment(self.pieces, plain, np.zeros(len(part), _U), 0.0, met)
+                ids, size = self._final(*segment(self.pieces, plain, np.zeros(len(part), _U), 0.0, met))
             owner, code = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, _U))
-            order = np.argsort(owner, kind="stable")
-            cuts = np.searchsorted(owner[order], np.arange(len(part) + 1)).tolist()
-            code = code[order]
-            for w, s, a, b, text in zip(part, found, cuts, cuts[1:], plain, strict=False):
-                self.young[w] = self._raw(s), code[a:b].copy() if len(text) <= LONG else None
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
+            self.ids_at = np.append(self.ids_at, len(self.ids) + np.cumsum(size))
+            self.codes_at = np.append(self.codes_at, len(self.codes) + np.cumsum(np.bincount(owner, minlength=len(part))))
+            self.ids = np.concatenate((self.ids, ids))
+            self.codes = np.concatenate((self.codes, code[np.argsort(owner, kind="stable")]))
+            self.long = np.append(self.long, np.fromiter(map(len, plain), np.int64, len(plain)) > LONG)
 
     def encode(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         """The ids of each text; ``ids`` are the documents'."""
         chunks = [_CHUNK.findall(b" " + t) if t else [] for t in texts]
-        words = set().union(*chunks)
-        if len(self.young) + len(words) > CACHE:
-            self.young, self.old = {}, self.young
-        words.difference_update(self.young)
-        known = words & self.old.keys()
-        self.young.update((w, self.old[w]) for w in known)
-        self._learn(list(words - known))
         count = np.array([len(c) for c in chunks], np.int64)
-        keys = place_keys(ids, count, self.seed)
         flat = [w for c in chunks for w in c]
-        parts: list[bytes] = []
-        for k in range(0, len(flat), SLICE):
-            parts += self._occurrences(flat[k : k + SLICE], keys[k : k + SLICE])
-        cuts = [0, *np.cumsum(count).tolist()]
-        return [np.frombuffer(b"".join(parts[a:b]), "<u4") for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _occurrences(self, words: list[bytes], keys: np.ndarray) -> list[bytes]:
-        number: dict[bytes, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-        found = [self.young[w] for w in number]
-        out = [found[i][0] for i in at.tolist()]
+        words = set(flat)
+        if len(self.number) + len(words) > CACHE:
+            self._forget()
+        words.difference_update(self.number)
+        self._learn(list(words))
+        keys = place_keys(ids, count, self.seed)
+        parts = [self._occurrences(flat[k : k + SLICE], keys[k : k + SLICE]) for k in range(0, len(flat), SLICE)]
+        values = np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)])
+        size = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+        ends = np.append(0, np.cumsum(size))[np.cumsum(count)]
+        return [values[a:b] for a, b in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True)]
+
+    def _occurrences(self, words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences, one after another, and the number of each one's."""
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        size = (self.ids_at[1:] - self.ids_at[:-1])[at]
         if not self.rate:
-            return out
-        none = np.zeros(0, _U)
-        size = np.array([0 if f[1] is None else len(f[1]) for f in found], np.int64)
-        codes = np.concatenate([none if f[1] is None else f[1] for f in found])
-        many = size[at]
-        drop = skipped(np.repeat(keys, many), codes[T.spread((np.cumsum(size) - size)[at], many)], self.rate)
-        anew = np.array([f[1] is None for f in found])[at]
+            return self.ids[T.spread(self.ids_at[at], size)], size
+        many = (self.codes_at[1:] - self.codes_at[:-1])[at]
+        drop = skipped(np.repeat(keys, many), self.codes[T.spread(self.codes_at[at], many)], self.rate)
+        anew = self.long[at]
         anew[np.repeat(np.arange(len(words)), many)[drop]] = True
-        todo = np.flatnonzero(anew)
+        todo, rest = np.flatnonzero(anew), np.flatnonzero(~anew)
         with np.errstate(over="ignore"):
-            merged = segment(self.pieces, [words[i].decode() for i in todo.tolist()], keys[todo], self.rate)
-        for i, s in zip(todo.tolist(), merged, strict=True):
-            out[i] = self._raw(s)
-        return out
+            values, number = self._final(*segment(self.pieces, [words[i].decode() for i in todo.tolist()], keys[todo], self.rate))
+        size[todo] = number
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[T.spread(begin[todo], number)] = values
+        out[T.spread(begin[rest], size[rest])] = self.ids[T.spread(self.ids_at[at[rest]], size[rest])]
+        return out, size
 
 
 def encode(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
