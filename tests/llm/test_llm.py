@@ -52,7 +52,8 @@ def no_docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """The same rows with columns whose names the operators use inside."""
-    return docs.selectExpr("*", "1L as b", "'x' as blob", "2 as kind", "3L as row", "4L as fp", "5L as u", "6L as k", "'y' as _kept_text", "'z' as found")
+    names = "b blob kind row fp u v k key _kept_text _n_words _n_removed _kept_bytes found _id _sha _sha0 _tag _t own row_key place copy uid sketch bands root first score label id n_ids text_sha256 keep_id tail".split()
+    return docs.selectExpr("*", *[f"{i} as {x}" for i, x in enumerate(names)], "map('a', 1) as a_map", "'q' as `dotted.name`")
 
 
 def unique_rows():
@@ -94,6 +95,29 @@ def test_tree_merge_over_many_runs(spark):
     assert got == {(i, i % 37, len(range(i % 37, 500, 37))) for i, _ in rows}
 
 
+@pytest.mark.parametrize("partitions", [2, 8, 70])
+def test_tree_merge_has_inner_levels(spark, partitions):
+    rows = spark.range(300).selectExpr("id as doc_id", "cast(id % 7 as string) as text").repartition(partitions)
+    digests = exact_dedup._digests(rows)
+    assert digests.rdd.getNumPartitions() == partitions
+    plan = exact_dedup.tree_merge(digests)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == {2: 2, 8: 2, 70: 4}[partitions]
+    assert exact_dedup.tree_merge(digests).count() == 7
+
+
+def test_equal_rows_leave_one_with_defined_columns(spark):
+    """Of rows equal in id and text the same one stays, however they are dealt."""
+    rows = [(k % 3, "same text here", f"s{k}") for k in range(30)] + [(None, "x", "a"), (None, "x", "b"), (None, None, "c"), (None, "", "d")]
+    seen = set()
+    for partitions in (1, 4, 9):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(partitions)
+        exact = sorted(map(tuple, exact_dedup.deduplicate(df).collect()), key=str)
+        near = sorted(map(tuple, simhash_bk.drop_near_duplicates(df).collect()), key=str)
+        assert len(exact) == len(near) == 3
+        seen.add((str(exact), str(near)))
+    assert len(seen) == 1
+
+
 def test_merge_keeps_unverified_digests_apart():
     e = np.zeros(3, exact_dedup._ENTRY)
     e["check"], e["id"], e["n"] = [1, 2, 1], [5, 6, 4], 1
@@ -508,10 +532,25 @@ def test_bk_forest_finds_all_pairs(radius):
     assert got == want
 
 
+def test_trees_rule_most_of_a_shard_out(monkeypatch):
+    """At the size that shards have, a search looks at a part of the values only, and misses none."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 2 * simhash_bk.SHARD).astype(np.uint64)
+    values = np.unique(np.concatenate((base, base[:100] ^ np.uint64(5))))
+    forest = simhash_bk.BKForest(values, np.zeros(len(values), np.int64))
+    looked = []
+    count = np.bitwise_count
+    monkeypatch.setattr(simhash_bk.np, "bitwise_count", lambda x: looked.append(len(x)) or count(x))
+    found = sum(len(a) for a, _ in forest.neighbours(np.arange(len(values)), 3))
+    assert found >= 100
+    assert sum(looked) < 0.7 * len(values) ** 2
+
+
 @pytest.mark.parametrize("n", [10, 10**7, 10**10])
 def test_slices_meet_all_within_the_radius(n):
-    parts = simhash_bk.parts_for(n, 3)
-    masks = simhash_bk.slice_masks(parts, 3)
+    parts, width = simhash_bk.slices_for(n, 3)
+    masks = simhash_bk.slice_masks(parts, 3, width)
+    assert parts * width <= 64 and n / 2 ** (width * (parts - 3)) <= max(2 * simhash_bk.SHARD, n / 2**36)
     rng = random.Random(n)
     for _ in range(200):
         d = sum(1 << b for b in rng.sample(range(64), 3))
@@ -547,12 +586,17 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def edited_pairs(rng, size, n, low, high):
+def skewed(rng, n):
+    """Words of a vocabulary in which a few make up most of a text."""
+    return " ".join(f"w{int(20000 ** rng.random())}" for _ in range(n))
+
+
+def edited_pairs(rng, size, n, low, high, make=lambda rng, n: words(rng, n, 20000)):
     """Pairs of word lists with a similarity from low to high: appended, cut off and scattered edits."""
     out = []
     while len(out) < n:
-        a = words(rng, size, 20000).split()
-        b = [a + words(rng, size // 5 + rng.randrange(size // 10), 20000).split(), a[: size * 3 // 4 + rng.randrange(size // 8)], list(a)][len(out) % 3]
+        a = make(rng, size).split()
+        b = [a + make(rng, size // 5 + rng.randrange(size // 10)).split(), a[: size * 3 // 4 + rng.randrange(size // 8)], list(a)][len(out) % 3]
         if len(out) % 3 == 2:
             for k in rng.sample(range(size), max(1, size // 50 + rng.randrange(-1, 2))):
                 b[k] = "edited" + b[k]
@@ -561,9 +605,10 @@ def edited_pairs(rng, size, n, low, high):
     return out
 
 
-def test_near_duplicates_are_found_whatever_the_edit(spark):
+@pytest.mark.parametrize("make", [lambda rng, n: words(rng, n, 20000), skewed], ids=["flat", "skewed"])
+def test_near_duplicates_are_found_whatever_the_edit(spark, make):
     rng = random.Random(4)
-    pairs = [p for size in (60, 150, 200) for p in edited_pairs(rng, size, 30, 0.8, 0.85)]
+    pairs = [p for size in (50, 60, 200, 1000) for p in edited_pairs(rng, size, 30, 0.8, 0.85, make)]
     rows = [(2 * i + side, " ".join(w)) for i, p in enumerate(pairs) for side, w in enumerate(p)]
     kept = {r["doc_id"] for r in simhash_bk.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert kept == {2 * i for i in range(len(pairs))}

@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import textnp as T
-from trellis.session import materialize
+from trellis.session import materialize, release
 
 NULL_ID = -(1 << 63)
 FLUSH_BYTES = 12 << 20
@@ -159,6 +160,41 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[rows[0]]), rows
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """Docs with numbers as column names but for doc_id and text, since Python workers refuse some names; ``toDF`` restores them."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
+def row_key() -> Column:
+    """What tells rows apart: doc_id and a 64-bit hash of the text; rows equal in both are the same."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def row_keys(ids: pa.Array, texts: list[bytes]) -> list[str]:
+    """``row_key`` of rows that a worker holds."""
+    h = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+    return [f"{'none' if i is None else i}:{x}" for i, x in zip(ids.to_pylist(), h.tolist(), strict=True)]
+
+
+def first_of_equal_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Docs with a column of their row keys (whose name is returned), and of rows equal in doc_id and text one.
+
+    It is the smallest by its other columns.  Partitions drop what repeats before rows are exchanged, and
+    the result lies by row key, so a join by it needs no further exchange.
+    """
+    key, place = fresh(docs.columns, "row_key", "place")
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    marked = docs.withColumn(key, row_key())
+    first = marked.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(order), order)))
+    return first.where(F.col(place) == 1).drop(place), key
+
+
 def packed(docs: DataFrame, n: int) -> DataFrame:
     """(b, copy, blob): whole rows dealt by a hash of doc_id and text into n buckets, as compressed Arrow blobs.
 
@@ -261,7 +297,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        current = materialize(small.where("u <> v").distinct(), "links")
+        previous, current = current, materialize(small.where("u <> v").distinct(), "links")
+        release(previous)
         now = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == before:
             break

@@ -1,16 +1,18 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
 Every partition turns its rows into one run of distinct digests, sorted, each with the smallest
-identifier seen and a count.  Runs are then exchanged in binomial (butterfly) rounds: in round r the
-digest space is cut into FANOUT times as many ranges, and FANOUT runs of a range meet and are merged
-multiway into one.  So every row of every round holds about one partition's worth of digests, a digest
-with any number of copies is one entry of each run, and after log(partitions) rounds each range has a
-single run.  Entries merge only if the whole SHA-256 and an independent check (length and 64-bit hash
-of the normalised text) agree.
-
-Defined results: null text counts as empty; empty texts form a group like any other; a null doc_id
-sorts after every number, so it stays only where all copies lack an id; of rows that also share the
-doc_id exactly one stays; an empty table gives an empty result; other columns are left alone.
+identifier seen and a count.  Runs are then exchanged in binomial rounds: in each round the digest space
+is cut into FANOUT times as many ranges, and the parts that FANOUT runs have of a range meet and are
+merged multiway into one.  So every row of every round holds about one partition's worth of digests, a
+digest with any number of copies is one entry of each run, and after log(partitions) rounds, two at
+least, each range has a single run.  Entries merge only if the whole SHA-256 and an independent check
+(length and 64-bit hash of the normalised text) agree, at every level.
+
+Defined results: null text counts as empty; empty texts form a group like any other; very long texts are
+hashed whole; a null doc_id sorts after every number, so it stays only where all copies lack an id; of rows
+that also share the doc_id, a tie, exactly one stays: ``decide`` marks one of them, and ``deduplicate``
+keeps the smallest by its other columns where the texts are equal, too; an empty table gives an empty
+result; other columns pass through ``deduplicate`` and are ignored by ``decide``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from trellis.llm import common as C
 from trellis.session import materialize
 
-FANOUT = 8
+FANOUT = 4
 _LAST = (1 << 63) - 1
 _ENTRY = np.dtype([("d", "<u8", 4), ("check", "<i8"), ("id", "<i8"), ("row", "<i8"), ("n", "<i8")])
 
@@ -36,12 +38,13 @@ def normalised(text: Column) -> Column:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    t = docs.select("doc_id", normalised(F.col("text")).alias("_t"))
+    t = docs.select("doc_id", normalised(F.col("text")).alias("_t"), C.row_key().alias("own"))
     return t.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.sha2("_t", 256).alias("text_sha256"),
         F.xxhash64(F.length("_t"), F.col("_t")).alias("check"),
+        F.col("own"),
     )
 
 
@@ -72,7 +75,7 @@ _KEYED = "prefix long, grp long, blob binary"
 def tree_merge(digests: DataFrame) -> DataFrame:
     """(text_sha256, check, keep_id, keep_row, group_size), one row a digest."""
     n = max(1, digests.rdd.getNumPartitions())
-    rounds = min(7, max(1, math.ceil(math.log(n, FANOUT) - 1e-9)))  # 8**8 ranges are the most that 24 bits of prefix serve
+    rounds = min(11, max(2, math.ceil(math.log(n, FANOUT) - 1e-9)))  # 4**12 ranges are the most that 24 bits of prefix serve
 
     def make(batches):
         held = []
@@ -116,21 +119,24 @@ def tree_merge(digests: DataFrame) -> DataFrame:
     return runs.groupBy("prefix").applyInArrow(finish, "text_sha256 string, check long, keep_id long, keep_row long, group_size long")
 
 
-def decide(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _decided(docs: DataFrame) -> DataFrame:
     rows = materialize(_digests(docs), "digests")
     key = F.concat_ws(":", "text_sha256", "check")
     merged = materialize(tree_merge(rows).select(key.alias("k"), "keep_id", "keep_row", "group_size"), "digest-tree")
-    found = C.lookup_skewed(rows.select("row", "doc_id", "text_sha256", key.alias("k")), merged, "k", "group_size")
-    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    found = C.lookup_skewed(rows.select("row", "doc_id", "text_sha256", "own", key.alias("k")), merged, "k", "group_size")
+    return found.withColumn("kept", F.col("row") == F.col("keep_row"))
+
+
+def decide(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = decide(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha0", F.sha2(normalised(F.col("text")), 256))
-    left = marked.join(stays, F.expr("doc_id <=> _id AND _sha0 = _sha"), "left_semi")
-    return left.dropDuplicates(["doc_id", "_sha0"]).drop("_sha0")
+    once, key = C.first_of_equal_rows(docs)
+    stays = _decided(docs).where("kept").select(F.col("own").alias(key))
+    return once.join(stays, key, "left_semi").select(*C.columns(docs))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,22 +1,23 @@
 """SimHash near-deduplication over sharded BK-trees.
 
 Fingerprints are gathered to their distinct values first, so copies cost nothing further.  Two values
-within the radius differ in at most ``radius`` of the ``parts`` slices of their bits, so they agree on
-some ``parts - radius`` slices: every choice of slices gives a table, and equal slices a shard.  Each
+within the radius differ in at most ``radius`` of any ``parts`` disjoint slices of their bits, so they agree
+on some ``parts - radius`` slices: every choice of slices gives a table, and equal slices a shard.  Slices
+are as narrow as lets a shard hold about SHARD values, enough for its tree to rule most of them out.  Each
 shard is a BK-tree - children keyed by their Hamming distance to the parent - and a search follows only
 the edges within the radius of the query's own distance.  A shard's tree lies with its queries: a
-broadcast of all trees would grow with the corpus.  ``parts`` rises with the number of fingerprints,
-which keeps shards small.  A shard reports a star per connected set, not its pairs.
+broadcast of all trees would grow with the corpus, and would collect all fingerprints on the driver.
+A shard reports a star per connected set, not its pairs.
 
-Defined results: null and blank texts have fingerprint zero and link like any other; a null doc_id
-never names a component unless all its members lack one; equal rows share a component; an empty table
-gives an empty result.
+Defined results: null and blank texts have fingerprint zero and link like any other; very long texts count
+whole; a null doc_id never names a component unless all its members lack one; ties do not matter, as a
+component is named by its smallest doc_id; rows that repeat share a component; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +33,7 @@ from trellis.session import materialize
 RADIUS = 3
 SEED = 42
 FRONTIER = 1 << 17
+SHARD = 256
 
 
 def simhash(text: bytes, shingle: int) -> int:
@@ -131,16 +133,18 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def parts_for(n: int, radius: int) -> int:
-    """Slices of the 64 bits, so that a table has about as many shards as there are values."""
+def slices_for(n: int, radius: int) -> tuple[int, int]:
+    """Number and width of the slices by which n values fall into shards of SHARD or so (more only if bits run out)."""
+    bits = max(1, int(np.ceil(np.log2(max(n, 2) / SHARD))))
     parts = radius + 1
-    while parts < radius + 4 and 64 * (parts - radius) // parts < np.log2(max(n, 2)) - 2:
+    while parts < radius + 4 and (64 // parts) * (parts - radius) < bits:
         parts += 1
-    return parts
+    return parts, min(64 // parts, -(-bits // (parts - radius)))
 
 
-def slice_masks(parts: int, radius: int) -> list[int]:
-    cuts = [64 * k // parts for k in range(parts + 1)]
+def slice_masks(parts: int, radius: int, width: int = 0) -> list[int]:
+    """The bits of each choice of ``parts - radius`` of the slices, of ``width`` bits or else all that there are."""
+    cuts = [width * k for k in range(parts + 1)] if width else [64 * k // parts for k in range(parts + 1)]
     single = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
     return [sum(single[k] for k in keep) for keep in combinations(range(parts), parts - radius)]
 
@@ -148,7 +152,8 @@ def slice_masks(parts: int, radius: int) -> list[int]:
 def links(distinct: DataFrame, radius: int, n_values: int) -> DataFrame:
     """(u, v): links between distinct fingerprints that connect all within the radius of each other."""
     n = C.bucket_count(distinct, 1 << 20)
-    masks = slice_masks(parts_for(n_values, radius), radius)
+    parts, width = slices_for(n_values, radius)
+    masks = slice_masks(parts, radius, width)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(signed)])
     rows = distinct.select("fp", F.explode(keys).alias("e")).select("fp", F.xxhash64("e.t", "e.k").alias("k"))
@@ -223,7 +228,7 @@ def shingle_hashes(texts: list[bytes], shingle: int):
     for lo, hi in T.blocks(texts):
         block = T.Block([t.lower() for t in texts[lo:hi]])
         start, end, first = block.words()
-        roll = T.Rolling(T.Rolling(T.byte_values(4)[block.data])(start, end))
+        roll = T.Rolling(T.word_hashes(block.data, start, end, 4))
         n = np.diff(first)
         count, whole = np.maximum(n - shingle + 1, 1), n < shingle
         cut = np.append(0, np.cumsum(count))
@@ -370,8 +375,12 @@ def verified_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near duplicates: of each connected group the smallest doc_id stays.
 
-    Rows equal in doc_id and text count as one document, so exact duplicates should go first.
+    Null counts as empty; texts without words are alike; shorter ones than a shingle are one shingle; a null
+    doc_id comes last, and of one doc_id any one stays; of rows equal in doc_id and text the smallest by its
+    other columns stays, so exact duplicates need not go first; an empty table gives an empty result; other
+    columns pass through, whatever their names.
     """
+    schema = "doc_id long, own string, fps array<long>, bands array<long>, sketch binary"
 
     def work(batches):
         for t in C.large_batches(batches, limit=4 << 20):
@@ -381,13 +390,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
             for found in shingle_hashes(texts, shingle):
                 bands += band_keys(*found).tolist()
                 sketches += [x.tobytes() for x in sketches_of(*found)]
-            yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks().cast(pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "tag", "fps", "bands", "sketch"],
-            )
+            ids = t["doc_id"].combine_chunks().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(C.row_keys(ids, texts)), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "own", "fps", "bands", "sketch"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = materialize(plain.mapInArrow(work, "doc_id long, tag long, fps array<long>, bands array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "near-documents")
+    each = materialize(plain.mapInArrow(work, schema).withColumn("uid", F.monotonically_increasing_id()), "near-documents")
     n = C.bucket_count(docs, 2 << 20)
     masks = [m - (1 << 64) if m >> 63 else m for m in slice_masks(radius + 1, radius)]
     sliced = [F.struct(F.lit(f"{k}:{i}").alias("t"), F.col("fps")[k].alias("fp"), F.col("fps")[k].bitwiseAND(F.lit(m).cast("long")).alias("k")) for k in range(SEEDS) for i, m in enumerate(masks)]
@@ -397,11 +404,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
     live = materialize(candidates(rows, radius), "near-candidates")
     linked = verified_links(live.join(each.select("uid", "sketch"), "uid"), radius, least)
     found = C.components(linked)
-    member = each.select("uid", "doc_id", "tag").join(found.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    member = each.select("uid", "doc_id", "own").join(found.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     member = materialize(member, "near-members")
-    stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = member.join(stays, "root").where("uid <> first.uid").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(gone, F.expr("doc_id <=> _id") & (F.crc32(F.coalesce("text", F.lit(""))) == F.col("_tag")), "left_anti")
+    stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    once, key = C.first_of_equal_rows(docs)
+    # rows equal to the one that stays are that one
+    gone = member.join(stays, "root").where("own <> first.own").select(F.col("own").alias(key)).distinct()
+    return once.join(gone, key, "left_anti").select(*C.columns(docs))
 
 
 def op5_simhash_bk_tree(spark, sf_dir: str) -> DataFrame:

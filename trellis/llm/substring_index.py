@@ -275,8 +275,9 @@ def cut_rows(docs: DataFrame, removals: DataFrame, n: int, results: list[tuple[s
 
     Starts and counts are the row's removed windows (none: None); copy says that an equal row comes first.
     """
-    names = C.fresh(docs.columns, *[r[0] for r in results])
-    schema = S.StructType([*docs.schema.fields, *(S.StructField(x, r[1]) for x, r in zip(names, results, strict=True))])
+    names = [*docs.columns, *C.fresh(docs.columns, *[r[0] for r in results])]
+    docs = C.plain(docs)
+    schema = S.StructType([*docs.schema.fields, *(S.StructField(x, kind) for x, kind in results)])
     arrow_schema = to_arrow_schema(schema)
 
     def work(key, left, right):
@@ -297,7 +298,7 @@ def cut_rows(docs: DataFrame, removals: DataFrame, n: int, results: list[tuple[s
         columns = [*t.columns, *(pa.array(list(v), f.type) for v, f in zip(zip(*rows, strict=True), list(arrow_schema)[t.num_columns :], strict=True))]
         return pa.table([c.cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
 
-    return C.packed(docs, n).groupBy("b").cogroup(removals.groupBy("b")).applyInArrow(work, schema)
+    return C.packed(docs, n).groupBy("b").cogroup(removals.groupBy("b")).applyInArrow(work, schema).toDF(*names)
 
 
 def cut_documents(docs: DataFrame, removals: DataFrame, n: int) -> DataFrame:
@@ -360,16 +361,16 @@ class FingerprintIndex:
         return np.sort(np.array([r["k"] for r in rows], np.int64).view(_U))
 
     def _write(self, rows: DataFrame, first: int, last: int) -> tuple[int, int, str]:
-        """Write a run bucketed by b, so that reading it needs no exchange."""
+        """Write a run bucketed by b, so that reading it needs no exchange; sorted by kind, so that pages are skipped."""
         name = f"run-{first:06d}-{last:06d}-{uuid.uuid4().hex}"
         table = f"trellis_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.partitions, "b").option("path", f"{self.path}/{name}").saveAsTable(table)
+        rows.write.bucketBy(self.partitions, "b").sortBy("kind").option("path", f"{self.path}/{name}").saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")  # external: the files stay
         return first, last, name
 
     def _read(self, run: tuple[int, int, str]) -> DataFrame:
         table = f"trellis_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {table} ({_ROW}) USING parquet CLUSTERED BY (b) INTO {self.partitions} BUCKETS LOCATION '{self.path}/{run[2]}'")
+        self.spark.sql(f"CREATE TABLE {table} ({_ROW}) USING parquet CLUSTERED BY (b) SORTED BY (kind) INTO {self.partitions} BUCKETS LOCATION '{self.path}/{run[2]}'")
         rows = self.spark.table(table)
         self.spark.sql(f"DROP TABLE {table}")
         return rows

@@ -446,7 +446,7 @@ def score(docs: DataFrame, model: Model | NoModel) -> DataFrame:
 
 def clean_documents(docs: DataFrame, model: Model | NoModel, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score under the threshold."""
-    names = docs.columns
+    names, docs = docs.columns, C.plain(docs)
 
     def work(batches):
         for whole in batches:
@@ -454,7 +454,7 @@ def clean_documents(docs: DataFrame, model: Model | NoModel, threshold: float =
                 keep = model.scores(T.raw_texts(t["text"])) < threshold
                 yield from t.filter(pa.array(keep)).to_batches()
 
-    return docs.mapInArrow(work, docs.schema).select(*names)
+    return docs.mapInArrow(work, docs.schema).toDF(*names)
 
 
 def op8_string_kernel_toxicity(spark, sf_dir: str) -> DataFrame:
