@@ -5,8 +5,9 @@ arrays serve where a repeat is possible at all, which three steps find:
 
 1. every WIDTH-byte window has an anchor, its 64-byte gram of smallest hash; consecutive windows with
    one anchor form a context.  Equal windows have equal anchors, so anchors decide the bucket, and a
-   context whose anchor occurs once in the corpus cannot repeat.
-2. for the anchors that recur, the bytes of each distinct context are fetched from one of its documents
+   context whose anchor occurs once in the corpus cannot repeat, and one all of whose anchor's contexts
+   recur whole (by 128-bit fingerprints) repeats throughout.
+2. for the other anchors that recur, the bytes of each distinct context are fetched from one of its documents
    (contexts with equal 128-bit fingerprints are one, with their multiplicity);
 3. a bucket's contexts are dealt into shards of at most SHARD bytes.  Each gets a suffix array by
    Larsson-Sadakane refinement (only groups that are not yet unique are sorted again, by doubled
@@ -282,8 +283,14 @@ def recurring_rows(rows: DataFrame, n: int) -> DataFrame:
             order = np.lexsort((digest, anchor))
             anchor, digest, ids, rows, a, count, copies = (x[order] for x in (anchor, digest, ids, rows, a, count, copies))
             head = np.flatnonzero(~same_as_previous(anchor))
-            often = np.add.reduceat(copies.astype(np.int64), head) > 1
-            keep = np.repeat(often, np.diff(np.append(head, len(anchor))))
+            each = np.diff(np.append(head, len(anchor)))
+            first = np.flatnonzero(~same_as_previous(anchor, digest))
+            number = np.add.reduceat(copies.astype(np.int64), first)
+            # an anchor whose contexts all recur whole needs no look at the bytes: every window of them repeats
+            lowest = np.repeat(np.minimum.reduceat(number, np.searchsorted(first, head)), each)
+            k = np.flatnonzero(lowest > 1)
+            out += removal_rows(ids[k], rows[k], a[k], count[k], n)
+            keep = (lowest == 1) & np.repeat(np.add.reduceat(copies.astype(np.int64), head) > 1, each)
             anchor, digest, ids, rows, a, count, copies = (x[keep] for x in (anchor, digest, ids, rows, a, count, copies))
             if len(anchor):
                 new = ~same_as_previous(anchor, digest)
