@@ -13,8 +13,8 @@ one weight per place, and a text is scored in one vectorised pass over its lette
 
 The machine is trained on labelled sentences, each of which takes part with its window of highest margin:
 every sentence of a clean document is a negative; those of a toxic document are positives as far as their
-margin goes (0 to 1), as most of them are ordinary.  Windows that toxic sentences hold more often than
-chance allows (by a likelihood ratio) count as positives throughout and start the first round.  Sentences
+margin goes (0 to 1), as most of them are ordinary, by windows that toxic sentences hold LIFT times as
+often as clean ones.  Where that is more often than chance allows (by a likelihood ratio), they count as positives throughout and start the first round.  Sentences
 that read alike count once, so copied documents do not pass for evidence, and windows weigh as many
 sentences as they stand for, so an insult that some clean documents quote stays one as long as a larger
 share of toxic sentences holds it.  The score is a logistic function of the document's largest margin and
@@ -25,8 +25,8 @@ Training reads at most SAMPLE labelled rows of at most SAMPLE_CHARS characters a
 those of smallest hashed id; scoring reads every text whole, and uses nothing but the text.
 
 Defined results: null counts as empty; texts without words get the model's score for no evidence; very
-long texts are scored in blocks, a block at a time; equal texts get equal scores, so rows that repeat do
-(in training each counts); ties between windows go to the first; an empty table gives an empty result;
+long texts are scored in blocks, a block at a time; equal texts get equal scores, so rows that repeat do,
+and their sentences count once in training; ties between windows go to the first; an empty table gives an empty result;
 other columns pass through ``clean_documents`` and are ignored by ``score``, whatever their names.  With
 no usable labels (none, or of one class only) nothing can be learnt: a warning says so and scores are 0.
 """
@@ -48,12 +48,14 @@ from trellis.llm import textnp as T
 
 SAMPLE = 4000
 SAMPLE_CHARS = 10_000
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 18
 LANDMARKS = 192
 HARD, PLAIN = 1500, 3000
 DECAY = 0.5
 REACH = 3
-ROUNDS = 3
+ROUNDS = 4
+LIFT = 3.0
 BITS = 17
 _GAPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
 _BLANK = 1  # class of blanks; 0 are signs
@@ -219,7 +221,7 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for lo, hi in T.blocks(texts):
+        for lo, hi in T.blocks(texts, BLOCK_BYTES):
             words = Words.of(texts[lo:hi])
             out[lo:hi] = self.logistic(document_evidence(words, *words.margins(self.weights, self.bias)))
         return out
@@ -284,36 +286,42 @@ def fit_svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0)
     return w
 
 
-def associations(key: np.ndarray, sentence: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Of each occurrence of a key the signed root of its log-likelihood ratio with the labels, and what chance reaches.
+def associations(key: np.ndarray, sentence: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of each occurrence of a key the root of its log-likelihood ratio with the labels, and the number of keys.
 
-    Positive if a larger share of toxic sentences than of clean ones holds the key.
+    Negative unless the share of toxic sentences that hold the key is LIFT times that of clean ones, so words
+    that are common where toxic documents happen to be, as a language's are, do not count.  Sentences ascend.
     """
-    order = np.lexsort((sentence, key))
+    order = np.argsort(key, kind="stable")
     k, d = key[order], sentence[order]
-    once = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-    held, number = np.unique(k[once], return_inverse=True)
+    head = np.append(True, k[1:] != k[:-1])
+    number = np.cumsum(head, dtype=np.int32) - 1
+    once = head | np.append(True, d[1:] != d[:-1])
+    n = int(number[-1]) + 1 if len(number) else 0
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    bad = np.bincount(number, toxic[d[once]], len(held))
-    good = np.bincount(number, ~toxic[d[once]], len(held))
+    label = toxic[d[once]]
+    bad, good = np.bincount(number[once], label, n), np.bincount(number[once], ~label, n)
+    del k, d, head, once, label
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
 
     share = (bad + good) / (n1 + n0)
     ratio = part(bad, share * n1) + part(good, share * n0) + part(n1 - bad, (1 - share) * n1) + part(n0 - good, (1 - share) * n0)
-    root = np.sqrt(2 * np.maximum(ratio, 0)) * np.sign(bad * n0 - good * n1)
-    return root[np.searchsorted(held, key)], float(np.sqrt(2 * np.log(max(len(held), 2))))
+    root = (np.sqrt(2 * np.maximum(ratio, 0)) * np.where(bad * n0 >= LIFT * good * n1, 1, -1)).astype(np.float32)
+    out = np.empty(len(key), np.float32)
+    out[order] = root[number]
+    return out, n
 
 
 class Training:
     """Labelled texts as blocks of words, with the windows of any choice."""
 
     def __init__(self, texts: list[bytes], toxic: np.ndarray):
-        self.blocks = [(lo, Words.of(texts[lo:hi])) for lo, hi in T.blocks(texts)]
+        self.blocks = [(lo, Words.of(texts[lo:hi])) for lo, hi in T.blocks(texts, BLOCK_BYTES)]
         self.toxic = toxic
         self.words = np.cumsum([0, *(len(w.start) for _, w in self.blocks)])
-        self.doc = np.concatenate([np.repeat(np.arange(len(w.first) - 1), np.diff(w.first)) + lo for lo, w in self.blocks])
+        self.doc = np.concatenate([np.repeat(np.arange(len(w.first) - 1, dtype=np.int32), np.diff(w.first)) + np.int32(lo) for lo, w in self.blocks])
         self.key = np.concatenate([np.concatenate([k.reshape(1, -1) for k in w.keys()]) for _, w in self.blocks if len(w.start)], axis=1) if self.words[-1] else np.zeros((2, 0), np.uint64)
         paired = np.concatenate([w.paired for _, w in self.blocks])
         self.valid = np.stack((np.ones(len(paired), bool), paired))
@@ -322,17 +330,19 @@ class Training:
         said = [T.Rolling(T.mix(w.letters.astype(np.uint64) + np.uint64(2)))(w.start[s], w.end[np.append(s[1:], len(w.start)) - 1]) for _, w in self.blocks for s in [w.sentences()] if len(s)]
         label = toxic[self.doc[self.sentence]]
         _, self.unlike, same = np.unique(T.mix(np.concatenate(said)) ^ label.astype(np.uint64) if said else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
-        self.unit = np.repeat(same, np.diff(np.append(self.sentence, self.words[-1])))
+        self.unit = np.repeat(same.astype(np.int32), np.diff(np.append(self.sentence, self.words[-1])))
         self.unit_toxic = label[self.unlike]
 
     def association(self) -> tuple[np.ndarray, float]:
-        n = self.words[-1]
-        out = np.full((2, n), -np.inf)
-        out[self.valid], chance = associations(self.key[self.valid], np.broadcast_to(self.unit, (2, n))[self.valid], self.unit_toxic)
-        return out, chance
+        """Of all windows the association with the labels, and how much chance reaches among so many."""
+        out, keys = np.full(self.valid.shape, -np.inf, np.float32), 0
+        for k, valid in enumerate(self.valid):
+            out[k, valid], n = associations(self.key[k, valid], self.unit[valid], self.unit_toxic)
+            keys += n
+        return out, float(np.sqrt(2 * np.log(max(keys, 2))))
 
     def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        return np.concatenate([np.stack(w.margins(weights, bias)) for _, w in self.blocks], axis=1)
+        return np.concatenate([np.stack(w.margins(weights, bias)).astype(np.float32) for _, w in self.blocks], axis=1)
 
     def best(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The window of highest value in each range of words (the first of equals): word * 2 + whether it has two words."""
@@ -374,27 +384,31 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
     surely = associated >= min(chance, float(associated[:, data.unit_toxic[data.unit]].max()))
     bad, good = data.unlike[data.unit_toxic], data.unlike[~data.unit_toxic]
     value = associated
+    kept, n_kept = np.zeros(0, np.int64), np.zeros(0)
     for r in range(ROUNDS):
         # every distinct sentence by its best window
         top = data.best(value, data.sentence)[good]
-        witness = data.best(np.where(surely, np.maximum(value, 1.0), value), data.sentence)[bad]
-        strength = np.where(surely[witness % 2, witness // 2], 1.0, np.clip(value[witness % 2, witness // 2], 0, 1) if r else 0.0)
+        able = np.where(associated > 0, value if r else 0.0, np.float32(-9))
+        witness = data.best(np.where(surely, np.maximum(able, 1.0), able), data.sentence)[bad]
+        strength = np.where(surely[witness % 2, witness // 2], 1.0, np.clip(able[witness % 2, witness // 2], 0, 1))
         witness, sure = witness[strength > 0], strength[strength > 0]
         positive, n_positive = distinct(data.key, witness, sure)
         negative, n_negative = distinct(data.key, top, np.ones(len(top)))
         score = value[negative % 2, negative // 2]
         order = np.argsort(-score, kind="stable")
-        hard = order[:HARD]
+        # those that earlier rounds found hard stay
+        hard, n_hard = distinct(data.key, np.concatenate((kept, negative[order[:HARD]])), np.concatenate((n_kept, n_negative[order[:HARD]])))
+        kept, n_kept = hard, n_hard
         rest = np.sort(order[HARD:])
-        plain = rest[:: max(1, len(rest) // PLAIN)]
-        # the sampled rest weighs as much as all of it
-        scale = n_negative[rest].sum() / max(1, n_negative[plain].sum())
-        rows = np.concatenate((positive, negative[hard], negative[plain]))
-        mass = np.concatenate((n_positive / n_positive.sum(), n_negative[hard] / n_negative.sum(), n_negative[plain] * scale / n_negative.sum()))
+        plain = negative[rest[:: max(1, len(rest) // PLAIN)]]
+        rows = np.concatenate((positive, hard, plain))
+        # a negative weighs half as one distinct window of all, half as the sentences that it stands for
+        n_rest = np.concatenate((n_hard, np.full(len(plain), n_negative[rest].sum() / max(1, len(plain)))))
+        mass = np.concatenate((n_positive / n_positive.sum(), (1 / len(n_rest) + n_rest / n_rest.sum()) / 2))
         y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
         often = positive[np.argsort(-n_positive, kind="stable")]
         few = max(1, landmarks // 4)
-        chosen = np.concatenate((often[: landmarks // 2], negative[hard[:few]], negative[plain[:: max(1, len(plain) // few)]][:few]))
+        chosen = np.concatenate((often[: landmarks // 2], hard[np.argsort(-value[hard % 2, hard // 2], kind="stable")[:few]], plain[:: max(1, len(plain) // few)][:few]))
         marks = Windows(data.letters(np.unique(chosen)))
         columns = np.unique(marks.place)
         if not len(columns):
@@ -402,8 +416,8 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
             return NoModel()
         phi = marks.features(columns)
         values, vectors = np.linalg.eigh(phi @ phi.T)
-        kept = values > 1e-6 * values.max()
-        root = vectors[:, kept] / np.sqrt(values[kept])
+        good_values = values > 1e-6 * values.max()
+        root = vectors[:, good_values] / np.sqrt(values[good_values])
         letters = data.letters(rows)
         z = np.concatenate([Windows(letters[k : k + 256]).features(columns) @ phi.T for k in range(0, len(rows), 256)]) @ root
         w = fit_svm(z, y, mass * len(rows))
