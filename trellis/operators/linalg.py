@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.session import materialize
+
+SHARES = 4
+
 
 def nonzero(m: DataFrame) -> DataFrame:
     return m.where("v <> 0")
@@ -15,18 +19,40 @@ def from_triples(rows: DataFrame) -> DataFrame:
     return nonzero(rows.groupBy("i", "j").agg(F.sum("v").alias("v")))
 
 
+def dealt_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The join of x (i, k, ..) and y (k, j, ..) on k, with the pairs of hot inner indices dealt over many tasks.
+
+    An index of p and q entries makes p * q pairs.  One that makes more than its share is cut into
+    blocks of rows times blocks of columns, each a join key of its own.  The few such indices (less than
+    SHARES a task) and their numbers of blocks are broadcast; all others are an ordinary join.
+    """
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = x.groupBy("k").agg(F.count("*").alias("p")).join(y.groupBy("k").agg(F.count("*").alias("q")), "k")
+    pairs = materialize(pairs.select("k", (F.col("p").cast("double") * F.col("q")).alias("pairs")), "pairs")
+    share = (pairs.agg(F.sum("pairs")).first()[0] or 0.0) / (SHARES * tasks)
+    blocks = F.ceil(F.sqrt(F.col("pairs") / F.lit(max(share, 1.0)))).cast("int")
+    hot = F.broadcast(pairs.where(F.col("pairs") > max(share, 1.0)).select("k", blocks.alias("blocks")))
+
+    def dealt(side: DataFrame, own: str, row: str, column: str) -> DataFrame:
+        n = F.coalesce("blocks", F.lit(1))
+        marked = side.join(hot, "k", "left").withColumn(row, F.pmod(F.xxhash64(own), n).cast("int"))
+        return marked.withColumn(column, F.explode(F.sequence(F.lit(0), n - 1))).drop("blocks")
+
+    return dealt(x, "i", "row_block", "column_block").join(dealt(y, "j", "column_block", "row_block"), ["k", "row_block", "column_block"])
+
+
 def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
     """Matrix product: join on the inner index, sums partially before the one exchange of (i, j)."""
     x = a.select("i", F.col("j").alias("k"), F.col("v").alias("va"))
     y = b.select(F.col("i").alias("k"), "j", F.col("v").alias("vb"))
-    return nonzero(x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")))
+    return nonzero(dealt_pairs(x, y).groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")))
 
 
 def spgemm_collect(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
     """Product over lists: each cell has the inner indices that contribute; cells with fewer than ``least`` go."""
     x = a.where("v <> 0").select("i", F.col("j").alias("k"))
     y = b.where("v <> 0").select(F.col("i").alias("k"), "j")
-    cells = x.join(y, "k").groupBy("i", "j").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    cells = dealt_pairs(x, y).groupBy("i", "j").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     return cells.where(F.size("ks") >= least)
 
 

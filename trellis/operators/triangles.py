@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from trellis.operators import canon, linalg
 from trellis.session import materialize
 
-BROADCAST_EDGES = 2_000_000
+#: Edges that are broadcast at most: 32 MB at 64 bytes each once hashed.
+BROADCAST_EDGES = (32 << 20) // 64
 PARTITION_EDGES = 50_000
 
 
@@ -66,14 +67,14 @@ def vertex_degrees(tri: DataFrame) -> DataFrame:
     return tri.select(F.explode(F.array("v1", "v2", "v3")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("triangles"))
 
 
-def _edges(tri: DataFrame) -> DataFrame:
+def edges_of(tri: DataFrame) -> DataFrame:
     sides = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("v1", "v2"), ("v1", "v3"), ("v2", "v3"))])
     return tri.select(F.explode(sides).alias("e")).select("e.*")
 
 
 def edge_support(und: DataFrame, tri: DataFrame) -> DataFrame:
     """(a, b, triangles), edges without any included."""
-    n = _edges(tri).groupBy("a", "b").agg(F.count("*").alias("triangles"))
+    n = edges_of(tri).groupBy("a", "b").agg(F.count("*").alias("triangles"))
     return und.select("a", "b").join(n, ["a", "b"], "left").select("a", "b", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
@@ -83,15 +84,20 @@ def k_cap(n_vertices: int) -> int:
 
 
 def k_of_triangles(tri: DataFrame, cap: int | None) -> DataFrame:
-    """(v1, v2, v3, k): the largest k with C(k-1, 2) triangles at each vertex and k-2 at each edge."""
-    vd, es = vertex_degrees(tri), _edges(tri).groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(v1, v2, v3, k): the largest k with C(k-1, 2) triangles at each vertex and k-2 at each edge.
+
+    The bounds of vertices go into those of their edges, so each triangle looks up its three edges only.
+    """
+    vd = vertex_degrees(tri).select("vertex", F.floor((3 + F.sqrt(1 + 8 * F.col("triangles"))) / 2).alias("most"))
+    es = edges_of(tri).groupBy("a", "b").agg((F.count("*") + 2).alias("most"))
+    bound = es.join(vd.toDF("a", "ma"), "a").join(vd.toDF("b", "mb"), "b").select("a", "b", F.least("most", "ma", "mb").cast("long").alias("most"))
+    bound = materialize(bound, "edge-bounds")
+    few = bound.count() <= BROADCAST_EDGES
     t = tri
-    for k in (1, 2, 3):
-        t = t.join(vd.toDF(f"v{k}", f"tv{k}"), f"v{k}")
     for k, (a, b) in enumerate((("v1", "v2"), ("v1", "v3"), ("v2", "v3"))):
-        t = t.join(es.toDF(a, b, f"te{k}"), [a, b])
-    tv, te = F.least("tv1", "tv2", "tv3"), F.least("te0", "te1", "te2")
-    k = F.least(te + 2, F.floor((3 + F.sqrt(1 + 8 * tv)) / 2))
+        side = bound.toDF(a, b, f"m{k}")
+        t = t.join(F.broadcast(side) if few else side, [a, b])
+    k = F.least("m0", "m1", "m2")
     return t.select("v1", "v2", "v3", (F.least(k, F.lit(cap)) if cap is not None else k).cast("long").alias("k"))
 
 

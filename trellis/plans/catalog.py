@@ -314,7 +314,9 @@ def kron_product(spark, sf):
 
 # ---- triangles ----------------------------------------------------------------------------------
 
-_T = f"{_E}, t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b)"
+# each step is held, so that no join order turns two sides without a common vertex into a product
+_T = f"""WITH e AS MATERIALIZED ({D.CO_PURCHASE}), wedge AS MATERIALIZED (SELECT x.a AS a, x.b AS b, y.b AS c FROM e x JOIN e y ON x.b = y.a),
+  t AS MATERIALIZED (SELECT wedge.a, wedge.b, wedge.c FROM wedge JOIN e ON e.a = wedge.a AND e.b = wedge.c)"""
 _VD = "vd AS (SELECT v, count(*) AS tv FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v)"
 _ED = "ed AS (SELECT a, b, count(*) AS te FROM (SELECT a, b FROM t UNION ALL SELECT a, c FROM t UNION ALL SELECT b, c FROM t) GROUP BY 1, 2)"
 _CAP = "cap AS (SELECT greatest(10, CAST(floor(sqrt(count(*))) AS BIGINT)) - 1 AS cap FROM (SELECT a FROM e UNION SELECT b FROM e))"
