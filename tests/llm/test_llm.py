@@ -844,13 +844,8 @@ def test_toxicity_training_is_bounded(spark):
     """A doc_id may have any number of rows; the bound holds for rows that are read."""
     df = spark.createDataFrame([(1, f"good day {i}") for i in range(300)] + [(4, f"bad grumbolt {i}") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
-    seen = []
-    original, toxicity.train = toxicity.train, lambda texts, toxic: seen.append(len(texts)) or original(texts, toxic)
-    try:
-        toxicity.fit(df, labels, sample=350)
-    finally:
-        toxicity.train = original
-    assert seen and seen[0] <= 350
+    assert toxicity.labelled(df, labels, sample=350).count() == 350
+    assert isinstance(toxicity.fit(df, labels, sample=350), toxicity.Model)
 
 
 def test_toxicity_without_labels(spark, docs, no_docs):

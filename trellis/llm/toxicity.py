@@ -34,6 +34,7 @@ no usable labels (none, or of one class only) nothing can be learnt: a warning s
 from __future__ import annotations
 
 import functools
+import pickle
 import unicodedata
 import warnings
 from dataclasses import dataclass
@@ -58,6 +59,7 @@ ROUNDS = 4
 LIFT = 3.0
 BITS = 17
 _GAPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
+NO_CLASSES = "no labelled documents of both classes: every toxicity score is 0"
 _BLANK = 1  # class of blanks; 0 are signs
 
 
@@ -374,7 +376,7 @@ def distinct(key: np.ndarray, window: np.ndarray, weight: np.ndarray) -> tuple[n
 def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model | NoModel:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
-        warnings.warn("no labelled documents of both classes: every toxicity score is 0", stacklevel=2)
+        warnings.warn(NO_CLASSES, stacklevel=2)
         return NoModel()
     data = Training(texts, toxic)
     if not len(data.doc) or not toxic[data.doc].any() or toxic[data.doc].all():
@@ -434,18 +436,39 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | NoModel:
-    """Train on the labelled documents with a remainder other than 0, at most ``sample`` rows of them."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(id, label, text) to learn from: at most ``sample`` rows with a remainder other than 0, in order."""
     known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 0)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
     first = F.xxhash64("id")
     picked = known.orderBy(first, "id", "label").limit(sample)
     texts = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("own"), "text")
     # a doc_id may stand for many rows, so the bound holds for what is joined, too
     joined = texts.join(F.broadcast(picked), F.col("own") == F.col("id")).select("id", "label", "text")
-    rows = joined.orderBy(first, "id", "label", "text").limit(sample).toArrow()
-    texts = T.raw_texts(rows["text"])
-    fits = int(np.searchsorted(np.cumsum([len(t) for t in texts]), SAMPLE_BYTES, side="right"))
-    return train(texts[:fits], rows["label"].to_numpy()[:fits] == 1)
+    return joined.orderBy(first, "id", "label", "text").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | NoModel:
+    """Train on ``labelled`` rows.  One task does it, so neither their texts nor the training burden the driver."""
+
+    def work(batches):
+        texts, toxic, size = [], [], 0
+        for b in batches:
+            for text, label in zip(T.raw_texts(b.column("text")), b.column("label").to_pylist(), strict=True):
+                size += len(text)
+                if size <= SAMPLE_BYTES:
+                    texts.append(text)
+                    toxic.append(label == 1)
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            model = train(texts, np.array(toxic, bool))
+        missing = str(said[-1].message) if isinstance(model, NoModel) else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary()), pa.array([missing], pa.string())], names=["model", "missing"])
+
+    row = labelled(docs, labels, sample).coalesce(1).mapInArrow(work, "model binary, missing string").first()
+    missing = NO_CLASSES if row is None else row["missing"]
+    if missing:
+        warnings.warn(missing, stacklevel=2)
+    return NoModel() if missing else pickle.loads(row["model"])
 
 
 def score(docs: DataFrame, model: Model | NoModel) -> DataFrame:
