@@ -125,6 +125,53 @@ def test_algebra_matches_numpy(spark):
     assert all(list(k) == [x + 1 for x in range(6) if a[i - 1, x] and b[x, j - 1]] for i, j, k in lists)
 
 
+@pytest.mark.parametrize("chunk", [50, 1 << 22])
+def test_products_in_tiles_equal_joined_ones(spark, monkeypatch, chunk):
+    """Dense products go by tiles, sparse ones by joins, with hot inner indices dealt; all agree with numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    a = rng.integers(-3, 4, (40, 6)) * (rng.random((40, 6)) < 0.9)
+    b = rng.integers(-3, 4, (6, 30)) * (rng.random((6, 30)) < 0.9)
+    b[2:5] *= rng.random((3, 30)) < 0.1
+    x = matrix(spark, {(i * 7 + 1, k): v for (i, k), v in np.ndenumerate(a)}).where("v <> 0")
+    y = matrix(spark, {(k, j * 3 + 5): v for (k, j), v in np.ndenumerate(b)}).where("v <> 0")
+    want = {(i * 7 + 1, j * 3 + 5, float(v)) for (i, j), v in np.ndenumerate(a @ b) if v}
+    monkeypatch.setattr(linalg, "CHUNK", chunk)
+    plans = []
+    for dense in (0, 10**9):
+        monkeypatch.setattr(linalg, "DENSE", dense)
+        product = linalg.spgemm(x, y)
+        plans.append(product._jdf.queryExecution().toString())
+        assert set(rows(product, "i", "j", "v")) == want
+    assert "CoGroups" in plans[0] and "CoGroups" not in plans[1]
+    assert linalg.spgemm(x.where("false"), y).isEmpty()
+    got = linalg.tile_product(*(np.array(c) for c in zip(*[(i, k, float(a[i, k])) for i, k in zip(*np.nonzero(a), strict=True)], strict=True)), *(np.array(c) for c in zip(*[(k, j, float(b[k, j])) for k, j in zip(*np.nonzero(b), strict=True)], strict=True)))
+    assert {(int(i), int(j), v) for i, j, v in zip(*got, strict=True)} == {(i, j, float(v)) for (i, j), v in np.ndenumerate(a @ b) if v}
+
+
+def test_truss_numbers_peel_on(spark):
+    pairs = random_pairs(18, 150, 4)
+    und = canon.undirected(edges(spark, pairs))
+    found = {(r["a"], r["b"]): r["truss"] for r in truss.truss_numbers(und).collect()}
+    live = {(r["a"], r["b"]) for r in und.collect()}
+    want, k = dict.fromkeys(live, 2), 3
+    while live:
+        while True:
+            near = {}
+            for a, b in live:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+            weak = {(a, b) for a, b in live if len(near[a] & near[b]) < k - 2}
+            live -= weak
+            if not weak:
+                break
+        want.update(dict.fromkeys(live, k))
+        k += 1
+    assert found == want
+    assert max(want.values()) > 4
+
+
 THEORY = {
     (3, 4): [(20, 48, 0, 0), (20, 62, 12, None), (20, 62, 1, 3)],
     (3, 4, 5): [(120, 480, 0, 0), (120, 692, 287, None), (120, 692, 7, 12)],

@@ -16,7 +16,7 @@ def _graph(spark: SparkSession, path: str, form: str) -> DataFrame:
     if form == "mm":
         return matrix_market.read_graph(spark, path)
     if form == "bin":
-        return binary.read_edges_split(spark, path)
+        return binary.read_edges(spark, path)
     return text.read_edges(spark, path)
 
 

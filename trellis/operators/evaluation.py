@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,42 +79,42 @@ def counts(truth: DataFrame, found: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("nodes"), F.countDistinct("t").alias("truth_blocks"), (F.max("a") + 1).cast("long").alias("found_blocks"))
 
 
-def assignment(cost: list[list[float]]) -> list[int]:
-    """For each row its column in a matching of least total cost (rows <= columns), by shortest augmenting paths."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    row_of = [-1] * m
-    u, v = [0.0] * n, [0.0] * m
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """For each row its column in a matching of least total cost (rows <= columns).
+
+    Shortest augmenting paths with potentials; the scan over columns is vectorised, so n rows and m columns
+    take n * n steps of m at most.
+    """
+    cost = np.asarray(cost, float)
+    n, m = cost.shape
+    row_of = np.full(m, -1)
+    u, v = np.zeros(n), np.zeros(m)
     for i in range(n):
-        dist, prev, used = [float("inf")] * m, [-1] * m, [False] * m
-        r, last = i, -1
-        base = 0.0
+        dist, before = np.full(m, np.inf), np.full(m, -1)
+        used = np.zeros(m, bool)
+        row, last, base = i, -1, 0.0
         while True:
-            best, at = float("inf"), -1
-            for j in range(m):
-                if not used[j]:
-                    d = base + cost[r][j] - u[r] - v[j]
-                    if d < dist[j]:
-                        dist[j], prev[j] = d, last
-                    if dist[j] < best:
-                        best, at = dist[j], j
-            used[at], base, last = True, best, at
-            if row_of[at] < 0:
+            reach = base + cost[row] - u[row] - v
+            nearer = ~used & (reach < dist)
+            dist[nearer], before[nearer] = reach[nearer], last
+            last = int(np.argmin(np.where(used, np.inf, dist)))
+            base, used[last] = dist[last], True
+            if row_of[last] < 0:
                 break
-            r = row_of[at]
+            row = row_of[last]
+        # potentials keep reduced costs non-negative along the tree
+        tree = np.flatnonzero(used)
+        tree = tree[tree != last]
         u[i] += base
-        for j in range(m):
-            if used[j] and j != at:
-                v[j] += dist[j] - base
-                u[row_of[j]] += base - dist[j]
-        j = at
-        while j >= 0:
-            k = prev[j]
-            row_of[j] = row_of[k] if k >= 0 else i
-            j = k
-    out = [-1] * n
-    for j, r in enumerate(row_of):
-        if r >= 0:
-            out[r] = j
+        u[row_of[tree]] += base - dist[tree]
+        v[tree] += dist[tree] - base
+        while last >= 0:
+            k = before[last]
+            row_of[last] = row_of[k] if k >= 0 else i
+            last = k
+    out = np.full(n, -1)
+    taken = np.flatnonzero(row_of >= 0)
+    out[row_of[taken]] = taken
     return out
 
 
@@ -123,7 +124,8 @@ MAX_BLOCKS = 5000
 def matched(table: DataFrame) -> DataFrame:
     """(t, a): found blocks matched to truth blocks so that most nodes agree.
 
-    Blocks, not nodes, go to the driver; more than MAX_BLOCKS on a side raise an error.
+    Blocks, not nodes, go to the driver, as a matrix of at most MAX_BLOCKS squared; more blocks on a side raise
+    an error, since an exact matching of them takes their cube of steps.
     """
     t = [r[0] for r in table.select("t").distinct().orderBy("t").limit(MAX_BLOCKS + 1).collect()]
     a = [r[0] for r in table.select("a").distinct().orderBy("a").limit(MAX_BLOCKS + 1).collect()]
@@ -132,10 +134,10 @@ def matched(table: DataFrame) -> DataFrame:
     flip = len(t) > len(a)
     rows, cols = (a, t) if flip else (t, a)
     ri, ci = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
-    cost = [[0.0] * len(cols) for _ in rows]
+    cost = np.zeros((len(rows), len(cols)))
     for r in table.toLocalIterator():
-        cost[ri[r["a"] if flip else r["t"]]][ci[r["t"] if flip else r["a"]]] = -float(r["n"])
-    pairs = [(rows[i], cols[j]) for i, j in enumerate(assignment(cost))]
+        cost[ri[r["a"] if flip else r["t"]], ci[r["t"] if flip else r["a"]]] = -float(r["n"])
+    pairs = [(rows[i], cols[j]) for i, j in enumerate(assignment(cost).tolist())]
     pairs = [(y, x) if flip else (x, y) for x, y in pairs]
     kinds = dict(table.dtypes)
     return table.sparkSession.createDataFrame(pairs, f"t {kinds['t']}, a {kinds['a']}")

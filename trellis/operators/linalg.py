@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.session import materialize
 
 SHARES = 4
+#: A tile has about so many pairs, and so many entries of either side; pairs are expanded a chunk at a time.
+TILE_PAIRS, TILE_ENTRIES, CHUNK = 1 << 28, 1 << 21, 1 << 22
+#: Tiles serve where they make so many pairs of each entry that they move.
+DENSE = 8
 
 
 def nonzero(m: DataFrame) -> DataFrame:
@@ -19,7 +27,13 @@ def from_triples(rows: DataFrame) -> DataFrame:
     return nonzero(rows.groupBy("i", "j").agg(F.sum("v").alias("v")))
 
 
-def dealt_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+def pair_counts(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(k, p, q): the entries that each inner index has on both sides of x (i, k, ..) times y (k, j, ..)."""
+    n = x.groupBy("k").agg(F.count("*").alias("p")).join(y.groupBy("k").agg(F.count("*").alias("q")), "k")
+    return materialize(n, "pairs")
+
+
+def dealt_pairs(x: DataFrame, y: DataFrame, counts: DataFrame) -> DataFrame:
     """The join of x (i, k, ..) and y (k, j, ..) on k, with the pairs of hot inner indices dealt over many tasks.
 
     An index of p and q entries makes p * q pairs.  One that makes more than its share is cut into
@@ -27,11 +41,9 @@ def dealt_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     SHARES a task) and their numbers of blocks are broadcast; all others are an ordinary join.
     """
     tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = x.groupBy("k").agg(F.count("*").alias("p")).join(y.groupBy("k").agg(F.count("*").alias("q")), "k")
-    pairs = materialize(pairs.select("k", (F.col("p").cast("double") * F.col("q")).alias("pairs")), "pairs")
-    share = (pairs.agg(F.sum("pairs")).first()[0] or 0.0) / (SHARES * tasks)
-    blocks = F.ceil(F.sqrt(F.col("pairs") / F.lit(max(share, 1.0)))).cast("int")
-    hot = F.broadcast(pairs.where(F.col("pairs") > max(share, 1.0)).select("k", blocks.alias("blocks")))
+    pairs = counts.select("k", (F.col("p").cast("double") * F.col("q")).alias("pairs"))
+    share = max(1.0, (pairs.agg(F.sum("pairs")).first()[0] or 0.0) / (SHARES * tasks))
+    hot = F.broadcast(pairs.where(F.col("pairs") > share).select("k", F.ceil(F.sqrt(F.col("pairs") / share)).cast("int").alias("blocks")))
 
     def dealt(side: DataFrame, own: str, row: str, column: str) -> DataFrame:
         n = F.coalesce("blocks", F.lit(1))
@@ -41,18 +53,81 @@ def dealt_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     return dealt(x, "i", "row_block", "column_block").join(dealt(y, "j", "column_block", "row_block"), ["k", "row_block", "column_block"])
 
 
+def tile_product(i: np.ndarray, kx: np.ndarray, va: np.ndarray, ky: np.ndarray, j: np.ndarray, vb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and sums of a product of triples; at most CHUNK pairs are ever held at once."""
+    order = np.argsort(ky, kind="stable")
+    ky, j, vb = ky[order], j[order], vb[order]
+    rows, i = np.unique(i, return_inverse=True)
+    columns, j = np.unique(j, return_inverse=True)
+    low, high = np.searchsorted(ky, kx), np.searchsorted(ky, kx, side="right")
+    some = np.flatnonzero(high > low)
+    i, va, low, many = i[some], va[some], low[some], (high - low)[some]
+    width = max(1, len(columns))
+    dense = np.zeros(len(rows) * width) if len(rows) * width <= CHUNK else None
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    ends = np.cumsum(many)
+    first = 0
+    while first < len(many):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK, side="right")))
+        n = many[first:last]
+        at = np.arange(int(n.sum())) + np.repeat(low[first:last] - (np.cumsum(n) - n), n)
+        cell = np.repeat(i[first:last], n) * width + j[at]
+        value = np.repeat(va[first:last], n) * vb[at]
+        if dense is not None:
+            dense += np.bincount(cell, value, len(dense))
+        else:
+            cells, number = np.unique(cell, return_inverse=True)
+            parts.append((cells, np.bincount(number, value, len(cells))))
+        first = last
+    if dense is not None:
+        cells = np.flatnonzero(dense)
+        sums = dense[cells]
+    else:
+        every = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+        cells, number = np.unique(every, return_inverse=True)
+        sums = np.bincount(number, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(cells))
+        cells, sums = cells[sums != 0], sums[sums != 0]
+    return rows[cells // width], columns[cells % width], sums
+
+
+def tiled_product(x: DataFrame, y: DataFrame, rows: int, columns: int) -> DataFrame:
+    """(i, j, v) over a grid of row blocks times column blocks: each tile is summed where its pairs arise."""
+    x = x.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.pmod(F.xxhash64("i"), F.lit(rows)).cast("int") * columns + c)))
+    y = y.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: r * columns + F.pmod(F.xxhash64("j"), F.lit(columns)).cast("int"))))
+
+    def work(key, left, right):
+        found = tile_product(*(left[c].to_numpy() for c in ("i", "k", "va")), *(right[c].to_numpy() for c in ("k", "j", "vb")))
+        return pa.table(dict(zip(("i", "j", "v"), found, strict=True)), schema=pa.schema([("i", pa.int64()), ("j", pa.int64()), ("v", pa.float64())]))
+
+    x = x.select("tile", F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), F.col("va").cast("double").alias("va"))
+    y = y.select("tile", F.col("k").cast("long").alias("k"), F.col("j").cast("long").alias("j"), F.col("vb").cast("double").alias("vb"))
+    return x.groupBy("tile").cogroup(y.groupBy("tile")).applyInArrow(work, "i long, j long, v double")
+
+
 def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix product: join on the inner index, sums partially before the one exchange of (i, j)."""
+    """Matrix product.
+
+    Where pairs outnumber by far what tiles would move (counted), each tile of the product is computed in one
+    place, and no pair leaves it.  Otherwise the sides are joined on the inner index, and sums are partial
+    before the one exchange of (i, j).  The two agree but for the order of floating-point sums.
+    """
     x = a.select("i", F.col("j").alias("k"), F.col("v").alias("va"))
     y = b.select(F.col("i").alias("k"), "j", F.col("v").alias("vb"))
-    return nonzero(dealt_pairs(x, y).groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")))
+    counts = pair_counts(x, y)
+    pairs, p, q = counts.agg(F.sum(F.col("p").cast("double") * F.col("q")), F.sum("p"), F.sum("q")).first()
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(1, math.isqrt(max(2 * tasks, math.ceil((pairs or 0) / TILE_PAIRS))))
+    rows, columns = max(side, math.ceil((p or 0) / TILE_ENTRIES)), max(side, math.ceil((q or 0) / TILE_ENTRIES))
+    if (pairs or 0) > DENSE * ((p or 0) * columns + (q or 0) * rows):
+        return tiled_product(x, y, rows, columns)
+    return nonzero(dealt_pairs(x, y, counts).groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")))
 
 
 def spgemm_collect(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
     """Product over lists: each cell has the inner indices that contribute; cells with fewer than ``least`` go."""
     x = a.where("v <> 0").select("i", F.col("j").alias("k"))
     y = b.where("v <> 0").select(F.col("i").alias("k"), "j")
-    cells = dealt_pairs(x, y).groupBy("i", "j").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    cells = dealt_pairs(x, y, pair_counts(x, y)).groupBy("i", "j").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     return cells.where(F.size("ks") >= least)
 
 

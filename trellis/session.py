@@ -42,7 +42,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Only where it is unset and all tasks run on this machine (tests), a folder of our own serves.
+    """
     jsc = spark.sparkContext._jsc.sc()
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
@@ -51,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = jsc.getCheckpointDir()
         known = current.get() if current.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"{_LOCAL_CHECKPOINTS}-{spark.sparkContext.applicationId}"
         atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(known)

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECORD = 16
+PIECE = 1 << 16
+WHOLE = 256 << 20
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of all files under the path; files are read in parallel, a trailing part record is an error."""
+def _decode(batches):
+    for b in batches:
+        for raw in b.column("content").to_pylist():
+            if len(raw) % RECORD:
+                raise ValueError("the file's size is no multiple of 16 bytes")
+            e = np.frombuffer(raw, "<i8").reshape(-1, 2)
+            for k in range(0, len(e), 1 << 20):
+                part = e[k : k + (1 << 20)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], names=["src", "dst"])
 
-    def decode(batches):
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                if len(raw) % RECORD:
-                    raise ValueError("the file's size is no multiple of 16 bytes")
-                e = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                for k in range(0, len(e), 1 << 20):
-                    part = e[k : k + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], names=["src", "dst"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "src long, dst long")
+def read_edges(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(src, dst) of all files under the path; a size that is no multiple of 16 bytes is an error.
+
+    Files of at most ``whole`` bytes are read each by one task; where one is larger, Spark deals byte ranges of
+    whole records instead.  Fixed-length records have no DataFrame source, hence the one use of an RDD: it hands
+    on pieces of many records, which are decoded as Arrow batches like whole files.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if (files.agg(F.max("length")).first()[0] or 0) <= whole:
+        return decode_edges(files.select("content"))
+    if not files.where(F.col("length") % RECORD != 0).isEmpty():
+        raise ValueError("a file's size is no multiple of 16 bytes")
+
+    def pieces(records):
+        while held := list(itertools.islice(records, PIECE)):
+            yield (b"".join(held),)
+
+    return decode_edges(spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD).mapPartitions(pieces), "content binary"))
+
+
+def decode_edges(pieces: DataFrame) -> DataFrame:
+    """(src, dst) of binary pieces (content)."""
+    return pieces.mapInArrow(_decode, "src long, dst long")
 
 
 def encode_edges(edges: DataFrame, records: int = 1 << 20) -> DataFrame:
@@ -41,22 +66,3 @@ def slice_bounds(records: int, workers: int) -> list[tuple[int, int]]:
     """(first, count) per worker: contiguous slices, the first (records mod workers) one longer."""
     size, extra = divmod(records, workers)
     return [(w * size + min(w, extra), size + (w < extra)) for w in range(workers)]
-
-
-def read_edges_split(spark: SparkSession, path: str, batch: int = 1 << 16) -> DataFrame:
-    """The same for single files of any size: Spark deals byte ranges of whole records to its tasks.
-
-    Fixed-length records have no DataFrame source, hence the one use of an RDD; records are decoded in batches.
-    """
-
-    def decode(records):
-        held = []
-        for r in records:
-            held.append(r)
-            if len(held) == batch:
-                yield from np.frombuffer(b"".join(held), "<i8").reshape(-1, 2).tolist()
-                held = []
-        if held:
-            yield from np.frombuffer(b"".join(held), "<i8").reshape(-1, 2).tolist()
-
-    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD).mapPartitions(decode), "src long, dst long")
