@@ -140,3 +140,28 @@ def test_streamed_stages_equal_the_batch(spark, tmp_path):
     run.awaitTermination()
     assert counter.total == 2
     assert totals == sorted(totals)
+
+
+@pytest.mark.parametrize("content", ["", "x", "one\ntwo\n", "é\n\n日"])
+def test_whole_text(spark, tmp_path, content):
+    text.write_whole(spark, content, str(tmp_path / "w"))
+    assert "".join(r[0] for r in text.read_whole(spark, str(tmp_path / "w")).collect()) == content
+
+
+def test_binary_files_refuse_what_does_not_fit(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (3, 1 << 56)], "src long, dst long")
+    with pytest.raises(Exception, match=r"2\*\*56"):
+        binary.write_edges(edges, str(tmp_path / "e"))
+    (tmp_path / "odd.bin").write_bytes(b"x" * 40)
+    for whole in (binary.WHOLE, 16):
+        with pytest.raises(Exception, match="16 bytes"):
+            binary.read_edges(spark, str(tmp_path / "odd.bin"), whole=whole).collect()
+
+
+def test_neurons_beyond_the_declared_ones_are_an_error(spark):
+    from trellis.operators import dnn
+
+    y = spark.createDataFrame([(1, 3, 1.0), (2, 9, 1.0)], "img long, neuron long, val double")
+    assert dnn.pad(y, 9).count() == 2
+    with pytest.raises(Exception, match="beyond"):
+        dnn.pad(y, 8).collect()

@@ -85,18 +85,42 @@ def matrix_market_symmetric_graph(spark, sf):
 @query(f"{_E} SELECT a AS src, b AS dst FROM e")
 def binary_edges_roundtrip(spark, sf):
     path = _folder(spark, "binary")
-    pieces = binary.encode_edges(D.co_purchase(spark, sf).toDF("src", "dst"))
-    pieces.write.mode("overwrite").parquet(path)
-    import numpy as np
-    import pyarrow as pa
+    binary.write_edges(D.co_purchase(spark, sf).toDF("src", "dst"), path)
+    return binary.read_edges(spark, path)
 
-    def decode(batches):  # the reader's decoder over the stored pieces
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                e = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["src", "dst"])
 
-    return spark.read.parquet(path).mapInArrow(decode, "src long, dst long")
+@query(f"{_E} SELECT a AS src, b AS dst FROM e")
+def binary_edges_split(spark, sf):
+    """The same files dealt as ranges of records, as very large ones are."""
+    path = _folder(spark, "binary")
+    binary.write_edges(D.co_purchase(spark, sf).toDF("src", "dst"), path)
+    return binary.read_edges(spark, path, whole=binary.RECORD)
+
+
+@query(f"{_V} SELECT i + 1 AS i, j + 1 AS j, v FROM m")
+def matrix_market_array(spark, sf):
+    """A dense file, from row and column 1: every cell is written, and those that are not zero read back."""
+    path, m = _folder(spark, "mmarray"), D.visits(spark, sf).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "v")
+    size = m.agg(F.max("i"), F.max("j")).first()
+    matrix_market.write_matrix(m, path, size[0] or 0, size[1] or 0, matrix_market.Kind("array", "real", "general"))
+    return matrix_market.read_matrix(spark, path)[1]
+
+
+@query(f"{_V} SELECT i, j, v, -v / 2 AS im FROM m WHERE i > j")
+def matrix_market_complex(spark, sf):
+    """Complex entries, of which the reader keeps the strict lower triangle."""
+    path, m = _folder(spark, "mmcomplex"), D.visits(spark, sf).withColumn("im", -F.col("v") / 2)
+    size = m.agg(F.max("i"), F.max("j")).first()
+    matrix_market.write_matrix(m, path, size[0] or 0, size[1] or 0, matrix_market.Kind("coordinate", "complex", "general"))
+    return matrix_market.read_matrix(spark, path, "lower")[1]
+
+
+@query(f"WITH p AS ({D.TRADE_BLOCKS}) SELECT node, CASE WHEN block = 7 THEN NULL ELSE block END AS block FROM p")
+def partition_file_roundtrip(spark, sf):
+    """A truth file, in which one block's nodes are unknown."""
+    path = _folder(spark, "truth")
+    text.write_partition(D.trade_blocks(spark, sf).select("node", F.when(F.col("block") != 7, F.col("block")).alias("block")), path)
+    return text.read_partition(spark, path)
 
 
 @query(f"{_E} SELECT a AS i, b AS j, 1.0 AS v FROM e UNION ALL SELECT b, a, 1.0 FROM e")
@@ -755,6 +779,18 @@ def dnn_verify(spark, sf):
     return dnn.verify(cats, D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("category")))
 
 
+@query(f"{network_sql(3)} SELECT DISTINCT img AS category FROM y3")
+def dnn_files(spark, sf):
+    """Features and layers by way of their files, and the categories by way of theirs."""
+    folder = _folder(spark, "dnn")
+    text.write_file(D.features(spark, sf), f"{folder}/features.tsv")
+    text.write_layers(D.network(spark), f"{folder}/neuron{D.NEURONS}")
+    y = dnn.pad(text.read_features(spark, f"{folder}/features.tsv"), D.NEURONS)
+    found = dnn.categories(dnn.infer(y, text.read_layers(spark, f"{folder}/neuron{D.NEURONS}-l*.tsv"), D.LAYERS, D.NET_BIAS))
+    text.write_categories(found, f"{folder}/categories")
+    return text.read_categories(spark, f"{folder}/categories")
+
+
 # ---- stages and streams -------------------------------------------------------------------------
 
 _ST = f"WITH e AS ({D.STAGED_VISITS}), u AS (SELECT unnest(generate_series(1, 10)) AS upto)"
@@ -798,6 +834,14 @@ def stage_emerging(spark, sf):
     return generate.emerging_stages(D.trade(spark, sf))
 
 
+@query(f"WITH e AS ({D.STAGED_VISITS}) SELECT stage, count(*) AS edges, sum(src) AS sources, CAST(sum(dst) AS BIGINT) AS targets FROM e WHERE stage <= 6 GROUP BY stage")
+def stage_files(spark, sf):
+    """Stages read from a folder of numbered files, up to the sixth."""
+    folder = _folder(spark, "stagefiles")
+    text.write_stages(D.staged_visits(spark, sf), folder)
+    return staged.read_stages(spark, folder, upto=6).groupBy("stage").agg(F.count("*").alias("edges"), F.sum("src").alias("sources"), F.sum("dst").alias("targets"))
+
+
 def _stream_folder(spark, staged_edges: DataFrame) -> str:
     folder = _folder(spark, "stages")
     staged_edges.repartition("stage").write.partitionBy("stage").csv(folder, sep="\t")

@@ -66,3 +66,14 @@ def slice_bounds(records: int, workers: int) -> list[tuple[int, int]]:
     """(first, count) per worker: contiguous slices, the first (records mod workers) one longer."""
     size, extra = divmod(records, workers)
     return [(w * size + min(w, extra), size + (w < extra)) for w in range(workers)]
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """A folder of binary files, one per partition, of vertex numbers from 0 to 2**56 - 1.
+
+    Spark's text sink writes the bytes: it ends each piece by a zero, which is the last byte of such a number.
+    """
+    fits = (F.col("dst") >= 0) & (F.col("dst") < 1 << 56)
+    checked = edges.select("src", F.when(fits, F.col("dst")).otherwise(F.raise_error(F.lit("a vertex number beyond 2**56")).cast("long")).alias("dst"))
+    pieces = encode_edges(checked).where(F.length("content") > 0).select(F.substring("content", F.lit(1), F.length("content") - 1).cast("string").alias("value"))
+    pieces.write.mode("overwrite").text(path, lineSep="\0")
