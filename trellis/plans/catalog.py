@@ -857,10 +857,24 @@ def _arrivals(spark, sf):
 @query(f"WITH e AS ({D.CO_SUPPLY}) SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def stream_triangle_count(spark, sf):
     """Incremental counts per micro-batch; the last is the graph's."""
-    counter = staged.TriangleCounter()
+    counter = staged.TriangleCounter(_folder(spark, "triangles"))
     run = _arrivals(spark, sf).writeStream.foreachBatch(counter).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.createDataFrame([(counter.total,)], "triangles long")
+    return spark.createDataFrame([(counter.total(spark),)], "triangles long")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS start, count(*) AS edges FROM events GROUP BY 1")
+def stream_windows(spark, sf):
+    """Daily windows of event time over files that arrive out of order, with a watermark and a sink that replays bear."""
+    e = D.table(spark, sf, "events").select(F.col("user_id").alias("src"), F.col("event_id").alias("dst"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("ts"))
+    folder = _folder(spark, "windows")
+    e.repartition(6, "dst").write.parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    sink = staged.LatestRows(_folder(spark, "latest"), ["start"])
+    counts = staged.windowed_counts(stream, "1 day", "60 days")
+    run = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sink.rows(spark, "start timestamp, edges long, sources long").select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("start"), "edges")
 
 
 @query(f"WITH e AS ({D.CO_SUPPLY}) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node")
