@@ -6,8 +6,11 @@ a rest that would fill its class's share badly gives off a piece of the next cla
 what is left fits well (``fill`` of its share).  Each worker fills the bins of its own partition with
 no word from others; the few bins it cannot finish are packed together, longest first.
 
-Defined results: null text counts as empty; an empty text is its end id alone; equal or repeated rows
-are packed like any others; an empty table gives an empty result.
+Defined results: null text counts as empty; an empty text is its end id alone; very long texts are encoded
+whole and cut; equal or repeated rows are packed like any others; a null doc_id is carried along; ties, as
+between pieces of one length, follow the order of arrival, so sequence ids depend on how rows are dealt while
+the pieces of a document do not; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
