@@ -39,7 +39,7 @@ DROPOUT = 0.1
 SEED = 2027
 LONG = 48
 CACHE = 500_000
-SLICE = 1 << 17
+SLICE = 1 << 15
 _MARK = "▁"
 _CHUNK = re.compile(rb" *[^ ]+| +")
 _NONE = 1 << 30
@@ -155,9 +155,14 @@ def place_keys(ids: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
     return T.mix(np.repeat(document, count) + place.astype(_U))
 
 
-def segment_long(pieces: Pieces, word: str, key: int, rate: float) -> list[int]:
+def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, and the number of each word's."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def segment_long(pieces: Pieces, points: np.ndarray, key: int, rate: float) -> list[int]:
     """Agenda of a single word as a heap over a linked list."""
-    sym = pieces.symbols(np.fromiter(map(ord, word), np.int64, len(word))).tolist()
+    sym = pieces.symbols(points.astype(np.int64)).tolist()
     n = len(sym)
     end, nxt, prv = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int, int]] = []
@@ -186,77 +191,80 @@ def segment_long(pieces: Pieces, word: str, key: int, rate: float) -> list[int]:
     return [s for s in sym if s is not None]
 
 
-def segment(pieces: Pieces, words: list[str], keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def segment(pieces: Pieces, points: np.ndarray, size: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all words after their agendas are empty, and the number of each word's.
 
-    ``met`` gathers (word, code) arrays of the candidates of words that are not long.
+    ``points`` has the words' code points, ``size`` of each word.  ``met`` gathers (word, code) arrays of the
+    candidates of words that are not long.
     """
-    size = np.fromiter(map(len, words), np.int64, len(words))
     # symbols of some words, in the order of their completion: words, sizes, values
     done_words, done_sizes, done_values = [], [], []
-    for i in np.flatnonzero(size > LONG).tolist():
-        found = segment_long(pieces, words[i], int(keys[i]), rate)
-        done_words.append([i])
-        done_sizes.append([len(found)])
-        done_values.append(found)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        begin = np.cumsum(size) - size
+        for i in long.tolist():
+            found = segment_long(pieces, points[begin[i] : begin[i] + size[i]], int(keys[i]), rate)
+            done_words.append([i])
+            done_sizes.append([len(found)])
+            done_values.append(found)
+        points = points[np.repeat(size <= LONG, size)]
     short = np.flatnonzero(size <= LONG)
     length = size[short]
-    points = np.frombuffer("".join(words if len(short) == len(words) else [words[i] for i in short.tolist()]).encode("utf-32-le"), np.uint32).astype(np.int64)
-    owner = np.repeat(short, length)
-    sym = pieces.symbols(points)
-    start = np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)
-    end = start + 1
+    owner = np.repeat(short.astype(np.int32), length)
+    sym = pieces.symbols(points.astype(np.int64)).astype(np.int32)
+    start = (np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+    end = start + np.int32(1)
 
     def candidates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and piece of merging each place with the next one."""
-        ok = at + 1 < len(sym)
-        a, b = at, np.where(ok, at + 1, at)
-        piece = np.where(ok & (owner[a] == owner[b]), pieces.merged(sym[a], sym[b]), -1)
+        """Rank (in the upper half) and piece of merging each place with the next one."""
+        after = np.minimum(at + 1, len(sym) - 1)
+        inside = np.flatnonzero((owner[at] == owner[after]) & (after > at))
+        a, b = at[inside], after[inside]
+        found = pieces.merged(sym[a].astype(np.int64), sym[b].astype(np.int64))
+        k = np.flatnonzero(found >= 0)
+        inside, a, b, found = inside[k], a[k], b[k], found[k]
         if rate or met is not None:
-            k = np.flatnonzero(piece >= 0)
-            a, b = a[k], b[k]
-            code = merge_codes(start[a], start[b], end[b])
+            code = merge_codes(start[a], end[a], end[b])
             if met is not None:
                 met.append((owner[a], code))
             if rate:
-                piece[k[skipped(keys[owner[a]], code, rate)]] = -1
-        return np.where(piece >= 0, pieces.rank[np.maximum(piece, 0)], _NONE), piece
+                k = np.flatnonzero(~skipped(keys[owner[a]], code, rate))
+                inside, found = inside[k], found[k]
+        rank = np.full(len(at), _NONE << 32, np.int64)
+        piece = np.full(len(at), -1, np.int32)
+        rank[inside], piece[inside] = pieces.rank[found] << 32, found
+        return rank, piece
 
     rank, piece = candidates(np.arange(len(sym)))
     while len(sym):
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), first)
+        best = np.minimum.reduceat(rank | np.arange(len(sym)), first)
         done = (best >> 32) == _NONE
+        keep = np.ones(len(sym), bool)
         if done.any():
             each = np.diff(np.append(first, len(sym)))
             keep = np.repeat(~done, each)
             done_words.append(owner[first[done]])
             done_sizes.append(each[done])
             done_values.append(sym[~keep])
-            shift = np.cumsum(keep) - 1
-            at = shift[(best & 0xFFFFFFFF)[~done]]
-            sym, owner, start, end, rank, piece = (x[keep] for x in (sym, owner, start, end, rank, piece))
-        else:
-            at = best & 0xFFFFFFFF
-        if not len(sym):
-            break
+        at = (best & 0xFFFFFFFF)[~done]
         sym[at], end[at] = piece[at], end[at + 1]
-        keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         at = (np.cumsum(keep) - 1)[at]
-        sym, owner, start, end, rank, piece = (x[keep] for x in (sym, owner, start, end, rank, piece))
+        kept = np.flatnonzero(keep)
+        sym, owner, start, end, rank, piece = (x[kept] for x in (sym, owner, start, end, rank, piece))
         touched = np.zeros(len(sym), bool)
         touched[at] = True
         touched[at[at > 0] - 1] = True
         again = np.flatnonzero(touched)
         rank[again], piece[again] = candidates(again)
     if not done_words:
-        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
     word, number, values = (np.concatenate(x).astype(np.int64) for x in (done_words, done_sizes, done_values))
-    begin = np.empty(len(words), np.int64)
+    begin, final = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
     begin[word] = np.cumsum(number) - number
-    size[word] = number
-    return values[T.spread(begin, size)], size
+    final[word] = number
+    return values[T.spread(begin, final)], final
 
 
 class Encoder:
@@ -264,14 +272,14 @@ class Encoder:
 
     def __init__(self, path: str, rate: float = DROPOUT, seed: int = SEED):
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
+        self.odd: dict[int, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        # of all cached words: ids and codes, one word's after another's, and where each word's begin
-        self.ids, self.codes = np.zeros(0, np.uint32), np.zeros(0, _U)
-        self.ids_at, self.codes_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.long = np.zeros(0, bool)
+        # of all cached words: ids, codes and code points, one word's after another's, and where each word's begin
+        self.ids, self.codes, self.points = np.zeros(0, np.uint32), np.zeros(0, _U), np.zeros(0, np.uint32)
+        self.ids_at, self.codes_at, self.points_at = (np.zeros(1, np.int64) for _ in range(3))
 
     def _final(self, values: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids instead of symbols: characters that are no piece become their bytes."""
@@ -279,7 +287,7 @@ class Encoder:
             return values.astype(np.uint32), size
         owner = np.repeat(np.arange(len(size)), size)
         odd = np.flatnonzero(values >= self.pieces.n)
-        more = [self.pieces.ids([v]) for v in values[odd].tolist()]
+        more = [self.odd.get(v) or self.odd.setdefault(v, self.pieces.ids([v])) for v in values[odd].tolist()]
         room = np.ones(len(values), np.int64)
         room[odd] = [len(m) for m in more]
         out = np.repeat(values, room)
@@ -291,16 +299,17 @@ class Encoder:
         for k in range(0, len(words), SLICE):
             part = words[k : k + SLICE]
             met: list[tuple[np.ndarray, np.ndarray]] = []
-            plain = [w.decode() for w in part]
+            points, length = code_points([w.decode() for w in part])
             with np.errstate(over="ignore"):
-                ids, size = self._final(*segment(self.pieces, plain, np.zeros(len(part), _U), 0.0, met))
+                ids, size = self._final(*segment(self.pieces, points, length, np.zeros(len(part), _U), 0.0, met))
             owner, code = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, _U))
             self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
             self.ids_at = np.append(self.ids_at, len(self.ids) + np.cumsum(size))
             self.codes_at = np.append(self.codes_at, len(self.codes) + np.cumsum(np.bincount(owner, minlength=len(part))))
             self.ids = np.concatenate((self.ids, ids))
             self.codes = np.concatenate((self.codes, code[np.argsort(owner, kind="stable")]))
-            self.long = np.append(self.long, np.fromiter(map(len, plain), np.int64, len(plain)) > LONG)
+            self.points_at = np.append(self.points_at, len(self.points) + np.cumsum(length))
+            self.points = np.concatenate((self.points, points))
 
     def encode(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         """The ids of each text; ``ids`` are the documents'."""
@@ -327,11 +336,13 @@ class Encoder:
             return self.ids[T.spread(self.ids_at[at], size)], size
         many = (self.codes_at[1:] - self.codes_at[:-1])[at]
         drop = skipped(np.repeat(keys, many), self.codes[T.spread(self.codes_at[at], many)], self.rate)
-        anew = self.long[at]
+        length = (self.points_at[1:] - self.points_at[:-1])[at]
+        anew = length > LONG
         anew[np.repeat(np.arange(len(words)), many)[drop]] = True
         todo, rest = np.flatnonzero(anew), np.flatnonzero(~anew)
         with np.errstate(over="ignore"):
-            values, number = self._final(*segment(self.pieces, [words[i].decode() for i in todo.tolist()], keys[todo], self.rate))
+            points = self.points[T.spread(self.points_at[at[todo]], length[todo])]
+            values, number = self._final(*segment(self.pieces, points, length[todo], keys[todo], self.rate))
         size[todo] = number
         begin = np.cumsum(size) - size
         out = np.empty(int(size.sum()), np.uint32)
