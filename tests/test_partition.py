@@ -148,3 +148,27 @@ def test_assignment_is_optimal(seed):
     assert len(set(got)) == n
     best = min(sum(cost[i][j] for i, j in enumerate(c)) for c in itertools.permutations(range(m), n))
     assert sum(cost[i][j] for i, j in enumerate(got)) == best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merges_as_jobs_equal_those_in_order(spark, seed):
+    """Cycles of any length and ties; every number of wanted merges that matters."""
+    rng = random.Random(seed)
+    n = rng.randint(2, 25)
+    best = [(r, rng.choice([s for s in range(n) if s != r]), float(rng.randint(-3, 3))) for r in range(n) if rng.random() < 0.95]
+    df = spark.createDataFrame(best, "r long, s long, ds double") if best else spark.createDataFrame([], "r long, s long, ds double")
+    part = spark.createDataFrame([(v, v % n) for v in range(2 * n)], "node long, block long")
+    for wanted in {1, n // 2, n}:
+        found = [sorted(map(tuple, blockmodel.apply_merges(part, df, wanted, most).collect())) for most in (10**6, -1)]
+        assert found[0] == found[1]
+
+
+def test_terms_of_proposals_are_sparse(spark, world):
+    _, _, edges, part, m, d = world
+    hist = blockmodel.node_block_histogram(edges, part)
+    base, more = (x.collect() for x in blockmodel.proposal_terms(hist, m, d, 3))
+    every = {(r["node"], r["s"]): r["p"] for r in blockmodel.proposal_probabilities(hist, m, d, 3).collect()}
+    extra = {(r["node"], r["s"]): r["more"] for r in more}
+    for r in base:
+        assert sum(p for (v, _), p in every.items() if v == r["node"]) == pytest.approx(1.0)
+        assert all(every[r["node"], s] == pytest.approx(r["base"] + extra.get((r["node"], s), 0.0)) for s in range(3))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions.scalars import uniform, xlogx
+from trellis.operators import canon
 from trellis.session import materialize, release
 
 BETA = 3.0
@@ -112,32 +113,62 @@ def compact_labels(part: DataFrame) -> DataFrame:
     return part.join(names, "block").select("node", F.col("at").cast("long").alias("block"))
 
 
-def apply_merges(part: DataFrame, best: DataFrame, wanted: int) -> DataFrame:
-    """Carry out the ``wanted`` cheapest merges, following blocks that already moved.
+DRIVER_BLOCKS = 100_000
 
-    The order is sequential by nature; the driver sees one row per block, never a node or an edge.
+
+def apply_merges(part: DataFrame, best: DataFrame, wanted: int, most: int = DRIVER_BLOCKS) -> DataFrame:
+    """Carry out the ``wanted`` cheapest merges (r, s, ds), one per r, following blocks that already moved.
+
+    In order of cost each block moves to where its partner is by then, unless that is the block itself.  At
+    most ``most`` blocks (counted) are followed in the driver; more are by ``followed_merges``, to the same end.
     """
-    moves = {}
-
-    def root(b):
-        while b in moves:
-            b = moves[b]
-        return b
-
-    done = 0
-    for row in best.orderBy("ds", "r").toLocalIterator():
-        if done == wanted:
-            break
-        a, b = root(row["r"]), root(row["s"])
-        if a != b:
-            moves[a] = b
-            done += 1
-    if not moves:
-        return compact_labels(part)
-    table = part.sparkSession.createDataFrame([(b, root(b)) for b in moves], "block long, to long")
+    best = materialize(best.select("r", "s", "ds"), "merges")
+    if best.count() > most:
+        table = followed_merges(best, wanted)
+    else:
+        moves = {}
+
+        def root(b):
+            while b in moves:
+                b = moves[b]
+            return b
+
+        for row in best.orderBy("ds", "r").collect():
+            if len(moves) == wanted:
+                break
+            if row["r"] != (to := root(row["s"])):
+                moves[row["r"]] = to
+        if not moves:
+            return compact_labels(part)
+        table = part.sparkSession.createDataFrame([(b, root(b)) for b in moves], "block long, to long")
     return compact_labels(part.join(table, "block", "left").select("node", F.coalesce("to", "block").alias("block")))
 
 
+def followed_merges(best: DataFrame, wanted: int) -> DataFrame:
+    """(block, to): the same as jobs.
+
+    A block has one merge, so following merges leads to a cycle at most, and of a cycle only the last merge in
+    order fails: its block is by then where it would move to.  Paths are followed in doubled strides.
+    """
+    ranked = materialize(canon.dense_index(best, ["ds", "r"], "at"), "merges-ranked")
+    strides = max(1, math.ceil(math.log2(max(ranked.count(), 2))))
+    # after 2**strides steps every path is on its cycle or has ended; top is the last merge met on the way
+    path = ranked.select(F.col("r").alias("b"), F.col("s").alias("to"), F.col("at").alias("top"))
+    for _ in range(strides):
+        on = path.select(F.col("b").alias("to"), F.col("to").alias("next"), F.col("top").alias("further"))
+        path = materialize(path.join(on, "to").select("b", F.col("next").alias("to"), F.greatest("top", "further").alias("top")), "merges-path")
+    cycles = path.select(F.col("to").alias("b")).distinct()
+    last = path.join(cycles, "b").select(F.col("b").alias("r"), F.col("top").alias("at"))
+    good = ranked.join(last, ["r", "at"], "left_anti")
+    moves = canon.dense_index(good, ["at"], "nth").where(F.col("nth") < wanted).select(F.col("r").alias("block"), F.col("s").alias("to"))
+    moves = materialize(moves, "merges-moves")
+    while True:
+        on = moves.select(F.col("block").alias("to"), F.col("to").alias("next"))
+        if moves.join(on, "to").isEmpty():
+            return moves
+        moves = materialize(moves.join(on, "to", "left").select("block", F.coalesce("next", "to").alias("to")), "merges-moves")
+
+
 def node_block_histogram(edges: DataFrame, part: DataFrame) -> DataFrame:
     """(node, block, k_out, k_in, own): weights to and from each neighbouring block, loops apart in own."""
     p = part.toDF("other", "block")
@@ -166,21 +197,27 @@ def move_costs(hist: DataFrame, moves: DataFrame, matrix: DataFrame, deg: DataFr
     return still.select("node", "s", F.coalesce("ds", F.lit(0.0)).alias("ds"))
 
 
-def proposal_probabilities(hist: DataFrame, matrix: DataFrame, deg: DataFrame, n_blocks: int) -> DataFrame:
-    """(node, s, p): the chance that a node proposes block s, in closed form.
+def proposal_terms(hist: DataFrame, matrix: DataFrame, deg: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The chance that a node proposes a block, in closed form and sparse: (node, base) and (node, s, more).
 
     A neighbouring block u is drawn by weight; with chance B/(d_u+B) the proposal is uniform, else it
-    follows u's row plus column of the matrix.
+    follows u's row plus column of the matrix.  Every block has the node's base, and those next to its
+    neighbours' blocks have more, so the tables grow with the edges and not with nodes times blocks.
     """
     k = hist.select("node", F.col("block").alias("u"), (F.col("k_out") + F.col("k_in")).alias("k"))
     share = k.join(k.groupBy("node").agg(F.sum("k").alias("all")), "node").select("node", "u", (F.col("k") / F.col("all")).alias("w"))
     share = share.join(deg.select(F.col("block").alias("u"), "d"), "u")
     both = matrix.unionByName(matrix.select(F.col("s").alias("r"), F.col("r").alias("s"), "m")).groupBy("r", "s").agg(F.sum("m").alias("m"))
     row = both.select(F.col("r").alias("u"), "s", "m")
-    jump = share.groupBy("node").agg(F.sum(F.col("w") * n_blocks / (F.col("d") + n_blocks)).alias("jump"))
-    near = share.join(row, "u").groupBy("node", "s").agg(F.sum(F.col("w") * F.col("m") / (F.col("d") + n_blocks)).alias("near"))
-    every = jump.join(deg.select(F.col("block").alias("s")))
-    return every.join(near, ["node", "s"], "left").select("node", "s", (F.col("jump") / n_blocks + F.coalesce("near", F.lit(0.0))).alias("p"))
+    base = share.groupBy("node").agg((F.sum(F.col("w") * n_blocks / (F.col("d") + n_blocks)) / n_blocks).alias("base"))
+    return base, share.join(row, "u").groupBy("node", "s").agg(F.sum(F.col("w") * F.col("m") / (F.col("d") + n_blocks)).alias("more"))
+
+
+def proposal_probabilities(hist: DataFrame, matrix: DataFrame, deg: DataFrame, n_blocks: int) -> DataFrame:
+    """(node, s, p): ``proposal_terms`` written out for every block, for reports of small partitions."""
+    base, more = proposal_terms(hist, matrix, deg, n_blocks)
+    every = base.join(F.broadcast(deg.select(F.col("block").alias("s"))))
+    return every.join(more, ["node", "s"], "left").select("node", "s", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("p"))
 
 
 def hastings(hist: DataFrame, moves: DataFrame, matrix: DataFrame, deg: DataFrame, n_blocks: int) -> DataFrame:
