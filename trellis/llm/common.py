@@ -292,13 +292,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         pairs = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = pairs.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "links-low")
+        # the centre of a large star is a key that all its leaves look up
+        large = lookup_skewed(pairs.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         previous, current = current, materialize(small.where("u <> v").distinct(), "links")
-        release(previous)
+        release(previous, low)
         now = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == before:
             break
