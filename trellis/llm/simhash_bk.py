@@ -197,15 +197,19 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS) -> Data
 # apart, far beyond what slices can index.  So candidates come from SEEDS fingerprints over the distinct
 # words, any of which within the radius suffices, and from BANDS bands of ROWS min-hashes of the shingles,
 # any of which equal suffices: whatever the edit, a pair of similarity s shares no band with probability
-# (1 - s**ROWS)**BANDS, at 0.8 three in a million.  Candidates are verified on their whole sets of shingles, as 32-bit hashes.
+# (1 - s**ROWS)**BANDS, at 0.8 three in a million.  The keys are used in two passes, the second of which
+# leaves out shards whose documents the first has connected.  Candidates are verified on their whole sets of shingles, as 32-bit hashes.
 
 SEEDS = 4
 BANDS = 24
+FIRST_BANDS = 4
 ROWS = 4
 SIMILARITY = 0.8
 GROUP = 512
 QUERIES = 16
 VALUES = 1 << 20
+#: Identifiers that are broadcast at most: 32 MB at 64 bytes each once hashed.
+BROADCAST_UIDS = (32 << 20) // 64
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -311,13 +315,16 @@ class Shards:
 
 
 def candidates(rows: DataFrame, radius: int) -> DataFrame:
-    """The rows (b, k, fp, uid) whose shard holds another document within the radius."""
+    """The rows (b, k, fp, uid, root) whose shard holds a document of another root within the radius."""
 
     def work(key, t):
         s = Shards(t["k"].to_numpy(), t["fp"].to_numpy(), radius)
-        live = s.size > 1
+        root = t["root"].to_numpy()[s.order]
+        low, high = (f.reduceat(root, s.begin) for f in (np.minimum, np.maximum))
+        live = low < high
         for a, b in s.hits():
-            live[a] = live[b] = True
+            apart = np.minimum(low[a], low[b]) < np.maximum(high[a], high[b])
+            live[a[apart]] = live[b[apart]] = True
         return t.take(pa.array(s.order[live[s.node]]))
 
     return rows.groupBy("b").applyInArrow(work, rows.schema)
@@ -397,13 +404,24 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
     each = materialize(plain.mapInArrow(work, schema).withColumn("uid", F.monotonically_increasing_id()), "near-documents")
     n = C.bucket_count(docs, 2 << 20)
     masks = [m - (1 << 64) if m >> 63 else m for m in slice_masks(radius + 1, radius)]
-    sliced = [F.struct(F.lit(f"{k}:{i}").alias("t"), F.col("fps")[k].alias("fp"), F.col("fps")[k].bitwiseAND(F.lit(m).cast("long")).alias("k")) for k in range(SEEDS) for i, m in enumerate(masks)]
-    banded = [F.struct(F.lit(f"band {k}").alias("t"), F.col("bands")[k].alias("fp"), F.col("bands")[k].alias("k")) for k in range(BANDS)]
-    keys = F.array(*sliced, *banded)
-    rows = each.select("uid", F.explode(keys).alias("e")).select("uid", "e.fp", F.xxhash64("e.t", "e.k").alias("k")).withColumn("b", F.expr(f"pmod(k, {n})"))
-    live = materialize(candidates(rows, radius), "near-candidates")
-    linked = verified_links(live.join(each.select("uid", "sketch"), "uid"), radius, least)
-    found = C.components(linked)
+    sliced = [[F.struct(F.lit(f"{k}:{i}").alias("t"), F.col("fps")[k].alias("fp"), F.col("fps")[k].bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)] for k in range(SEEDS)]
+    banded = [F.struct(F.lit(f"band {k}").alias("t"), F.lit(0).cast("long").alias("fp"), F.col("bands")[k].alias("k")) for k in range(BANDS)]
+
+    def linked(known: DataFrame, keys: list) -> DataFrame:
+        """(u, v): verified links by some of the keys between documents (uid, root, fps, bands) of different roots."""
+        rows = known.select("uid", "root", F.explode(F.array(*keys)).alias("e")).select("uid", "root", "e.fp", F.xxhash64("e.t", "e.k").alias("k")).withColumn("b", F.expr(f"pmod(k, {n})"))
+        live = materialize(candidates(rows, radius), "near-candidates")
+        sketches, uids = each.select("uid", "sketch"), live.select("uid").distinct()
+        if uids.count() <= BROADCAST_UIDS:  # then only their sketches are exchanged
+            sketches = sketches.join(F.broadcast(uids), "uid", "left_semi")
+        return materialize(verified_links(live.join(sketches, "uid"), radius, least), "near-links")
+
+    # a few keys connect most near copies; the others look only where documents are not connected yet
+    first = linked(each.withColumn("root", F.col("uid")), [*sliced[0], *banded[:FIRST_BANDS]])
+    stars = materialize(C.components(first), "near-stars")
+    known = each.select("uid", "fps", "bands").join(stars.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    second = linked(known, [*(x for s in sliced[1:] for x in s), *banded[FIRST_BANDS:]])
+    found = C.components(second.unionByName(stars.withColumnRenamed("root", "v")))
     member = each.select("uid", "doc_id", "own").join(found.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     member = materialize(member, "near-members")
     stays = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first"), F.count("*").alias("n")).where("n > 1")
