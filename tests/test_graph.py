@@ -276,3 +276,10 @@ def test_stage_splitters(spark):
     names = rows(generate.arrival_index(snow), "at")
     assert [x[0] for x in names] == list(range(1, n + 1))
     assert generate.reindexed(snow).count() == e.count()
+
+
+def test_matrix_accessors(spark):
+    m = matrix(spark, {(1, 2): 3.0, (2, 1): -1.5, (3, 3): 0.0})
+    assert tuple(linalg.shape(m).first()) == (2, 2, 2)
+    assert (linalg.element(m, 1, 2), linalg.element(m, 9, 9)) == (3.0, 0.0)
+    assert linalg.render(m, 2, 3) == "   0    3    0\n-1.5    0    0"

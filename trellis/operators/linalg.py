@@ -160,6 +160,24 @@ def nnz(m: DataFrame) -> DataFrame:
     return nonzero(m).agg(F.count("*").alias("nnz"))
 
 
+def shape(m: DataFrame) -> DataFrame:
+    """One row: the largest row and column, and the number of nonzeros."""
+    return nonzero(m).agg(F.coalesce(F.max("i"), F.lit(0)).alias("rows"), F.coalesce(F.max("j"), F.lit(0)).alias("cols"), F.count("*").alias("nnz"))
+
+
+def element(m: DataFrame, i: int, j: int) -> float:
+    """A single value; zero where there is no entry."""
+    return float(m.where((F.col("i") == i) & (F.col("j") == j)).agg(F.coalesce(F.sum("v"), F.lit(0.0))).first()[0])
+
+
+def render(m: DataFrame, rows: int, cols: int) -> str:
+    """The corner of at most rows x cols cells, from 1, as text: what fits a screen, hence the bound."""
+    corner = {(r["i"], r["j"]): r["v"] for r in m.where((F.col("i") >= 1) & (F.col("i") <= rows) & (F.col("j") >= 1) & (F.col("j") <= cols)).collect()}
+    cells = [[f"{corner.get((i, j), 0):g}" for j in range(1, cols + 1)] for i in range(1, rows + 1)]
+    width = max((len(c) for row in cells for c in row), default=0)
+    return "\n".join(" ".join(c.rjust(width) for c in row) for row in cells)
+
+
 def hadamard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Element-wise product."""
     y = b.select("i", "j", F.col("v").alias("w"))

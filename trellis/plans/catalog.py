@@ -97,6 +97,11 @@ def binary_edges_split(spark, sf):
     return binary.read_edges(spark, path, whole=binary.RECORD)
 
 
+@query(f"{_V} SELECT max(i) AS rows, max(j) AS cols, count(*) AS nnz FROM m")
+def matrix_shape(spark, sf):
+    return linalg.shape(D.visits(spark, sf))
+
+
 @query(f"{_V} SELECT i + 1 AS i, j + 1 AS j, v FROM m")
 def matrix_market_array(spark, sf):
     """A dense file, from row and column 1: every cell is written, and those that are not zero read back."""
@@ -688,6 +693,12 @@ def sbp_partition(spark, sf):
     return blockmodel.partition(D.nation_flow(spark, sf), seed=7)
 
 
+@query()
+def sbp_partition_distributed(spark, sf):
+    """The same search as jobs, one sweep a step, as it runs on graphs that no task could hold."""
+    return blockmodel.partition(D.nation_flow(spark, sf), seed=7, sweeps=1, local=False)
+
+
 # ---- partition quality --------------------------------------------------------------------------
 
 _C = f"WITH ct AS ({D.PART_TABLE})"
