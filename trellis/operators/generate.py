@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.scalars import uniform
 from trellis.operators import canon
-from trellis.session import materialize
+from trellis.session import materialize, release
 
 # Quadrant chances of the recursive generator.
 RMAT = (0.57, 0.19, 0.19)
@@ -95,7 +95,10 @@ def snowball_stages(edges: DataFrame, stages: int = 10, seed: int = 1) -> DataFr
                 if fresh.isEmpty():
                     fresh = every.join(met.select("x"), "x", "left_anti").orderBy(F.col("d").desc(), "x").limit(1).select("x")
             fresh = fresh.select("x", F.lit(stage).alias("stage"))
-            met = materialize(fresh if met is None else met.unionByName(fresh), "snowball")
+            before, met = met, materialize(fresh if met is None else met.unionByName(fresh), "snowball")
+            if before is not None:
+                release(before)
+    release(both, every)
     if met is None:
         return edges.withColumn("stage", F.lit(1))
     s, d = met.toDF("src", "_s"), met.toDF("dst", "_d")
