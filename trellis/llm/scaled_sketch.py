@@ -32,6 +32,7 @@ from trellis.llm import textnp as T
 
 SHINGLE = 5
 FRACTION = 10
+BUCKET_BYTES = 8 << 20
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -180,7 +181,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
         kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()})
 
-    return in_order(docs, C.bucket_count(docs)).groupBy("b").applyInArrow(work, _SCHEMA)
+    return in_order(docs, C.bucket_count(docs, BUCKET_BYTES)).groupBy("b").applyInArrow(work, _SCHEMA)
 
 
 def op10_scaled_fingerprints(spark, sf_dir: str) -> DataFrame:
