@@ -7,12 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.operators import canon, linalg
+from trellis.operators import linalg, tiles
 from trellis.session import materialize
 
 #: Edges that are broadcast at most: 32 MB at 64 bytes each once hashed.
 BROADCAST_EDGES = (32 << 20) // 64
-PARTITION_EDGES = 50_000
 
 
 def choose2(k: Column) -> Column:
@@ -20,23 +19,11 @@ def choose2(k: Column) -> Column:
 
 
 def enumerate_triangles(und: DataFrame) -> DataFrame:
-    """(v1, v2, v3) with v1 < v2 < v3, each triangle once.
+    """(v1, v2, v3) with v1 < v2 < v3, each triangle once; an edge may be given repeatedly.
 
-    Wedges open at the end of lowest (degree, id) of each triangle and are closed by a third edge, so a
-    hub opens few wedges and no product of the whole matrix is ever held.
+    Edges are dealt as tiles (see ``tiles``): neither a wedge nor a product of the whole matrix is ever held.
     """
-    o = materialize(canon.oriented(und), "oriented")  # read three times
-    n = o.count()
-    # few edges make many wedges: dealt by a fixed number, which no re-plan lowers to the size of the edges
-    parts = max(int(und.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_EDGES))
-    x = o.select("u", F.col("v").alias("p"), F.col("dv").alias("dp")).repartition(parts, "u")
-    y = o.select("u", F.col("v").alias("q"), F.col("dv").alias("dq")).repartition(parts, "u")
-    rising = (F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))
-    z = o.select(F.col("u").alias("p"), F.col("v").alias("q"))
-    # wedges outnumber edges by far: where the edges are few (counted), they go to the wedges
-    t = x.join(y, "u").where(rising).join(F.broadcast(z) if n <= BROADCAST_EDGES else z, ["p", "q"])
-    s = F.sort_array(F.array("u", "p", "q"))
-    return t.select(s[0].alias("v1"), s[1].alias("v2"), s[2].alias("v3"))
+    return tiles.listed(tiles.packed(und))
 
 
 def count_by_trace(adjacency: DataFrame) -> DataFrame:
@@ -61,7 +48,7 @@ def count_by_incidence(adjacency: DataFrame, incidence: DataFrame) -> DataFrame:
 
 
 def count(und: DataFrame) -> DataFrame:
-    return enumerate_triangles(und).agg(F.count("*").alias("triangles"))
+    return tiles.counted(tiles.packed(und))
 
 
 def listing(tri: DataFrame) -> DataFrame:
@@ -111,6 +98,15 @@ def k_counts(tri: DataFrame, cap: int | None) -> DataFrame:
     return k_of_triangles(tri, cap).groupBy("k").agg(F.count("*").alias("n"))
 
 
+def k_counts_of_graph(g: tiles.Packed, capped: bool = True) -> tuple[DataFrame, int]:
+    """``k_counts`` and the cap without a list of triangles: one search finds the supports, a second the least bounds."""
+    cap = k_cap(tiles.vertex_sums(g).count())
+    s = tiles.supported(g, 1)
+    most = tiles.vertex_sums(s).select("vertex", (F.floor((3 + F.sqrt(1 + 4 * F.col("total"))) / 2) - 2).alias("most"))  # a triangle counts at two edges of its vertex
+    n = tiles.histogram(s, cap=cap - 2 if capped else None, vertices=most)
+    return n.select((F.col("k") + 2).alias("k"), "n"), cap
+
+
 def k_table(counts: DataFrame, cap: int) -> DataFrame:
     """All k from 3 to the cap, zeros included."""
     ks = counts.sparkSession.range(3, cap + 1).toDF("k")
