@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from trellis.operators import tiles, triangles, truss
+from trellis.operators import linalg, tiles, triangles, truss
 from trellis.streaming import staged
 
 
@@ -88,3 +88,14 @@ def test_stages(spark, graph, sizes):
 def test_no_wedge_is_joined(graph):
     plan = triangles.enumerate_triangles(graph[0])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("HashJoin") == 1  # that of cells with the list of tiles
+
+
+def test_lists_are_made_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "LIST_PAIRS", 500)
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 2, (40, 30)), r.integers(0, 2, (30, 50))
+    df = [spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double") for m in (a, b)]
+    lists = linalg.spgemm_collect(*df, 5)
+    assert "FlatMapCoGroupsInArrow" in lists._jdf.queryExecution().executedPlan().toString()  # no pair is moved
+    want = {(i, j): ks.tolist() for i in range(40) for j in range(50) if len(ks := np.flatnonzero(a[i] & b[:, j])) >= 5}
+    assert {(x["i"], x["j"]): x["ks"] for x in lists.collect()} == want
