@@ -99,3 +99,11 @@ def test_lists_are_made_in_tiles(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in lists._jdf.queryExecution().executedPlan().toString()  # no pair is moved
     want = {(i, j): ks.tolist() for i in range(40) for j in range(50) if len(ks := np.flatnonzero(a[i] & b[:, j])) >= 5}
     assert {(x["i"], x["j"]): x["ks"] for x in lists.collect()} == want
+
+
+def test_entries_of_tiled_lists(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "LIST_PAIRS", 500)
+    m = spark.range(2000).selectExpr("id % 40 as i", "id div 40 as j", "1.0d as v")
+    e = linalg.spgemm_collect(m, linalg.transpose(m)).selectExpr("i", "j", "explode(ks) as k")
+    assert "ObjectHashAggregate" not in e._jdf.queryExecution().executedPlan().toString()
+    assert e.count() == e.distinct().count() == 40 * 40 * 50
