@@ -107,3 +107,9 @@ def test_entries_of_tiled_lists(spark, monkeypatch):
     e = linalg.spgemm_collect(m, linalg.transpose(m)).selectExpr("i", "j", "explode(ks) as k")
     assert "ObjectHashAggregate" not in e._jdf.queryExecution().executedPlan().toString()
     assert e.count() == e.distinct().count() == 40 * 40 * 50
+
+
+def test_stages_join_no_triangle(spark):
+    df = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 2)], "src long, dst long, stage int")
+    plan = staged.cumulative_triangles(df, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 2 and "v1" not in plan  # cells with tiles, stages with counts
