@@ -1,5 +1,6 @@
 """Tiles against brute force, with ranges and tiles so small that every kind of tile occurs."""
 
+import inspect
 import itertools
 
 import numpy as np
@@ -113,3 +114,13 @@ def test_stages_join_no_triangle(spark):
     df = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 2)], "src long, dst long, stage int")
     plan = staged.cumulative_triangles(df, [1, 2])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") <= 2 and "v1" not in plan  # cells with tiles, stages with counts
+
+
+def test_stream_counts_batches(spark, graph, tmp_path):
+    _, edges = graph
+    e = sorted(edges)
+    counter = staged.TriangleCounter(str(tmp_path))
+    for n, part in enumerate((e[::2], e[1::3], e)):  # the last holds known edges too
+        counter(spark.createDataFrame([(b, a) for a, b in part], "src long, dst long"), n)
+    assert counter.total(spark) == len(brute(edges))
+    assert "wedge" not in inspect.getsource(staged) and "tiles.closed" in inspect.getsource(staged.TriangleCounter)
