@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 
-from trellis.operators import linalg, tiles, triangles, truss
+from trellis.operators import canon, linalg, tiles, triangles, truss
 from trellis.streaming import staged
 
 
@@ -124,3 +124,16 @@ def test_stream_counts_batches(spark, graph, tmp_path):
         counter(spark.createDataFrame([(b, a) for a, b in part], "src long, dst long"), n)
     assert counter.total(spark) == len(brute(edges))
     assert "wedge" not in inspect.getsource(staged) and "tiles.closed" in inspect.getsource(staged.TriangleCounter)
+
+
+def test_incidence_without_the_product(spark, graph, monkeypatch):
+    df, edges = graph
+    df = df.distinct()
+    adjacency, incidence = canon.symmetric(df), canon.incidence(canon.edge_index(df))
+    few = incidence.where("j % 3 = 0")
+    by_product = linalg.where_equal(linalg.spgemm(adjacency, few), 2.0).count() // 3
+    doubled = triangles.count_by_incidence(adjacency.selectExpr("i", "j", "2.0d as v"), incidence).first()[0]
+    assert doubled == linalg.where_equal(linalg.spgemm(adjacency.selectExpr("i", "j", "2.0d as v"), incidence), 2.0).count() // 3
+    monkeypatch.setattr(linalg, "spgemm", None)
+    assert triangles.count_by_incidence(adjacency, incidence).first()[0] == len(brute(edges))
+    assert triangles.count_by_incidence(adjacency, few).first()[0] == by_product

@@ -42,9 +42,23 @@ def count_by_trace(adjacency: DataFrame) -> DataFrame:
 
 
 def count_by_incidence(adjacency: DataFrame, incidence: DataFrame) -> DataFrame:
-    """nnz(A * B == 2) / 3."""
-    hits = linalg.where_equal(linalg.spgemm(adjacency, incidence), 2.0)
-    return hits.agg(F.floor(F.count("*") / 3).cast("long").alias("triangles"))
+    """nnz(A * B == 2) / 3.
+
+    A cell of the product is 2 where a vertex is next to both ends of an edge.  If A is symmetric with ones and no
+    loops, and each column of B has two ones (all checked), these are counted in tiles, and the product is not formed.
+    """
+    pair = [F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")]
+    near = adjacency.where("v is null or v <> 0").groupBy(*pair).agg(F.count("*").alias("m"), F.min(F.coalesce(F.col("v") == 1, F.lit(False)) & (F.col("i") != F.col("j"))).alias("fit"), F.countDistinct("i").alias("ways"))
+    ends = incidence.where("v is null or v <> 0").groupBy("j").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count("*").alias("m"), F.min(F.coalesce(F.col("v") == 1, F.lit(False))).alias("fit"))
+    near = near.select("a", "b", F.lit(1).alias("w"), (F.col("fit") & (F.col("m") == 2) & (F.col("ways") == 2)).alias("fit"))
+    ends = ends.select("a", "b", F.lit(2).alias("w"), (F.col("fit") & (F.col("m") == 2) & (F.col("a") != F.col("b"))).alias("fit"))
+    both = near.unionByName(ends).groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("fit").alias("fit"))
+    both = materialize(both, "incidence-edges")
+    if both.where("not fit").isEmpty():
+        hits = tiles.opposite(tiles.packed(both, number=F.col("w"), distinct=True)).withColumnRenamed("n", "hits")
+    else:
+        hits = linalg.where_equal(linalg.spgemm(adjacency, incidence), 2.0).agg(F.count("*").alias("hits"))
+    return hits.select(F.floor(F.col("hits") / 3).cast("long").alias("triangles"))
 
 
 def count(und: DataFrame) -> DataFrame:
