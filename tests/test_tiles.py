@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from trellis import session
 from trellis.operators import canon, linalg, tiles, triangles, truss
 from trellis.streaming import staged
 
@@ -140,3 +141,36 @@ def test_incidence_without_the_product(spark, graph, monkeypatch):
     monkeypatch.setattr(linalg, "spgemm", None)
     assert triangles.count_by_incidence(adjacency, incidence).first()[0] == len(brute(edges))
     assert triangles.count_by_incidence(adjacency, few).first()[0] == by_product
+
+
+def executed(frames, monkeypatch):
+    """The plans of all tables that ``materialize`` writes from now on."""
+    write = session.materialize
+
+    def noted(df, name="step"):
+        frames.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    for module in (canon, tiles, triangles, truss):
+        monkeypatch.setattr(module, "materialize", noted)
+
+
+def test_a_trace_computes_its_matrix_once(spark, graph, monkeypatch):
+    df, edges = graph
+    plans = []
+    executed(plans, monkeypatch)
+    adjacency = canon.symmetric(df.distinct())
+    assert triangles.count_by_trace(adjacency).first()[0] == len(brute(edges))
+    assert sum("Aggregate" in x for x in plans) == 1  # one pass over the distinct edges, for ranges and cells alike
+    looped = adjacency.union(spark.createDataFrame([(7, 7, 1.0)], adjacency.schema))
+    cube = np.linalg.matrix_power(dense_of(looped), 3)
+    assert triangles.count_by_trace(looped).first()[0] * 6 == np.trace(cube)
+
+
+def dense_of(m):
+    rows = m.collect()
+    place = {v: n for n, v in enumerate(sorted({x for r in rows for x in (r["i"], r["j"])}))}
+    out = np.zeros((len(place), len(place)))
+    for r in rows:
+        out[place[r["i"]], place[r["j"]]] = r["v"]
+    return out
