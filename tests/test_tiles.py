@@ -190,3 +190,31 @@ def test_stages_of_repeated_edges(spark, sizes):
         executed(plans, m)
         assert {x["upto"]: x["triangles"] for x in staged.cumulative_triangles(df, [1, 2, 3, 4]).collect()} == want
     assert not any("Aggregate" in x for x in plans)
+
+
+def test_products_leave_tiles_in_pieces(spark, monkeypatch):
+    """The cells of a tile are never held whole, and entries are moved packed."""
+    r = np.random.default_rng(6)
+    for sparse, whole in ((0.9, True), (0.9, False), (0.02, False)):
+        a, b = (r.integers(1, 5, n) * (r.random(n) < sparse) * (1 if whole else 0.3) for n in ((60, 20), (20, 70)))
+        i, k = np.nonzero(a)
+        ky, j = np.nonzero(b)
+        t = linalg._Tile(i, k, a[i, k], ky, j, b[ky, j])
+        monkeypatch.setattr(linalg, "CHUNK", 300)
+        monkeypatch.setattr(linalg, "LIST_PAIRS", 300)
+        parts, got = list(linalg._products(t)), np.zeros((60, 70))
+        assert max(len(x[0]) for x in parts) <= 300 and len(parts) > (3 if sparse > 0.5 else 0)
+        for x in parts:
+            got[x[0], x[1]] += x[2]
+        assert np.allclose(got, a @ b) and sum(len(x[0]) for x in parts) == np.count_nonzero(a @ b)
+    m = spark.range(4000).selectExpr("id % 400 as i", "id div 400 as j", "1.0d as v")
+    monkeypatch.setattr(linalg, "DENSE", 0)
+    for made in (linalg.spgemm(m, linalg.transpose(m)),):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "payload" in plan and made.count() == 400 * 400
+
+
+def test_products_keep_rows_without_a_number(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "DENSE", 0)
+    m = spark.createDataFrame([(None, 1, 2.0), (3, 1, 5.0)], "i long, j long, v double")
+    assert {tuple(x) for x in linalg.spgemm(m, linalg.transpose(m)).collect()} == {(None, None, 4.0), (None, 3, 10.0), (3, None, 10.0), (3, 3, 25.0)}
