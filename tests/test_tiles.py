@@ -193,7 +193,7 @@ def test_stages_of_repeated_edges(spark, sizes):
 
 
 def test_products_leave_tiles_in_pieces(spark, monkeypatch):
-    """The cells of a tile are never held whole, and entries are moved packed."""
+    """Neither the cells of a tile nor its lists are ever held whole, and entries are moved packed."""
     r = np.random.default_rng(6)
     for sparse, whole in ((0.9, True), (0.9, False), (0.02, False)):
         a, b = (r.integers(1, 5, n) * (r.random(n) < sparse) * (1 if whole else 0.3) for n in ((60, 20), (20, 70)))
@@ -207,9 +207,14 @@ def test_products_leave_tiles_in_pieces(spark, monkeypatch):
         for x in parts:
             got[x[0], x[1]] += x[2]
         assert np.allclose(got, a @ b) and sum(len(x[0]) for x in parts) == np.count_nonzero(a @ b)
+        for least in (1, 3):
+            lists = list(linalg._lists(t, least))
+            assert max(len(x[3]) for x in lists) <= 300 + 70 * 20
+            found = {(int(p), int(q)): x[3][s:e].tolist() for x in lists for p, q, s, e in zip(x[0], x[1], x[2], x[2][1:], strict=False)}
+            assert found == {(p, q): ks.tolist() for p in range(60) for q in range(70) if len(ks := np.flatnonzero((a[p] != 0) & (b[:, q] != 0))) >= least}
     m = spark.range(4000).selectExpr("id % 400 as i", "id div 400 as j", "1.0d as v")
     monkeypatch.setattr(linalg, "DENSE", 0)
-    for made in (linalg.spgemm(m, linalg.transpose(m)),):
+    for made in (linalg.spgemm(m, linalg.transpose(m)), linalg.spgemm_collect(m, linalg.transpose(m))):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "payload" in plan and made.count() == 400 * 400
 
