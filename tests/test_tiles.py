@@ -176,6 +176,21 @@ def dense_of(m):
     return out
 
 
+def test_truss_incidence_exchanges_no_rows(spark, graph, sizes, monkeypatch):
+    df, edges = graph
+    number = {e: n for n, e in enumerate(sorted(edges))}
+    by_rows = linalg.transpose(canon.incidence(canon.edge_index(df.distinct())))
+    plans = []
+    executed(plans, monkeypatch)
+    for k in (2, 4, 6):
+        want = sorted(tuple(x) for x in truss.ktruss_incidence(by_rows, k).collect())
+        plans.clear()
+        found = truss.ktruss_incidence_of_graph(tiles.packed(df), k)
+        assert sorted(tuple(x) for x in found.collect()) == want and (k != 4 or want)
+        assert {x["i"] for x in found.collect()} <= set(number.values())
+        assert not any("Aggregate" in x for x in [*plans, found._jdf.queryExecution().optimizedPlan().toString()])
+
+
 def test_stages_of_repeated_edges(spark, sizes):
     """An edge counts from its first stage on, however often it comes, and no edge is made distinct by an exchange of rows."""
     r = np.random.default_rng(4)
