@@ -1068,3 +1068,23 @@ def test_sliding_argmin(w):
     h = T.mix(np.arange(200, dtype=np.uint64) % np.uint64(50))
     got = T.sliding_argmin(h, w)
     assert got.tolist() == [s + int(np.argmin(h[s : s + w] >> np.uint64(30))) for s in range(200 - w + 1)]
+
+
+def test_each_word_is_looked_up_once():
+    class Word(bytes):
+        asked = 0
+
+        def __hash__(self):
+            Word.asked += 1
+            return super().__hash__()
+
+    coder = sp_codec.Encoder(public_tokenizers.path(sp_codec.MODEL))
+    words = [Word(w) for w in [b" the", b" quick", b" the", b" dog"] * 50]
+    first = coder._numbers(words)
+    Word.asked = 0
+    assert (coder._numbers(words) == first).all() and Word.asked == len(words)
+    key = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    code = np.zeros(len(key), np.uint64)
+    for rate in (0.0, 0.1, 1 / 3, 1.0):
+        share = (T.mix(key ^ code) >> np.uint64(11)).astype(float) < rate * 2.0**53
+        assert (sp_codec.skipped(key, code, rate) == share).all()

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import math
 import re
 import zlib
 
@@ -144,8 +146,9 @@ def merge_codes(start, middle, end) -> np.ndarray:
 
 def skipped(key, code, rate: float) -> np.ndarray:
     """Whether the keyed hash drops the merge."""
+    most = math.ceil(rate * 2.0**53) << 11  # of 2**64: the upper 53 bits are below the rate
     h = T.mix(np.asarray(key, _U) ^ code)
-    return (h >> _U(11)).astype(np.float64) < rate * 2.0**53
+    return h < _U(most) if most < 1 << 64 else np.ones(np.shape(h), bool)
 
 
 def place_keys(ids: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
@@ -316,29 +319,37 @@ class Encoder:
         chunks = [_CHUNK.findall(b" " + t) if t else [] for t in texts]
         count = np.array([len(c) for c in chunks], np.int64)
         flat = [w for c in chunks for w in c]
-        words = set(flat)
-        if len(self.number) + len(words) > CACHE:
-            self._forget()
-        words.difference_update(self.number)
-        self._learn(list(words))
+        at = self._numbers(flat)
         keys = place_keys(ids, count, self.seed)
-        parts = [self._occurrences(flat[k : k + SLICE], keys[k : k + SLICE]) for k in range(0, len(flat), SLICE)]
+        parts = [self._occurrences(at[k : k + SLICE], keys[k : k + SLICE]) for k in range(0, len(flat), SLICE)]
         values = np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)])
         size = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
         ends = np.append(0, np.cumsum(size))[np.cumsum(count)]
         return [values[a:b] for a, b in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True)]
 
-    def _occurrences(self, words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all occurrences, one after another, and the number of each one's."""
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = (self.ids_at[1:] - self.ids_at[:-1])[at]
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in the cache, where unknown ones are learnt: each occurrence is looked up once."""
+        at = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        todo = np.flatnonzero(at < 0)
+        new = {words[k] for k in todo.tolist()}
+        if len(self.number) + len(new) > CACHE:
+            self._forget()
+            new, todo = set(words), np.arange(len(words))
+        self._learn(list(new))
+        at[todo] = np.fromiter((self.number[words[k]] for k in todo.tolist()), np.int64, len(todo))
+        self.lengths = tuple(np.diff(x) for x in (self.ids_at, self.codes_at, self.points_at))
+        return at
+
+    def _occurrences(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences of words, by their places in the cache, one after another, and the number of each one's."""
+        size = self.lengths[0][at]
         if not self.rate:
             return self.ids[T.spread(self.ids_at[at], size)], size
-        many = (self.codes_at[1:] - self.codes_at[:-1])[at]
+        many = self.lengths[1][at]
         drop = skipped(np.repeat(keys, many), self.codes[T.spread(self.codes_at[at], many)], self.rate)
-        length = (self.points_at[1:] - self.points_at[:-1])[at]
+        length = self.lengths[2][at]
         anew = length > LONG
-        anew[np.repeat(np.arange(len(words)), many)[drop]] = True
+        anew[np.searchsorted(np.cumsum(many), np.flatnonzero(drop), "right")] = True
         todo, rest = np.flatnonzero(anew), np.flatnonzero(~anew)
         with np.errstate(over="ignore"):
             points = self.points[T.spread(self.points_at[at[todo]], length[todo])]
