@@ -66,6 +66,34 @@ def test_k_counts_as_by_joins(graph, sizes):
     assert {(x["k"], x["n"]) for x in triangles.k_counts_of_graph(tiles.packed(df), capped=False)[0].collect()} == by_joins
 
 
+def test_parts_without_common_edges_are_tiles(spark, monkeypatch):
+    """Ranges begin where no edge crosses, and then a truss takes one search of the tiles."""
+    r = np.random.default_rng(3)
+    e = np.concatenate([np.sort(r.integers(0, 20, (90, 2)), axis=1) + 20 * k - 60 for k in range(12)])
+    e = sorted({tuple(x) for x in e[e[:, 0] != e[:, 1]].tolist()})
+    df = spark.createDataFrame(e, "a long, b long").repartition(5)
+    monkeypatch.setattr(tiles, "LEAST", 20)
+    monkeypatch.setattr(tiles, "RANGE", 40)
+    g = tiles.packed(df)
+    assert len(g.bounds) == 11 and all(any(x <= 20 * k - 60 for x in g.bounds) for k in range(1, 12))
+    assert not any(a < x <= b for a, b in e for x in g.bounds)
+    searches, real = [], tiles.supported
+    monkeypatch.setattr(tiles, "supported", lambda *a, **k: searches.append(1) or real(*a, **k))
+    edges = set(e)
+    while (left := {x for x, n in support(edges).items() if n >= 2}) != edges:
+        edges = left
+    assert {(x["a"], x["b"]) for x in tiles.edges(tiles.truss(g, 4)).collect()} == edges and edges
+    assert len(searches) == 1
+
+
+def test_spans_are_joined_where_they_are_closest(monkeypatch):
+    low, high = np.array([0, 10, 12, 40, -(1 << 62)]), np.array([5, 11, 20, 41, -5])
+    assert [x.tolist() for x in tiles._parts(low, high, low * 0 + 1)] == [[-(1 << 62), 0, 10, 12, 40], [-5, 5, 11, 20, 41], [1] * 5]
+    monkeypatch.setattr(tiles, "SPANS", 3)
+    spans = [x.tolist() for x in tiles._parts(np.array([0, 10, 12, 40]), np.array([5, 11, 20, 41]), np.ones(4, np.int64))]
+    assert spans == [[0, 10, 40], [5, 20, 41], [1, 2, 1]]
+
+
 @pytest.mark.parametrize("k", [3, 4, 6])
 def test_truss(graph, sizes, k):
     df, edges = graph
