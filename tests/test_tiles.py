@@ -86,6 +86,17 @@ def test_parts_without_common_edges_are_tiles(spark, monkeypatch):
     assert len(searches) == 1
 
 
+def test_truss_count_of_parts_takes_one_search(spark, monkeypatch):
+    e = [(10 * k + a, 10 * k + b) for k in range(9) for a, b in itertools.combinations(range(5 + k % 3), 2)]
+    monkeypatch.setattr(tiles, "LEAST", 9)
+    monkeypatch.setattr(tiles, "RANGE", 9)
+    g = tiles.packed(spark.createDataFrame(e, "a long, b long").repartition(4))
+    searches, real = [], tiles.supported
+    monkeypatch.setattr(tiles, "supported", lambda *a, **k: searches.append(1) or real(*a, **k))
+    assert tiles.edge_count(tiles.truss(g, 6)).first()[0] == 3 * (15 + 21)
+    assert len(searches) == 1
+
+
 def test_spans_are_joined_where_they_are_closest(monkeypatch):
     low, high = np.array([0, 10, 12, 40, -(1 << 62)]), np.array([5, 11, 20, 41, -5])
     assert [x.tolist() for x in tiles._parts(low, high, low * 0 + 1)] == [[-(1 << 62), 0, 10, 12, 40], [-5, 5, 11, 20, 41], [1] * 5]
