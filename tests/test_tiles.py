@@ -97,6 +97,22 @@ def test_truss_count_of_parts_takes_one_search(spark, monkeypatch):
     assert len(searches) == 1
 
 
+def test_truss_of_parts_and_one_that_is_cut(spark, monkeypatch):
+    """Some cells go to one tile and some to several: what falls in the first is followed at once, and the rest is counted again."""
+    r = np.random.default_rng(5)
+    e = np.concatenate([r.integers(0, 15, (60, 2)) + 20 * k for k in range(6)] + [r.integers(0, 60, (500, 2)) + 500])
+    e = {tuple(sorted(x)) for x in e.tolist() if x[0] != x[1]}
+    monkeypatch.setattr(tiles, "LEAST", 100)
+    monkeypatch.setattr(tiles, "RANGE", 40)
+    g = tiles.packed(spark.createDataFrame(sorted(e), "a long, b long").repartition(4))
+    cut = [x for x in g.bounds.tolist() if any(a < x <= b for a, b in e)]
+    alone = tiles._plan(g).alone
+    assert cut and min(cut) > 500 and len(cut) < len(g.bounds) and alone.any()
+    while (left := {x for x, n in support(e).items() if n >= 2}) != e:
+        e = left
+    assert {(x["a"], x["b"]) for x in tiles.edges(tiles.truss(g, 4)).collect()} == e and e
+
+
 def test_spans_are_joined_where_they_are_closest(monkeypatch):
     low, high = np.array([0, 10, 12, 40, -(1 << 62)]), np.array([5, 11, 20, 41, -5])
     assert [x.tolist() for x in tiles._parts(low, high, low * 0 + 1)] == [[-(1 << 62), 0, 10, 12, 40], [-5, 5, 11, 20, 41], [1] * 5]
