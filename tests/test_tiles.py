@@ -113,6 +113,18 @@ def test_truss_of_parts_and_one_that_is_cut(spark, monkeypatch):
     assert {(x["a"], x["b"]) for x in tiles.edges(tiles.truss(g, 4)).collect()} == e and e
 
 
+def test_incidence_of_parts_takes_one_search(spark, monkeypatch):
+    e = sorted((10 * k + a, 10 * k + b) for k in range(9) for a, b in itertools.combinations(range(4 + k % 3), 2))
+    monkeypatch.setattr(tiles, "LEAST", 5)
+    monkeypatch.setattr(tiles, "RANGE", 5)
+    g = tiles.packed(spark.createDataFrame(e, "a long, b long").repartition(4))
+    searches, real = [], tiles.supported
+    monkeypatch.setattr(tiles, "supported", lambda *a, **k: searches.append(1) or real(*a, **k))
+    got = sorted((x["i"], x["j"]) for x in truss.ktruss_incidence_of_graph(g, 5).collect())
+    assert got == [(i, v) for i, x in enumerate(e) if (x[0] // 10) % 3 for v in x]
+    assert len(searches) == 1
+
+
 def test_spans_are_joined_where_they_are_closest(monkeypatch):
     low, high = np.array([0, 10, 12, 40, -(1 << 62)]), np.array([5, 11, 20, 41, -5])
     assert [x.tolist() for x in tiles._parts(low, high, low * 0 + 1)] == [[-(1 << 62), 0, 10, 12, 40], [-5, 5, 11, 20, 41], [1] * 5]
