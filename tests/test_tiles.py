@@ -125,6 +125,34 @@ def test_incidence_of_parts_takes_one_search(spark, monkeypatch):
     assert len(searches) == 1
 
 
+@pytest.mark.parametrize("cuts", [10, 1 << 19], ids=["many", "one tile"])
+def test_closed_triangles_of_dense_tiles_are_not_listed(spark, tmp_path, monkeypatch, cuts):
+    """Dense tiles are multiplied; tiles without a new edge are not searched; an edge is that of its first batch."""
+    r = np.random.default_rng(6)
+    e = [(int(a), int(b)) for a, b in itertools.combinations(range(40), 2) if r.random() < 0.8] + [(100, 101), (101, 102), (100, 102)]
+    batches = [e[::2] + e[:9], e[1::2] + [(b, a) for a, b in e[::3]] + [(7, 7)], e[:5]]
+    monkeypatch.setattr(tiles, "LEAST", cuts)
+    monkeypatch.setattr(tiles, "RANGE", cuts)
+    monkeypatch.setattr(tiles, "MULTIPLIED", 1 << 40)
+    monkeypatch.setattr(tiles, "_plan", lambda g, marked=False, real=tiles._plan: plans.append(real(g, marked)) or plans[-1])
+    counter, plans = staged.TriangleCounter(str(tmp_path)), []
+    for k, b in enumerate(batches):
+        counter(spark.createDataFrame(b, "src long, dst long"), k)
+        assert counter.total(spark) == len(brute({tuple(sorted(x)) for y in batches[: k + 1] for x in y if x[0] != x[1]}))
+    assert plans[0].tiles and plans[1].tiles and (cuts > 10) == (plans[1].tiles == 1)
+
+
+def test_dense_counts_equal_searched_ones():
+    r = np.random.default_rng(7)
+    a, b = np.nonzero(np.triu(r.random((90, 90)) < 0.3, 1))
+    for tile in (0, 1):  # all in one range; between two
+        t = tiles._open(tile, np.array([45]) if tile else np.zeros(0, np.int64), True, 1, 2 if tile else 1, [0], [tiles.pack(a, b, a * 0 + (b % 3 == 0))])
+        p, q, e, src, dst, spoke = t.sides
+        listed = sum(len(x[0]) for x in t.found)
+        assert tiles._dense(p, q, src, dst, len(t.vertex)) == t.count() == listed > 100
+        assert tiles._dense(p, q, src, dst, 1 << 20) is None
+
+
 def test_spans_are_joined_where_they_are_closest(monkeypatch):
     low, high = np.array([0, 10, 12, 40, -(1 << 62)]), np.array([5, 11, 20, 41, -5])
     assert [x.tolist() for x in tiles._parts(low, high, low * 0 + 1)] == [[-(1 << 62), 0, 10, 12, 40], [-5, 5, 11, 20, 41], [1] * 5]
