@@ -198,6 +198,30 @@ def test_lists_are_made_in_tiles(spark, monkeypatch):
     assert {(x["i"], x["j"]): x["ks"] for x in lists.collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["dense", "large numbers", "sparse", "repeated"])
+def test_sums_of_lists_need_no_list(spark, monkeypatch, kind):
+    monkeypatch.setattr(linalg, "DENSE", 0)
+    monkeypatch.setattr(linalg, "SPAN_CELLS", 100)
+    r = np.random.default_rng(4)
+    share = 0.02 if kind == "sparse" else 0.2
+    a, b = r.random((40, 160)) < share, r.random((160, 50)) < share
+    a[0] = b[:, 0] = False
+    a[0, [3, 159]] = b[[3, 159], 0] = True
+    k = np.arange(160) * (10**9 if kind == "large numbers" else 1) - 70
+    x, y = ([(int(p), int(q)) for p, q in zip(*np.nonzero(m), strict=True)] for m in (a, b))
+    if kind == "repeated":
+        x += x[::3]
+    df = spark.createDataFrame([(i, int(k[p]), 1.0) for i, p in x], "i long, j long, v double"), spark.createDataFrame([(int(k[p]), j, 1.0) for p, j in y], "i long, j long, v double")
+    sums = linalg.spgemm_collect_sums(*df, 2)
+    lists = {(x["i"], x["j"]): x["ks"] for x in linalg.spgemm_collect(*df, 2).collect()}
+    if kind == "dense":
+        monkeypatch.setattr(linalg, "_lists", None)
+        sums = linalg.spgemm_collect_sums(*df, 2)
+    assert "FlatMapCoGroupsInArrow" in sums._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in sums.collect()} == {(*c, len(ks), ks[0], ks[-1], sum(ks)) for c, ks in lists.items()}
+    assert {int(k[3]), int(k[159])} == set(lists[0, 0])
+
+
 def test_entries_of_tiled_lists(spark, monkeypatch):
     monkeypatch.setattr(linalg, "LIST_PAIRS", 500)
     monkeypatch.setattr(linalg, "DENSE", 0)
