@@ -222,6 +222,18 @@ def test_sums_of_lists_need_no_list(spark, monkeypatch, kind):
     assert {int(k[3]), int(k[159])} == set(lists[0, 0])
 
 
+def test_lists_move_each_side_a_few_times(spark, monkeypatch):
+    """Many pairs ask for many tiles, but no more than LIST_SIDE a side, and no value is moved."""
+    monkeypatch.setattr(linalg, "DENSE", 0)
+    monkeypatch.setattr(linalg, "TILE_PAIRS", 1)
+    grids, real = [], linalg._in_tiles
+    monkeypatch.setattr(linalg, "_in_tiles", lambda x, y, rows, columns, *rest: grids.append((rows, columns)) or real(x, y, rows, columns, *rest))
+    m = spark.createDataFrame([(i, k, 1.0) for i in range(60) for k in range(i % 7, 9)], "i long, j long, v double")
+    want = {(i, j): list(range(max(i % 7, j % 7), 9)) for i in range(60) for j in range(60)}
+    assert {(x["i"], x["j"]): x["ks"] for x in linalg.spgemm_collect(m, linalg.transpose(m)).collect()} == want
+    assert grids == [(linalg.LIST_SIDE, linalg.LIST_SIDE)]
+
+
 def test_entries_of_tiled_lists(spark, monkeypatch):
     monkeypatch.setattr(linalg, "LIST_PAIRS", 500)
     monkeypatch.setattr(linalg, "DENSE", 0)
